@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sensorweave.llm import sentencepiece_codec
+from sensorweave.llm import quality, sentencepiece_codec, toxicity
 
 PIECE_MODEL = "piece_bpe_32k.model"
 
@@ -16,12 +16,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return toxicity.score(documents, toxicity.fit_lexicon(documents, table(spark, sf_dir, "labels")))
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = sentencepiece_codec.PieceModel.load(public_tokenizers.path(PIECE_MODEL))
     return sentencepiece_codec.token_digests(table(spark, sf_dir, "documents"), model)
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return quality.score(documents, quality.fit_quality(documents, table(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op3_sentencepiece": op3_sentencepiece,
+    "op6_quality": op6_quality,
 }
 ORACLES: dict[str, str] = {}
