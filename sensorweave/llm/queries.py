@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sensorweave.llm import quality, sentencepiece_codec, toxicity
+from sensorweave.llm import langid, near_dups, quality, sentencepiece_codec, toxicity
 
 PIECE_MODEL = "piece_bpe_32k.model"
 
@@ -26,14 +26,25 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.token_digests(table(spark, sf_dir, "documents"), model)
 
 
+def op4_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dups.near_duplicates(table(spark, sf_dir, "documents"), words=3, similarity=0.85)
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     return quality.score(documents, quality.fit_quality(documents, table(spark, sf_dir, "labels")))
 
 
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return langid.identify(documents, langid.fit_language(documents))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op3_sentencepiece": op3_sentencepiece,
+    "op4_near_dups": op4_near_dups,
     "op6_quality": op6_quality,
+    "op10_language": op10_language,
 }
 ORACLES: dict[str, str] = {}
