@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sensorweave.llm import langid, near_dups, quality, sentencepiece_codec, toxicity
+from sensorweave.llm import decontaminate, langid, near_dups, quality, sentencepiece_codec, toxicity
 
 PIECE_MODEL = "piece_bpe_32k.model"
 
@@ -35,6 +35,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(documents, quality.fit_quality(documents, table(spark, sf_dir, "labels")))
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     return langid.identify(documents, langid.fit_language(documents))
@@ -45,6 +49,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_sentencepiece": op3_sentencepiece,
     "op4_near_dups": op4_near_dups,
     "op6_quality": op6_quality,
+    "op7_decontaminate": op7_decontaminate,
     "op10_language": op10_language,
 }
 ORACLES: dict[str, str] = {}
