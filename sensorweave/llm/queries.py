@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sensorweave.llm import decontaminate, langid, near_dups, quality, sentencepiece_codec, toxicity
+from sensorweave.llm import decontaminate, langid, licenses, near_dups, quality, sentencepiece_codec, toxicity, url_rules
 
 PIECE_MODEL = "piece_bpe_32k.model"
 
@@ -21,6 +21,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(documents, toxicity.fit_lexicon(documents, table(spark, sf_dir, "labels")))
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = sentencepiece_codec.PieceModel.load(public_tokenizers.path(PIECE_MODEL))
     return sentencepiece_codec.token_digests(table(spark, sf_dir, "documents"), model)
@@ -30,6 +34,10 @@ def op4_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.near_duplicates(table(spark, sf_dir, "documents"), words=3, similarity=0.85)
 
 
+def op5_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judge(table(spark, sf_dir, "pages"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     return quality.score(documents, quality.fit_quality(documents, table(spark, sf_dir, "labels")))
@@ -46,8 +54,10 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op2_licenses": op2_licenses,
     "op3_sentencepiece": op3_sentencepiece,
     "op4_near_dups": op4_near_dups,
+    "op5_url_rules": op5_url_rules,
     "op6_quality": op6_quality,
     "op7_decontaminate": op7_decontaminate,
     "op10_language": op10_language,
