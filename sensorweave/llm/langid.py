@@ -245,3 +245,15 @@ def identify(documents: DataFrame, model: LanguageModel, key: str = "doc_id", te
             yield pa.RecordBatch.from_arrays([batch.column(key), batch.column("held_out"), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[key, "held_out", "lang_pred", "score"])
 
     return df.mapInArrow(run, f"{key} {documents.schema[key].dataType.simpleString()}, held_out boolean, lang_pred string, score double")
+
+
+def keep_identified(documents: DataFrame, model: LanguageModel, text: str = "text", min_score: float = 0.3) -> DataFrame:
+    """The rows whose text has a language of at least ``min_score``, with all their columns; without a fitted language, all rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, scores = model.predict(batch.column(text).to_pylist())
+            keep = [not model.labels or (n != UNKNOWN and s >= min_score) for n, s in zip(names, scores, strict=True)]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return documents.mapInArrow(run, documents.schema)

@@ -239,3 +239,13 @@ def score(documents: DataFrame, model: QualityModel, key: str = "doc_id", text:
             yield pa.RecordBatch.from_arrays([batch.column(key), batch.column("held_out"), pa.array(scores, pa.float64()), pa.array((scores >= threshold).astype(np.int32))], names=[key, "held_out", "score", "predicted"])
 
     return df.mapInArrow(run, f"{key} {documents.schema[key].dataType.simpleString()}, held_out boolean, score double, predicted int")
+
+
+def keep_good(documents: DataFrame, model: QualityModel, text: str = "text", threshold: float = 0.3) -> DataFrame:
+    """The rows whose score reaches the threshold, with all their columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(model.probabilities(batch.column(text).to_pylist()) >= threshold))
+
+    return documents.mapInArrow(run, documents.schema)
