@@ -1,4 +1,601 @@
-"""Registered queries over the driver's tables, and their SQL."""
+"""Registered queries over the driver's tables, and the SQL that checks them.
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+Each query applies an operator to the driver's tables as an analog of sensor and frame data: events
+stand for samples, logs and frames, embeddings for small image planes, orders and parts for keys and
+sizes.  Catalog queries use the fixed tables alone.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sensorweave.functions import labels as L
+from sensorweave.functions import planes as P
+from sensorweave.operators import metrics as M
+from sensorweave.operators import pairing, retention, temporal
+from sensorweave.plans import rules as R
+from sensorweave.sources import catalogs as C
+from sensorweave.sources import readers, sinks
+from sensorweave.streaming import streams as S
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a function under its name, with its SQL if it has one."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events with their time as microseconds since 1970, whatever the session's time zone."""
+    return table(spark, sf_dir, "events").withColumn("us", F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)")).drop("ts")
+
+
+def points(spark: SparkSession, sf_dir: str, kind: str) -> tuple[DataFrame, DataFrame]:
+    """Probes (purchases) and samples of one kind, with their value as an array of one float."""
+    rows = events(spark, sf_dir)
+    probes = rows.where("event_type = 'purchase'").select("event_id", "user_id", F.col("us").alias("ts"))
+    samples = rows.where(F.col("event_type") == kind).select("user_id", F.col("us").alias("ts"), F.array(F.col("value").cast("float")).alias("values"))
+    return probes, samples
+
+
+def asof_sql(kind: str, by_user: bool) -> str:
+    """A common table expression part: probes with the samples of ``kind`` before (t0, v0) and after (t1, v1)."""
+    on = "p.user_id = s.user_id AND " if by_user else ""
+    return f"""
+        (SELECT a.event_id, a.user_id, a.ts, a.t0, a.v0, s.ts AS t1, s.v AS v1 FROM
+            (SELECT p.*, s.ts AS t0, s.v AS v0 FROM probes p ASOF LEFT JOIN (SELECT * FROM samples WHERE kind = '{kind}') s ON {on}p.ts >= s.ts) a
+            ASOF LEFT JOIN (SELECT * FROM samples WHERE kind = '{kind}') s ON {on.replace('p.', 'a.')}a.ts <= s.ts)"""
+
+
+POINTS_SQL = """
+    probes AS (SELECT event_id, user_id, epoch_us(ts) AS ts FROM events WHERE event_type = 'purchase'),
+    samples AS (SELECT event_type AS kind, user_id, epoch_us(ts) AS ts, CAST(value AS FLOAT) AS v FROM events)"""
+VALUE_SQL = """
+    CASE WHEN {x}t0 IS NULL THEN {x}v1 WHEN {x}t1 IS NULL OR {x}t0 = {x}t1 THEN {x}v0
+         ELSE CAST(CAST({x}v0 AS DOUBLE) + (CAST({x}v1 AS DOUBLE) - CAST({x}v0 AS DOUBLE)) * (CAST({x}ts - {x}t0 AS DOUBLE) / CAST({x}t1 - {x}t0 AS DOUBLE)) AS FLOAT) END"""
+DAY_US = 86_400_000_000
+
+
+def rounded(x: Column, places: int = 4) -> Column:
+    return F.round(x.cast("double"), places)
+
+
+# -- time series ---------------------------------------------------------------------------------
+
+
+@query(f"WITH {POINTS_SQL} SELECT event_id, ts, round(CAST({VALUE_SQL.format(x='b.')} AS DOUBLE), 4) AS value, coalesce(t0 <> t1, FALSE) AS is_interpolated FROM {asof_sql('click', False)} b")
+def imu_interpolate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    probes, samples = points(spark, sf_dir, "click")
+    found = temporal.align(probes.drop("user_id"), samples.drop("user_id"), [], bucket=DAY_US)
+    return found.select("event_id", "ts", rounded(found["values"][0]).alias("value"), "is_interpolated")
+
+
+@query(f"WITH {POINTS_SQL} SELECT event_id, user_id, ts, coalesce(t0, t1) AS matched_ts FROM {asof_sql('click', True)} b")
+def imu_floor_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    probes, samples = points(spark, sf_dir, "click")
+    return temporal.floor_else_ceiling(probes, samples, ["user_id"]).select("event_id", "user_id", "ts", "matched_ts")
+
+
+@query(f"""WITH {POINTS_SQL}, m AS (SELECT user_id, ts, abs(ts - coalesce(t0, t1)) AS off FROM {asof_sql('click', True)} b)
+    SELECT user_id, TRUE AS is_monotonic, CAST(coalesce(trunc(avg(off)), 0) AS BIGINT) AS avg_offset, coalesce(max(off), 0) AS max_offset,
+           count(*) FILTER (off > 3600000000) AS missing_intervals, count(*) AS sample_count,
+           count(off) > 0 AND CAST(coalesce(trunc(avg(off)), 0) AS BIGINT) < 36000000000 AS is_verified FROM m GROUP BY user_id""")
+def clock_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    probes, samples = points(spark, sf_dir, "click")
+    return temporal.clock_report(temporal.floor_else_ceiling(probes, samples, ["user_id"]), ["user_id"], gap=3_600_000_000, mean_limit=36_000_000_000)
+
+
+@query(f"""WITH {POINTS_SQL}, g AS (SELECT event_id, {VALUE_SQL.format(x='')} AS gyro, coalesce(t0 <> t1, FALSE) AS i FROM {asof_sql('click', True)} b),
+    a AS (SELECT event_id, {VALUE_SQL.format(x='')} AS accel, coalesce(t0 <> t1, FALSE) AS i FROM {asof_sql('view', True)} b)
+    SELECT event_id, round(CAST(gyro AS DOUBLE), 4) AS gyro, round(CAST(accel AS DOUBLE), 4) AS accel, g.i OR a.i AS is_interpolated FROM g JOIN a USING (event_id)""")
+def dual_sensor_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
+    probes, gyro = points(spark, sf_dir, "click")
+    found = temporal.align_two(probes, gyro, points(spark, sf_dir, "view")[1], ["user_id"])
+    return found.select("event_id", rounded(found["gyro"][0]).alias("gyro"), rounded(found["accel"][0]).alias("accel"), "is_interpolated")
+
+
+@query("SELECT event_id, event_type, epoch_us(ts) AS us FROM events QUALIFY epoch_us(ts) >= max(epoch_us(ts)) OVER (PARTITION BY event_type) - 432000000000")
+def trailing_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return temporal.trailing_window(events(spark, sf_dir).select("event_id", "event_type", "us"), ["event_type"], 5 * DAY_US, "us")
+
+
+# -- pairing -------------------------------------------------------------------------------------
+
+
+@query("""SELECT coalesce(o.k, l.k) AS order_key, CASE WHEN l.k IS NULL THEN 'left_only' WHEN o.k IS NULL THEN 'right_only' ELSE 'paired' END AS status
+    FROM (SELECT o_orderkey AS k FROM orders WHERE o_orderkey % 3 <> 0) o FULL JOIN (SELECT DISTINCT l_orderkey AS k FROM lineitem WHERE l_orderkey % 5 <> 0) l ON o.k = l.k""")
+def pair_full_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = table(spark, sf_dir, "orders").where("o_orderkey % 3 <> 0").select(F.col("o_orderkey").alias("order_key"))
+    right = table(spark, sf_dir, "lineitem").where("l_orderkey % 5 <> 0").select(F.col("l_orderkey").alias("order_key")).distinct()
+    return pairing.pair_exact(left, right, ["order_key"])
+
+
+def arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of each type as arrivals: images and results of a user within an hour share a key."""
+    return events(spark, sf_dir).select(F.col("event_type").alias("stream"), F.when(F.col("event_id") % 2 == 0, "image").otherwise("result").alias("side"), F.floor(F.col("us") / 3_600_000_000).alias("timestamp_ns"), F.floor(F.col("us") / 3_600_000).alias("arrival_ms"))
+
+
+@query()
+def pair_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairing.pair_bounded(arrivals(spark, sf_dir), "stream", 30, 1000)
+
+
+@query()
+def lifecycle_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairing.lifecycle_counts(pair_bounded(spark, sf_dir))
+
+
+@query("""SELECT coalesce(a.user_id, b.user_id) AS user_id, CASE WHEN b.user_id IS NULL THEN 'left_only' WHEN a.user_id IS NULL THEN 'right_only' ELSE 'paired' END AS status, count(*) AS n
+    FROM (SELECT user_id, ts FROM events WHERE event_type = 'click') a FULL JOIN (SELECT user_id, ts FROM events WHERE event_type = 'view') b
+    ON a.user_id = b.user_id AND a.ts >= b.ts - INTERVAL 6 HOUR AND a.ts <= b.ts + INTERVAL 6 HOUR GROUP BY ALL""")
+def pair_stream_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").withColumn("at", F.col("ts").cast("timestamp"))
+    found = S.pair_streams(rows.where("event_type = 'click'"), rows.where("event_type = 'view'"), "user_id", "at", "6 hours")
+    return found.groupBy("user_id", "status").agg(F.count("*").alias("n"))
+
+
+# -- retention -----------------------------------------------------------------------------------
+
+
+@query("""WITH r AS (SELECT event_id, user_id, epoch_us(ts) AS us, length(props) AS bytes, row_number() OVER w AS rn, sum(length(props)) OVER w AS held
+        FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts DESC ROWS UNBOUNDED PRECEDING))
+    SELECT event_id, user_id, us, bytes FROM r WHERE rn = 1 OR (rn <= 16 AND held <= 200)""")
+def ring_retained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = events(spark, sf_dir).select("event_id", "user_id", "us", F.length("props").alias("bytes"))
+    return retention.ring_retained(rows, ["user_id"], "us", "bytes", 16, 200)
+
+
+@query("SELECT event_id, user_id, epoch_us(ts) AS us FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) <= 5")
+def recent_n(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retention.last_n(events(spark, sf_dir).select("event_id", "user_id", "us"), ["user_id"], "us", 5)
+
+
+@query("SELECT user_id, arg_max(event_id, ts) AS event_id, arg_max(event_type, ts) AS event_type, epoch_us(max(ts)) AS us FROM events GROUP BY user_id")
+def latest_event(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retention.latest(events(spark, sf_dir).select("user_id", "event_id", "event_type", "us"), ["user_id"], "us")
+
+
+@query("""WITH l AS (SELECT event_type, event_id % 500 AS frame_sequence, arg_max(event_id, ts) AS event_id FROM events GROUP BY ALL)
+    SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY frame_sequence DESC) <= 200""")
+def keyed_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = events(spark, sf_dir).select("event_type", (F.col("event_id") % 500).alias("frame_sequence"), "event_id", "us")
+    return retention.last_n(retention.latest(rows, ["event_type", "frame_sequence"], "us"), ["event_type"], "frame_sequence", 200).drop("us")
+
+
+@query("""WITH a AS (SELECT c_custkey AS k, 0 AS seq, c_mktsegment AS v FROM customer UNION ALL SELECT o_custkey, o_orderkey + 1, o_orderpriority FROM orders)
+    SELECT k, max(seq) AS seq, arg_max(v, seq) AS v FROM a GROUP BY k""")
+def upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.lit(0).cast("bigint").alias("seq"), F.col("c_mktsegment").alias("v"))
+    changes = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), (F.col("o_orderkey") + 1).alias("seq"), F.col("o_orderpriority").alias("v"))
+    return retention.upsert(base, changes, ["k"], "seq")
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'O')")
+def delete_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gone = table(spark, sf_dir, "orders").where("o_orderstatus = 'O'").select(F.col("o_custkey").alias("c_custkey"))
+    return retention.delete_by_id(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), gone, "c_custkey")
+
+
+@query("SELECT event_id, epoch_us(ts) AS us FROM events WHERE event_type = 'signup' ORDER BY ts DESC")
+def newest_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retention.newest_first(events(spark, sf_dir).where("event_type = 'signup'").select("event_id", "us"), "us", "event_id")
+
+
+# -- metrics and logs ----------------------------------------------------------------------------
+
+
+@query("""WITH g AS (SELECT event_type AS stage_name, list_sort(list(value)) AS l, count(value) AS n, max(length(props)) AS peak_memory FROM events GROUP BY 1),
+    p AS (SELECT stage_name, n AS iterations, l[n // 2 + 1] AS median, l[least(CAST(trunc(n * CAST(0.95 AS DOUBLE)) AS BIGINT), n - 1) + 1] AS p95, l[least(CAST(trunc(n * CAST(0.99 AS DOUBLE)) AS BIGINT), n - 1) + 1] AS p99, peak_memory FROM g),
+    b AS (SELECT *, CASE WHEN stage_name = 'click' THEN CAST(50 AS DOUBLE) ELSE median END AS baseline FROM p)
+    SELECT *, CASE WHEN baseline <= 0 THEN 0 ELSE round((baseline - median) / baseline * 100, 3) END AS gain_percent FROM b""")
+def stage_latency_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = events(spark, sf_dir).select(F.col("event_type").alias("stage_name"), "value", F.length("props").alias("bytes"))
+    found = M.stage_summary(rows, "stage_name", "value", "bytes", {"click": 50.0})
+    return found.withColumn("gain_percent", F.when(F.col("baseline") <= 0, 0.0).otherwise(F.round((F.col("baseline") - F.col("median")) / F.col("baseline") * 100, 3)))
+
+
+SCENES_SQL = "(VALUES " + ", ".join(f"('{s[0]}', '{s[1]}', CAST({s[4]} AS FLOAT), {i})" for i, s in enumerate(C.SCENES)) + ") s(scene_id, category, base, i)"
+MEASURED_SQL = "(SELECT CAST(label AS BIGINT) + 2 AS i, CAST(25 + count(*) % 15 AS FLOAT) AS psnr FROM embeddings GROUP BY label)"
+
+
+def measured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A made-up measure of ten scenes: by label, the number of embeddings modulo 15 above 25."""
+    ids = F.array(*[F.lit(s[0]) for s in C.SCENES])
+    return table(spark, sf_dir, "embeddings").groupBy("label").agg(F.count("*").alias("n")).select(F.element_at(ids, F.col("label").cast("int") + 3).alias("scene_id"), (25 + F.col("n") % 15).cast("float").alias("psnr"))
+
+
+@query(f"SELECT s.scene_id, s.category, coalesce(m.psnr, s.base) AS measured, coalesce(m.psnr, s.base) < s.base - CAST(0.5 AS FLOAT) AS is_regression FROM {SCENES_SQL} LEFT JOIN {MEASURED_SQL} m ON m.i = s.i")
+def regression_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.regression_rows(C.scenes(spark), measured(spark, sf_dir)).select("scene_id", "category", "measured", "is_regression")
+
+
+@query(f"""WITH r AS (SELECT s.scene_id, coalesce(m.psnr, s.base) < s.base - CAST(0.5 AS FLOAT) AS bad FROM {SCENES_SQL} LEFT JOIN {MEASURED_SQL} m ON m.i = s.i)
+    SELECT count(*) AS total_scenes, count(*) FILTER (NOT bad) AS passed_scenes, coalesce(string_agg(scene_id, ',' ORDER BY scene_id) FILTER (bad), '') AS regressions, bool_and(NOT bad) AS is_regression_free FROM r""")
+def regression_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.regression_verdict(C.scenes(spark), measured(spark, sf_dir)).withColumn("regressions", F.array_join("regressions", ","))
+
+
+@query("""WITH l AS (SELECT conv_id * 1000 + turn AS seq, role AS category, CASE WHEN conv_id % 7 = 0 THEN 'Raw FramePlane ' || text WHEN conv_id % 7 = 1 THEN 'frameplane ' || text ELSE text END AS message, turn % 5 AS rank FROM conversations)
+    SELECT seq, category, CASE WHEN contains(message, 'ByteArray') OR contains(message, 'FramePlane') THEN '[PIXEL_DATA_REDACTED]' ELSE message END AS message
+    FROM l WHERE category = 'user' AND rank >= 2 ORDER BY seq DESC LIMIT 100""")
+def log_filter_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    level = F.element_at(F.array(*[F.lit(x) for x in C.LOG_LEVELS]), (F.col("turn") % 5 + 1).cast("int"))
+    message = F.when(F.col("conv_id") % 7 == 0, F.concat(F.lit("Raw FramePlane "), "text")).when(F.col("conv_id") % 7 == 1, F.concat(F.lit("frameplane "), "text")).otherwise(F.col("text"))
+    logs = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("seq"), F.col("role").alias("category"), message.alias("message"), level.alias("level"))
+    return M.filter_logs(logs, "user", "INFO", 100, "seq").select("seq", "category", "message")
+
+
+@query("SELECT event_id, 'METRIC' AS tag, value FROM events WHERE event_type = 'view' QUALIFY row_number() OVER (ORDER BY ts DESC) <= 500")
+def telemetry_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = events(spark, sf_dir).where("event_type = 'view'").select("event_id", F.lit("METRIC").alias("tag"), "value", "us")
+    return retention.last_n(rows, [], "us", 500).drop("us")
+
+
+@query("SELECT event_id, 'ERROR_' || event_type AS tag, substr(props, 1, 500) AS stacktrace FROM events WHERE event_type = 'error'")
+def error_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events(spark, sf_dir).where("event_type = 'error'").select("event_id", F.concat(F.lit("ERROR_"), "event_type").alias("tag"), F.substring("props", 1, 500).alias("stacktrace"))
+
+
+# -- planes: embeddings of 64 values as planes of 8 by 8 ------------------------------------------
+
+TILE, EDGE = 4, 8
+PLANE_SQL = "planes AS (SELECT vec_id, label, i - 1 AS idx, least(greatest(CAST(trunc((CAST(embedding[i] AS DOUBLE) + 1) * 127.5) AS BIGINT), 0), 255) AS v FROM (SELECT vec_id, label, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings))"
+#: Tiles of each plane with their confidence at ISO 400.
+TILES_SQL = f"""tiles AS (SELECT vec_id, idx // {EDGE} // {TILE} AS ty, idx % {EDGE} // {TILE} AS tx, sum(v) // count(*) AS avg FROM planes GROUP BY ALL),
+    conf AS (SELECT *, least(greatest(CAST(CASE WHEN avg > 245 THEN 0.2 WHEN avg < 12 THEN 0.3 WHEN avg BETWEEN 40 AND 215 THEN 0.95 ELSE 0.7 END AS FLOAT) - CAST(4 AS FLOAT) / CAST(64 AS FLOAT), CAST(0.05 AS FLOAT)), CAST(1 AS FLOAT)) AS conf FROM tiles)"""
+
+
+def planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    value = F.transform("embedding", lambda e: P.clamp(((e.cast("double") + 1) * 127.5).cast("int"), F.lit(0), F.lit(255)))
+    return table(spark, sf_dir, "embeddings").select("vec_id", "label", value.alias("plane"))
+
+
+@query(f"WITH {PLANE_SQL} SELECT label, idx, sum(v) // count(*) AS fused FROM planes GROUP BY ALL")
+def temporal_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.temporal_fusion(planes(spark, sf_dir), ["label"], "plane", "vec_id")
+
+
+@query(f"WITH {PLANE_SQL} SELECT vec_id, idx, CAST(trunc((v / 255.0::DOUBLE) * (v / 255.0::DOUBLE) * (3 - 2 * (v / 255.0::DOUBLE)) * 255.0::DOUBLE) AS BIGINT) AS toned FROM planes")
+def tone_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rgb = planes(spark, sf_dir).select("vec_id", P.tone_rgb(F.col("plane")).alias("rgb"))
+    return rgb.select("vec_id", F.posexplode("rgb").alias("at", "toned")).where("at % 3 = 1").select("vec_id", F.expr("at div 3").alias("idx"), "toned")
+
+
+@query(f"""WITH {PLANE_SQL}, s AS (SELECT vec_id, count(*) AS n, sum(v) AS a, sum(v * v) AS b, count(*) FILTER (v <= 2 OR v >= 253) AS clipped FROM planes WHERE idx % 4 = 0 GROUP BY vec_id),
+    q AS (SELECT *, CAST(n * b - a * a AS DOUBLE) / CAST(n * n AS DOUBLE) AS variance FROM s)
+    SELECT vec_id, n, clipped, variance, round(least(greatest(1 - sqrt(variance) / 128, 0.1), 1), 4) AS noise_score, round(least(greatest(sqrt(variance) / 64, 0.1), 1), 4) AS sharp_score, clipped > n * 0.5 AS is_clipped FROM q""")
+def plane_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = P.with_quality(planes(spark, sf_dir), "plane")
+    return found.select("vec_id", "n", "clipped", "variance", rounded(F.col("noise_score")).alias("noise_score"), rounded(F.col("sharp_score")).alias("sharp_score"), (F.col("artifact_risk") > 0.5).alias("is_clipped"))
+
+
+@query(f"WITH {PLANE_SQL}, {TILES_SQL} SELECT vec_id, ty, tx, avg, round(CAST(conf AS DOUBLE), 4) AS conf FROM conf")
+def tile_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tiles = P.tile_averages(planes(spark, sf_dir), ["vec_id"], "plane", F.lit(EDGE), TILE)
+    return tiles.withColumn("conf", rounded(P.tile_confidence(F.col("avg"), F.lit(400))))
+
+
+@query(f"""WITH {PLANE_SQL}, {TILES_SQL}, f AS (SELECT label, idx, sum(v) // count(*) AS r FROM planes GROUP BY ALL),
+    x AS (SELECT p.vec_id, abs(p.v - f.r) > 45 AS far, c.conf >= CAST(0.75 AS FLOAT) AS high FROM planes p JOIN f USING (label, idx)
+          JOIN conf c ON c.vec_id = p.vec_id AND c.ty = p.idx // {EDGE} // {TILE} AND c.tx = p.idx % {EDGE} // {TILE} WHERE p.idx // {EDGE} % 2 = 0 AND p.idx % {EDGE} % 2 = 0),
+    n AS (SELECT vec_id, count(*) FILTER (high) AS n_high, count(*) FILTER (high AND far) AS n_far FROM x GROUP BY vec_id),
+    r AS (SELECT *, CASE WHEN n_high > 0 THEN CAST(n_far AS FLOAT) / CAST(n_high AS FLOAT) ELSE CAST(0 AS FLOAT) END AS ratio FROM n)
+    SELECT vec_id, n_high, n_far, CASE WHEN ratio > CAST(0.2 AS FLOAT) THEN 'REVERT_TO_ORIGINAL' WHEN ratio > CAST(0.05 AS FLOAT) THEN 'BLEND_WITH_ORIGINAL' ELSE 'KEEP_RECONSTRUCTED' END AS action, ratio > CAST(0.2 AS FLOAT) AS hallucination FROM r""")
+def guard_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = planes(spark, sf_dir)
+    fused = P.temporal_fusion(rows, ["label"], "plane", "vec_id").groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "fused"))), lambda x: x["fused"]).alias("recon"))
+    both = rows.join(fused, "label")
+    return P.guard_decisions(both, ["vec_id"], "plane", "recon", F.lit(EDGE), F.lit(400), TILE, 2).select("vec_id", "n_high", "n_far", "action", "hallucination")
+
+
+@query(f"""WITH {PLANE_SQL}, l AS (SELECT vec_id, label, lag(vec_id) OVER (PARTITION BY label ORDER BY vec_id) AS before FROM embeddings),
+    d AS (SELECT l.vec_id, CAST(sum(abs(a.v - b.v)) AS FLOAT) / CAST(count(*) AS FLOAT) AS diff FROM l JOIN planes a ON a.vec_id = l.vec_id JOIN planes b ON b.vec_id = l.before AND b.idx = a.idx WHERE a.idx % 16 = 0 GROUP BY l.vec_id)
+    SELECT l.vec_id, round(CAST(coalesce(d.diff * CAST(0.1 AS FLOAT), 0) AS DOUBLE), 4) AS delta, coalesce(d.diff < 2, TRUE) AS is_tripod FROM l LEFT JOIN d USING (vec_id)""")
+def motion_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = P.motion_vectors(planes(spark, sf_dir), ["label"], "vec_id", "plane")
+    return found.select("vec_id", rounded(F.col("delta")).alias("delta"), "is_tripod")
+
+
+@query(f"""WITH {PLANE_SQL}, f AS (SELECT label, idx, sum(v) // count(*) AS r FROM planes GROUP BY ALL)
+    SELECT vec_id, idx, CAST(trunc(CAST(r AS FLOAT) * CAST(0.65 AS FLOAT) + CAST(v AS FLOAT) * (CAST(1 AS FLOAT) - CAST(0.65 AS FLOAT))) AS BIGINT) AS blended FROM planes JOIN f USING (label, idx)""")
+def guard_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = planes(spark, sf_dir)
+    fused = P.temporal_fusion(rows, ["label"], "plane", "vec_id")
+    pixels = rows.select("vec_id", "label", F.posexplode("plane").alias("idx", "v")).join(fused, ["label", "idx"])
+    return pixels.select("vec_id", "idx", P.blend(F.array("fused"), F.array("v"))[0].alias("blended"))
+
+
+@query("SELECT doc_id, 'FFD8FFE0' || hex(encode(text)) AS jpeg, '49492A00' || hex(encode(text)) AS dng FROM documents WHERE n_chars < 200")
+def encode_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = F.encode("text", "utf-8")
+    return table(spark, sf_dir, "documents").where("n_chars < 200").select("doc_id", F.hex(P.encode_jpeg(raw)).alias("jpeg"), F.hex(P.encode_dng(raw)).alias("dng"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN o_orderkey * 10 ELSE coalesce(b, 0) END AS bytes FROM orders LEFT JOIN (SELECT l_orderkey, sum(length(l_returnflag || l_linestatus)) AS b FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey")
+def frame_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct(F.concat("l_returnflag", "l_linestatus").alias("buffer"))).alias("planes"))
+    rows = table(spark, sf_dir, "orders").join(held, F.col("l_orderkey") == F.col("o_orderkey"), "left")
+    handle = F.when(F.col("o_orderkey") % 4 == 0, F.col("o_orderkey") * 10)
+    return rows.select("o_orderkey", P.frame_bytes(handle, F.coalesce("planes", F.array().cast("array<struct<buffer:string>>"))).alias("bytes"))
+
+
+# -- streams -------------------------------------------------------------------------------------
+
+
+@query("""WITH e AS (SELECT event_id, user_id, event_type <> 'error' AS rec, sum(CASE WHEN event_type <> 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM events)
+    SELECT event_id, user_id, NOT rec AS is_dropped, rec AND n % 15 = 0 AS is_enhanced FROM e""")
+def keyframes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = events(spark, sf_dir).select("event_id", "user_id", "us", "event_type")
+    return S.keyframes(rows, ["user_id"], "us", 15, F.col("event_type") != "error").select("event_id", "user_id", "is_dropped", "is_enhanced")
+
+
+STATE_OF = {"signup": "INITIALIZING", "view": "READY", "click": "CAPTURING", "purchase": "PROCESSING", "error": "ERROR"}
+_STATE_SQL = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in STATE_OF.items()) + " END"
+_LEGAL_SQL = "(VALUES " + ", ".join(f"('{a}', '{b}')" for a, bs in C.TRANSITIONS.items() for b in bs) + ") t(source, target)"
+
+
+def state(kind: Column) -> Column:
+    return F.create_map(*[F.lit(x) for kv in STATE_OF.items() for x in kv])[kind]
+
+
+@query(f"""WITH e AS (SELECT event_id, user_id, {_STATE_SQL} AS target, lag({_STATE_SQL}) OVER (PARTITION BY user_id ORDER BY ts) AS source FROM events)
+    SELECT event_id, user_id, source, target, (source, target) IN (SELECT (source, target) FROM {_LEGAL_SQL}) AS is_legal FROM e WHERE source IS NOT NULL""")
+def state_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    rows = events(spark, sf_dir).withColumn("target", state(F.col("event_type")))
+    rows = rows.withColumn("source", F.lag("target").over(Window.partitionBy("user_id").orderBy("us"))).where("source is not null")
+    return rows.select("event_id", "user_id", "source", "target", S.legal(F.col("source"), F.col("target")).alias("is_legal"))
+
+
+@query()
+def state_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = events(spark, sf_dir).select(F.col("user_id").alias("session"), F.col("us").alias("seq"), state(F.col("event_type")).alias("requested"))
+    return S.replay_states(rows, "session")
+
+
+# -- rules ---------------------------------------------------------------------------------------
+
+_PROFILES = [p[0] for p in C.PROFILES]
+_MODES = ["AUTO", "PRO", "MASTER", "AUTHENTIC"]
+_PROFILE_SQL = "CASE event_id % 3 " + " ".join(f"WHEN {i} THEN '{p}'" for i, p in enumerate(_PROFILES)) + " END"
+_BURST_SQL = "(VALUES " + ", ".join(f"('{p[0]}', {12 if p[6] is None else p[6]}, {4 if p[7] is None else p[7]})" for p in C.PROFILES) + ") b(profile_id, normal, throttled)"
+_RAW_SQL = "(VALUES " + ", ".join(f"('{c[0]}', {c[4]})" for c in C.CAMERAS if c[1] == "0") + ") c(profile_id, has_raw)"
+
+
+def pick(values: list[str], at: Column) -> Column:
+    return F.element_at(F.array(*[F.lit(v) for v in values]), (at + 1).cast("int"))
+
+
+def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as capture requests: the value, scaled, as light; every eleventh has manual values."""
+    manual = F.col("event_id") % 11 == 0
+    return events(spark, sf_dir).select(
+        "event_id", pick(_MODES, F.col("event_id") % 4).alias("mode"), (F.col("value") * (F.col("event_id") % 20)).cast("float").alias("lux"), (F.col("event_id") % 8).cast("float").alias("delta_x"),
+        ((F.col("event_id") % 10) * F.lit(0.06)).cast("float").alias("angular_velocity"), pick(_PROFILES, F.col("event_id") % 3).alias("profile_id"),
+        F.when(manual, 123).alias("manual_iso"), F.when(manual & (F.col("event_id") % 2 == 0), F.lit(777).cast("bigint")).alias("manual_exposure_ns"),
+    )
+
+
+@query(f"""WITH q AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'AUTO' WHEN 1 THEN 'PRO' WHEN 2 THEN 'MASTER' ELSE 'AUTHENTIC' END AS mode, CAST(value * (event_id % 20) AS FLOAT) AS lux, CAST(event_id % 8 AS FLOAT) AS dx,
+        CAST((event_id % 10) * CAST(0.06 AS DOUBLE) AS FLOAT) AS av, {_PROFILE_SQL} AS profile_id, event_id % 11 = 0 AND event_id % 2 = 0 AS manual FROM events),
+    f AS (SELECT *, lux < 30 AS low, av > CAST(0.4 AS FLOAT) OR dx > 5 AS fast FROM q JOIN {_BURST_SQL} USING (profile_id) JOIN {_RAW_SQL} USING (profile_id)),
+    n AS (SELECT *, CASE WHEN manual THEN 123 WHEN lux > 1000 THEN 50 WHEN lux > 200 THEN 100 WHEN lux > 30 THEN 400 WHEN fast THEN 1600 ELSE 800 END AS iso,
+        CASE WHEN manual THEN 777 WHEN lux > 1000 THEN 1000000 WHEN lux > 200 THEN 4000000 WHEN lux > 30 OR fast THEN 16000000 ELSE 40000000 END AS exposure_ns,
+        CASE mode WHEN 'AUTO' THEN CASE WHEN fast THEN 3 WHEN low THEN least(8, normal) ELSE 4 END WHEN 'PRO' THEN CASE WHEN fast THEN 1 ELSE 3 END
+             WHEN 'MASTER' THEN CASE WHEN fast THEN least(5, normal) ELSE least(12, normal) END ELSE CASE WHEN low THEN 4 ELSE 2 END END AS frame_count FROM f)
+    SELECT event_id, mode, low AS is_low_light, fast AS is_high_motion, iso, exposure_ns, frame_count, CASE WHEN mode = 'MASTER' AND (low OR lux > 1000) THEN 3 ELSE 0 END AS bracket_count,
+        CASE WHEN mode = 'AUTO' THEN has_raw AND low ELSE has_raw END AS use_raw, mode = 'MASTER' OR frame_count > 1 AS enable_fusion, '0' AS target_camera FROM n""")
+def capture_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = R.capture_plans(requests(spark, sf_dir), C.cameras(spark), C.device_profiles(spark))
+    return found.select("event_id", "mode", "is_low_light", "is_high_motion", "iso", "exposure_ns", "frame_count", F.size("bracket_steps").alias("bracket_count"), "use_raw", "enable_fusion", "target_camera")
+
+
+@query(f"""WITH q AS (SELECT event_id, event_id % 7 AS level, {_PROFILE_SQL} AS profile_id FROM events)
+    SELECT event_id, level, CASE WHEN level <= 1 THEN normal WHEN level = 2 THEN greatest(normal // 2, 3) ELSE throttled END AS max_burst, level >= 2 AS throttle FROM q JOIN {_BURST_SQL} USING (profile_id)""")
+def thermal_burst(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = requests(spark, sf_dir).select("event_id", "profile_id", (F.col("event_id") % 7).cast("int").alias("level")).join(F.broadcast(C.device_profiles(spark)), "profile_id")
+    return rows.select("event_id", "level", R.burst_limit(F.col("level"), F.col("burst_normal"), F.col("burst_throttled")).alias("max_burst"), R.throttles(F.col("level")).alias("throttle"))
+
+
+_MODEL_IDS = [m[0] for m in C.MODELS] + ["no-such-model"]
+_MODELS_SQL = "(VALUES " + ", ".join(f"('{m[0]}', {m[12]}, {'NULL' if m[16] is None else repr(m[16])}, {m[17]}, {'NPU' in ' '.join(m[11])}, {'GPU' in ' '.join(m[11])}, {m[5]}, {m[13]})" for m in C.MODELS) + ") m(model_id, mem, fb, classical, npu, gpu, size, latency)"
+_USABLE_SQL = "(VALUES " + ", ".join(f"('{p}', {any(b[0] == p and b[1] == C.NPU for b in C.BACKENDS)}, {any(b[0] == p and b[1] == C.GPU for b in C.BACKENDS)})" for p in _PROFILES) + ") u(profile_id, has_npu, has_gpu)"
+_ASKED_SQL = "CASE event_id % 6 " + " ".join(f"WHEN {i} THEN '{m}'" for i, m in enumerate(_MODEL_IDS)) + " END"
+_SCHEDULE_SQL = f"""q AS (SELECT event_id, {_ASKED_SQL} AS model_id, event_id % 5 AS level, event_id % 3000 * 1000000 AS held, 2621440000 AS budget, {_PROFILE_SQL} AS profile_id FROM events),
+    j AS (SELECT q.*, normal, throttled, m.mem, m.classical, coalesce(m.fb, '{C.CLASSICAL}') AS fallback, CASE WHEN has_npu AND npu THEN '{C.NPU}' WHEN has_gpu AND gpu THEN '{C.GPU}' ELSE '{C.CPU}' END AS backend, m.model_id IS NULL AS unknown,
+        level >= 3 AS hot, held + m.mem > budget AS tight, CASE WHEN level <= 1 THEN normal WHEN level = 2 THEN greatest(normal // 2, 3) ELSE throttled END AS frames
+        FROM q JOIN {_BURST_SQL} USING (profile_id) JOIN {_USABLE_SQL} USING (profile_id) LEFT JOIN {_MODELS_SQL} ON m.model_id = q.model_id),
+    s AS (SELECT event_id, model_id, profile_id, CASE WHEN unknown THEN '{C.CLASSICAL}' WHEN hot OR tight THEN fallback ELSE model_id END AS selected_model, CASE WHEN unknown OR hot OR tight THEN '{C.CPU}' ELSE backend END AS selected_backend,
+        CASE WHEN unknown THEN 1 WHEN hot THEN frames WHEN tight THEN 2 ELSE frames END AS max_frames, CASE WHEN unknown OR hot OR tight THEN TRUE ELSE classical END AS use_fallback,
+        CASE WHEN unknown THEN 'unknown model' WHEN hot THEN 'thermal' WHEN tight THEN 'memory pressure' ELSE 'scheduled' END AS reason FROM j)"""
+
+
+def schedule_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events(spark, sf_dir).select("event_id", pick(_MODEL_IDS, F.col("event_id") % 6).alias("model_id"), (F.col("event_id") % 5).cast("int").alias("thermal_level"), (F.col("event_id") % 3000 * 1_000_000).alias("allocated_bytes"), F.lit(2500 * C.MIB).cast("bigint").alias("budget_bytes"), pick(_PROFILES, F.col("event_id") % 3).alias("profile_id"))
+
+
+@query(f"WITH {_SCHEDULE_SQL} SELECT * FROM s")
+def schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = R.schedules(schedule_requests(spark, sf_dir), C.models(spark), C.device_profiles(spark), C.backends(spark))
+    return found.drop("thermal_level", "allocated_bytes", "budget_bytes")
+
+
+@query(f"WITH {_SCHEDULE_SQL} SELECT event_id, CASE WHEN selected_backend <> '{C.NPU}' THEN selected_backend ELSE 'PASSTHROUGH' END AS ran_on FROM s")
+def dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = R.schedules(schedule_requests(spark, sf_dir), C.models(spark), C.device_profiles(spark), C.backends(spark))
+    return R.dispatch(found, [C.GPU, C.CPU]).select("event_id", "ran_on")
+
+
+@query(f"SELECT p_partkey, p_size - 10 AS fps, CASE WHEN p_size <= 10 THEN 33 ELSE 1000 // (p_size - 10) END AS budget_ms, model_id, latency <= CASE WHEN p_size <= 10 THEN 33 ELSE 1000 // (p_size - 10) END AS is_within FROM part JOIN {_MODELS_SQL} ON model_id = list_value({', '.join(repr(m) for m in _MODEL_IDS[:5])})[p_partkey % 5 + 1]")
+def latency_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") - 10).alias("fps"), pick(_MODEL_IDS[:5], F.col("p_partkey") % 5).alias("model_id"))
+    rows = rows.join(F.broadcast(C.models(spark).select("model_id", "expected_latency_ms")), "model_id").withColumn("budget_ms", R.latency_budget_ms(F.col("fps")))
+    return rows.select("p_partkey", "fps", "budget_ms", "model_id", (F.col("expected_latency_ms") <= F.col("budget_ms")).alias("is_within"))
+
+
+_SIZES_SQL = "(SELECT p_brand, p_partkey AS pos, p_size * 60 AS w, CAST(floor(p_retailprice) AS BIGINT) % 1500 + 100 AS h FROM part)"
+
+
+def sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_brand", F.col("p_partkey").alias("input_pos"), (F.col("p_size") * 60).alias("width"), (F.floor("p_retailprice") % 1500 + 100).cast("int").alias("height"))
+
+
+@query(f"""WITH s AS (SELECT *, w * h AS area, abs(CAST(w AS FLOAT) / CAST(h AS FLOAT) - CAST({16 / 9} AS FLOAT)) AS off FROM {_SIZES_SQL})
+    SELECT p_brand, coalesce(first(w || 'x' || h ORDER BY off, pos) FILTER (w <= 1920 AND h <= 1080), first(w || 'x' || h ORDER BY pos)) AS preview,
+        coalesce(first(w || 'x' || h ORDER BY area DESC, pos) FILTER (w <= 1280), first(w || 'x' || h ORDER BY area, pos)) AS analysis, first(w || 'x' || h ORDER BY area DESC, pos) AS largest FROM s GROUP BY p_brand""")
+def size_select(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = R.best_sizes(sizes(spark, sf_dir), ["p_brand"])
+    return found.select("p_brand", *[L.size_label(F.col(f"{c}.width"), F.col(f"{c}.height")).alias(c) for c in ("preview", "analysis", "largest")])
+
+
+@query(f"SELECT p_brand, count(*) AS n FROM (SELECT DISTINCT p_brand, w, h FROM {_SIZES_SQL}) GROUP BY p_brand")
+def distinct_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sizes(spark, sf_dir).select("p_brand", "width", "height").distinct().groupBy("p_brand").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH r AS (SELECT model_id, CASE WHEN NOT classical AND size <= 0 THEN 1 ELSE 0 END + CASE WHEN mem <= 0 THEN 1 ELSE 0 END + CASE WHEN latency <= 0 THEN 1 ELSE 0 END + CASE WHEN NOT classical AND fb IS NULL THEN 1 ELSE 0 END AS n FROM {_MODELS_SQL})
+    SELECT model_id, n AS issue_count, n = 0 AS is_valid FROM r""")
+def manifest_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.manifest_issues(C.models(spark)).select("model_id", F.size("issues").alias("issue_count"), "is_valid")
+
+
+@query(f"SELECT q.model_id, CASE WHEN m.model_id IS NULL THEN '{C.CLASSICAL}' WHEN fb IS NULL AND classical THEN NULL ELSE coalesce(fb, '{C.CLASSICAL}') END AS fallback FROM (VALUES {', '.join(f'({m!r})' for m in _MODEL_IDS)}) q(model_id) LEFT JOIN {_MODELS_SQL} ON m.model_id = q.model_id")
+def model_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.model_fallbacks(spark.createDataFrame([(m,) for m in _MODEL_IDS], "model_id string"), C.models(spark))
+
+
+@query(f"SELECT profile_id, model_id, CASE WHEN has_npu AND npu THEN '{C.NPU}' WHEN has_gpu AND gpu THEN '{C.GPU}' ELSE '{C.CPU}' END AS backend FROM {_USABLE_SQL}, {_MODELS_SQL}")
+def backend_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = spark.createDataFrame([(p, m[0]) for p in _PROFILES for m in C.MODELS], "profile_id string, model_id string")
+    return R.with_backend(pairs, C.models(spark), C.backends(spark))
+
+
+_CAMERA_SQL = "(VALUES " + ", ".join(f"('{c[0]}', '{c[1]}', '{c[2]}', {c[5] or [c[1]]})" for c in C.CAMERAS) + ") k(profile_id, camera_id, facing, ids)"
+
+
+@query(f"WITH c AS (SELECT * FROM {_CAMERA_SQL}), x AS (SELECT profile_id, camera_id AS logical_id, unnest(ids) AS physical_id FROM c) SELECT x.profile_id, logical_id, physical_id, c.facing FROM x JOIN c ON c.profile_id = x.profile_id AND c.camera_id = x.physical_id")
+def lens_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.lens_map(C.cameras(spark), ["profile_id"]).select("profile_id", "logical_id", "physical_id", "facing")
+
+
+def format_sizes(spark: SparkSession) -> DataFrame:
+    """Of each camera its active size and half of it in every format."""
+    rows = C.cameras(spark).select("profile_id", "camera_id", F.explode(F.array_union("formats", F.array(F.lit("PRIVATE")))).alias("format"), "active")
+    return rows.select("profile_id", "camera_id", "format", F.posexplode(F.array(F.lit(1), F.lit(2), F.lit(4))).alias("input_pos", "by"), "active").select("profile_id", "camera_id", "format", "input_pos", F.expr("cast(active.w div by as int)").alias("width"), F.expr("cast(active.h div by as int)").alias("height"))
+
+
+@query()
+def session_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.session_plans(C.cameras(spark), ["profile_id", "camera_id"], format_sizes(spark))
+
+
+_STREAMS_SQL = "(VALUES " + ", ".join(f"('{u}', '{s[1]}')" for u, ss in R.SESSION_STREAMS.items() for s in ss) + ") s(use_case, format)"
+_LISTED_SQL = "(VALUES " + ", ".join(f"('{c[0]}', '{c[1]}', {c[3] + ['PRIVATE']})" for c in C.CAMERAS) + ") k(profile_id, camera_id, formats)"
+
+
+@query(f"SELECT profile_id, camera_id, use_case, CASE WHEN bool_and(list_contains(formats, CASE WHEN format = 'RAW_SENSOR' AND NOT list_contains(formats, 'RAW_SENSOR') THEN 'RAW10' ELSE format END)) THEN 'SUPPORTED' ELSE 'FAILED' END AS state FROM {_STREAMS_SQL}, {_LISTED_SQL} GROUP BY ALL")
+def stream_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keys = ["profile_id", "camera_id"]
+    return R.stream_matrix(R.session_plans(C.cameras(spark), keys, format_sizes(spark)), format_sizes(spark), keys)
+
+
+@query("SELECT * FROM (VALUES (TRUE, 0, 'PASS'), (FALSE, 3110400, 'PARTIAL')) v(hardware_buffer, per_frame_bytes, status)")
+def copy_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = R.buffer_copies(spark).withColumn("hardware_buffer", F.lit(True)).unionByName(R.buffer_copies(spark, hardware_buffer=False).withColumn("hardware_buffer", F.lit(False)))
+    return R.copy_audit(both, ["hardware_buffer"])
+
+
+@query()
+def memory_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("ledger"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"), (F.when(F.col("l_returnflag") == "R", -1).otherwise(1) * F.col("l_quantity").cast("bigint")).alias("amount"))
+    return R.memory_ledger(rows, ["ledger"], "seq", 200)
+
+
+# -- catalogs, sinks and labels ------------------------------------------------------------------
+
+
+@query(f"SELECT scene_id, category, base AS baseline_psnr_min FROM {SCENES_SQL} WHERE category IN ('TEXT', 'SKIN')")
+def scenes_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.scenes(spark).where(F.col("category").isin("TEXT", "SKIN")).select("scene_id", "category", "baseline_psnr_min")
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}', {c})" for a, b, c in C.ERRORS) + ") e(family, code, is_recoverable)")
+def error_taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.errors(spark)
+
+
+@query("SELECT p_partkey, CAST(row_number() OVER (ORDER BY p_size % 3, p_size % 5, p_size % 7, p_partkey) AS BIGINT) AS place FROM part WHERE p_size < 10")
+def version_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    version = F.struct((F.col("p_size") % 3).alias("major"), (F.col("p_size") % 5).alias("minor"), (F.col("p_size") % 7).alias("patch"))
+    rows = table(spark, sf_dir, "part").where("p_size < 10").select("p_partkey", version.alias("version"))
+    return rows.select("p_partkey", F.row_number().over(Window.orderBy("version", "p_partkey")).cast("bigint").alias("place"))
+
+
+@query(f"SELECT profile_id, total_ram_bytes, os_version_sdk, profile_version, verified FROM (VALUES {', '.join(f'({p[0]!r}, {p[4]}, {p[5]}, 1, {p[11]})' for p in C.PROFILES)}) v(profile_id, total_ram_bytes, os_version_sdk, profile_version, verified)")
+def profile_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    data = sinks.to_key_values(C.device_profiles(spark), C.cameras(spark)).select("data")
+    return data.select(*sinks.from_key_values(F.col("data"))).select("profile_id", "total_ram_bytes", "os_version_sdk", "profile_version", "verified")
+
+
+@query("""SELECT 'c' || c_custkey || '_' || x.n AS name, x.c AS content FROM customer, LATERAL (VALUES ('ORIGINAL.jpg', c_name), ('MASTER.jpg', c_mktsegment), ('META.json', '{"media_id": "c' || c_custkey || '", "capture": {"n": ' || c_nationkey || '}, "processing": {}}')) x(n, c)""")
+def media_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("media_id"), F.encode("c_name", "utf-8").alias("original"), F.encode("c_mktsegment", "utf-8").alias("master"), F.concat(F.lit('{"n": '), F.col("c_nationkey").cast("string"), F.lit("}")).alias("capture_json"), F.lit("{}").alias("processing_json"), F.lit("jpg").alias("format"), F.col("c_custkey").alias("seq"))
+    return sinks.media_files(rows, "seq").select("name", F.decode("content", "utf-8").alias("content"))
+
+
+@query("""SELECT '{"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '"}' AS value FROM nation""")
+def json_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sinks.json_lines(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"))
+
+
+_LEVELS_SQL = " ".join(f"WHEN {k} THEN '{v}'" for k, v in readers.HARDWARE_LEVELS.items())
+_FORMATS_SQL = " ".join(f"WHEN {k} THEN '{v}'" for k, v in readers.FORMATS.items())
+
+
+@query(f"""SELECT CAST(c_custkey AS VARCHAR) AS camera_id, CASE c_nationkey {_LEVELS_SQL} ELSE 'UNKNOWN_' || c_nationkey END AS hardware_level, CASE 30 + c_nationkey {_FORMATS_SQL} ELSE 'FORMAT_' || (30 + c_nationkey) END AS format, CASE WHEN c_custkey % 2 = 0 THEN c_custkey ELSE 100 END AS iso_lo, 3200 AS iso_hi,
+    90 AS sensor_orientation, CASE WHEN c_custkey % 4 > 0 THEN round(1.0::DOUBLE / (c_custkey % 4), 6) ELSE 0.1 END AS focus_distance, 'AE_MODE_' || c_nationkey AS ae_mode, 30 + c_nationkey IN (32, 37) AS has_raw FROM customer""")
+def camera_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    none = F.lit(None).cast("bigint")
+    raw = table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").cast("string").alias("camera_id"), F.col("c_nationkey").alias("level"), F.array(F.lit(30) + F.col("c_nationkey")).alias("formats"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_custkey")).alias("iso_lo"), none.alias("iso_hi"),
+        none.alias("exposure_lo"), none.alias("exposure_hi"), none.alias("orientation"), (F.col("c_custkey") % 4).alias("min_focus"), F.array("c_nationkey").alias("ae_modes"),
+    )
+    found = readers.camera_profiles(raw)
+    return found.select("camera_id", "hardware_level", F.col("formats")[0].alias("format"), F.col("iso_range.lo").alias("iso_lo"), F.col("iso_range.hi").alias("iso_hi"), "sensor_orientation", F.round("focus_distance", 6).alias("focus_distance"), F.col("ae_modes")[0].alias("ae_mode"), "has_raw")
+
+
+@query("""SELECT sensor_type, timestamp_ns, event_id FROM (SELECT CASE event_type WHEN 'click' THEN 'GYROSCOPE' WHEN 'view' THEN 'ACCELEROMETER' ELSE 'OTHER' END AS sensor_type, user_id AS timestamp_ns, max(event_id) AS event_id FROM events GROUP BY ALL) WHERE sensor_type <> 'OTHER'""")
+def imu_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.when(F.col("event_type") == "click", "GYROSCOPE").when(F.col("event_type") == "view", "ACCELEROMETER").otherwise("OTHER")
+    return readers.imu_samples(events(spark, sf_dir).select(kind.alias("sensor_type"), F.col("user_id").alias("timestamp_ns"), "event_id"), "event_id")
+
+
+@query("SELECT DISTINCT o_custkey % 100 AS frame_sequence, o_custkey % 7 AS timestamp_ns, o_orderstatus AS physical_camera_id FROM orders")
+def frame_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 100).alias("frame_sequence"), (F.col("o_custkey") % 7).alias("timestamp_ns"), F.col("o_orderstatus").alias("physical_camera_id"))
+    return readers.distinct_frames(rows)
+
+
+@query("SELECT p_partkey, p_size * 60 || 'x' || p_size AS size, CASE WHEN p_size > 25 THEN '+' ELSE '' END || (p_size - 25) AS ev, CAST(trunc(p_size * 60 * p_size * 1.5) AS BIGINT) AS yuv_bytes, '1/' || (1000000000 // (p_size * 1000000)) || 's' AS shutter FROM part")
+def display_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size = F.col("p_size")
+    return table(spark, sf_dir, "part").select("p_partkey", L.size_label(size * 60, size).alias("size"), L.ev_label(size - 25).alias("ev"), L.yuv_bytes(size * 60, size).alias("yuv_bytes"), L.shutter_label(size.cast("bigint") * 1_000_000).alias("shutter"))
