@@ -84,7 +84,7 @@ def build_rules() -> list[Rule]:
                 found.append(Rule(label, keyword, pattern, 30, 1.0))
             found.append(Rule(family, keyword, name, 10, 0.8))
     for count, word in (("0", "zero"), ("1", "one"), ("2", "two"), ("3", "three"), ("4", "four")):
-        found += [Rule(f"bsd-{count}-clause", "bsd", f"bsd {count} clause", 30, 1.0), Rule(f"bsd-{count}-clause", "bsd", f"{count} clause bsd", 30, 1.0), Rule(f"bsd-{count}-clause", "bsd", f"{word} clause bsd", 30, 1.0)]
+        found += [Rule(f"bsd-{count}-clause", "bsd", f"bsd {count} clause", 30, 1.0), Rule(f"bsd-{count}-clause", "bsd", f"{count} clause bsd(?: licen[cs]e)?", 30, 1.0), Rule(f"bsd-{count}-clause", "bsd", f"{word} clause bsd(?: licen[cs]e)?", 30, 1.0)]
     found += [Rule("bsd", "bsd", "bsd licen[cs]e", 10, 0.8), Rule("bsd-2-clause", "freebsd", "freebsd licen[cs]e", 30, 0.9), Rule("bsd-3-clause", "redistribution", "redistribution and use in source and binary forms", 10, 0.7)]
     single = {"mit": ["mit licen[cs]e", "licen[cs]ed under mit", "expat licen[cs]e"], "isc": ["isc licen[cs]e"], "zlib": ["zlib licen[cs]e"], "unlicense": ["the unlicense"], "wtfpl": ["wtfpl"], "x11": ["x11 licen[cs]e"], "postgresql": ["postgresql licen[cs]e"], "python-2": ["python software foundation licen[cs]e"], "ms-pl": ["microsoft public licen[cs]e"], "ms-rl": ["microsoft reciprocal licen[cs]e"], "vim": ["vim licen[cs]e"], "ncsa": ["ncsa open source licen[cs]e"], "beerware": ["beerware licen[cs]e"], "openssl": ["openssl licen[cs]e"], "curl": ["curl licen[cs]e"], "ruby": ["ruby licen[cs]e"]}
     for label, patterns in single.items():
