@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sensorweave.llm import decontaminate, digests, langid, licenses, near_dups, quality, sentencepiece_codec, toxicity, url_rules, warc
+from sensorweave.llm import decontaminate, digests, langid, licenses, near_dups, oracles, quality, sentencepiece_codec, toxicity, url_rules, warc
 
 PIECE_MODEL = "piece_bpe_32k.model"
 
@@ -73,12 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language": op10_language,
 }
 ORACLES: dict[str, str] = {
-    "op9_warc": """
-        WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
-        d AS (SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha256(html) AS payload_digest FROM p),
-        f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM d)
-        SELECT page_id, payload_bytes, payload_digest,
-               CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
-               CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to
-        FROM f""",
+    "op4_near_dups": oracles.OP4,
+    "op7_decontaminate": oracles.OP7,
+    "op9_warc": oracles.OP9,
 }
