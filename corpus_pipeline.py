@@ -16,6 +16,8 @@ from sensorweave.llm import decontaminate, langid, near_dups, quality, sentencep
 from sensorweave.llm._shared import cut, small_side, stored
 
 PIECE_MODEL = "piece_bpe_32k.model"
+#: Labelled rows that the language model is fitted on, at most; the driver fits two models in one process.
+LANGUAGE_ROWS = 1_500
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,7 +36,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is identified; those without a letter go."""
-    return langid.keep_identified(docs, langid.fit_language(docs))
+    return langid.keep_identified(docs, langid.fit_language(docs, max_rows=LANGUAGE_ROWS))
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
