@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only after its rows were counted and are at most so many.
 BROADCAST_ROWS = 100_000
+TASKS_PER_CORE = 4
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,8 +31,13 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The rows written to the shared folder, so that neither lost executors nor later stages compute them again."""
+    """The rows written to the shared folder, so that neither lost executors nor later stages compute them again.
+
+    In at most ``TASKS_PER_CORE`` files for each core of the cluster: small tables in very many partitions
+    cost a file and a task for each of them in every later stage.
+    """
     spark = df.sparkSession
+    df = df.coalesce(TASKS_PER_CORE * spark.sparkContext.defaultParallelism)
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
     return df.checkpoint()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sensorweave.llm._shared import cut
+from sensorweave.llm._shared import BROADCAST_ROWS, cut
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -25,11 +25,12 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", rounds: i
     for _ in range(rounds):
         if not state[0]:
             break
+        hint = F.broadcast if state[0] <= BROADCAST_ROWS else (lambda df: df)  # there are no more nodes than that
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("w")).select("u", F.least("u", "w").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        large = both.join(hint(least), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v != m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
+        small = large.join(hint(least), "u").where("v != m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
         edges = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
         before, state = state, _state(edges)
         if before == state:

@@ -1,17 +1,21 @@
 """Near-duplicate documents by MinHash signatures and a multi-index Hamming join.
 
 Documents of equal shingle sets form a class, found by a digest of the set; only classes are compared.
-A class has a signature of MinHash values of ``BITS`` bits, split into chunks of ``CHUNK`` values.  By
-the pigeonhole principle, two signatures that differ in at most ``2 * chunks - 1`` values agree in some
-chunk up to one value, so each chunk is entered into the index once for each value left out: the
-allowed errors are enumerated, and all pairs within that distance meet in a bucket.  The number of
-chunks follows from the similarity, so that a pair at the threshold is missed with a chance of less
-than ``MISS`` (pairs above it far less).
-
-Buckets never give all their pairs.  First each member is paired with the bucket's smallest member;
-pairs are confirmed on full shingle sets, and confirmed ones give components.  Then only members of
-one bucket that lie in different components are paired and confirmed.  After that, any two members of
-a bucket are in one component or were compared.  Sizes and signatures rule out pairs before texts are read.
+A class has a signature of MinHash values of ``BITS`` bits, split into chunks of ``CHUNK`` values.
+Each chunk is entered into the index once for each value left out, so the allowed error is enumerated.
+By the pigeonhole principle, two signatures that differ in at most ``2 * (chunks - MEET) + 1`` values
+agree in ``MEET`` chunks up to one value, hence meet in ``MEET`` buckets at least: all pairs within that
+distance are found.  The number of chunks follows from the similarity, so that a pair at the threshold
+is missed with a chance of less than ``MISS`` (pairs above it far less).
+
+Buckets never give all their pairs.  First each member is paired with the bucket's hub, the member
+that meets most others; pairs are confirmed on full shingle sets, and confirmed ones give components.
+Then the members of buckets that still hold several components are paired across components, where
+they have one of their rarest shingles in common: two sets of the similarity share one among the first
+``n - overlap + 1`` of each in any common order, so nothing is lost, and with frequent shingles last
+in order, documents that only share a passage or a template do not meet.  Pairs whose signatures are too
+far apart go, the others are confirmed.  After that, any two classes that meet often enough are in one
+component or were ruled out or compared.
 
 Defined results: a text without a word, or null, has an empty set and is linked with nothing; one with
 fewer words than a shingle has its whole word sequence as its shingle; rows with a null key get no
@@ -37,15 +41,26 @@ from sensorweave.llm.components import connected_components
 BITS = 16
 CHUNK = 6
 MISS = 1e-6
+MEET = 2
+#: Shingles whose count is known when members are paired across components; a bound of what the driver holds.
+FREQUENT = 100_000
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
 def chunk_count(similarity: float) -> int:
-    """Chunks needed so that a pair at the similarity agrees in one, up to one value, but for a chance of MISS."""
-    ok = similarity**CHUNK + CHUNK * (1 - similarity) * similarity ** (CHUNK - 1)
-    return math.ceil(math.log(MISS) / math.log(1 - ok))
+    """Chunks needed so that a pair at the similarity meets in MEET buckets but for a chance of MISS.
+
+    A chunk that agrees wholly gives CHUNK common buckets, one with a single error gives one.
+    """
+    whole, single = similarity**CHUNK, CHUNK * (1 - similarity) * similarity ** (CHUNK - 1)
+    step = np.zeros(CHUNK + 1)
+    step[[0, 1, CHUNK]] = 1 - whole - single, single, whole
+    common, n = np.ones(1), 0
+    while common[:MEET].sum() > MISS:
+        common, n = np.convolve(common, step), n + 1
+    return n
 
 
 def shingle_sets(texts: list[str | None], words: int) -> list[np.ndarray]:
@@ -167,26 +182,90 @@ def _confirmed(pairs: DataFrame, documents: DataFrame, key: str, text: str, word
     both = pairs.select("a", "b").join(texts.select(F.col("digest").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("digest").alias("a"), F.col("text").alias("ta")), "a")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[str | None, np.ndarray] = (None, np.zeros(0, np.uint64))
-        for batch in batches:
-            linked = []
-            for ta, tb in zip(batch.column("ta").to_pylist(), batch.column("tb").to_pylist(), strict=True):
-                if ta != last[0]:
-                    last = (ta, shingle_sets([ta], words)[0])
-                sa, sb = last[1], shingle_sets([tb], words)[0]
-                common = len(np.intersect1d(sa, sb, assume_unique=True))
-                linked.append(100 * common >= percent * (len(sa) + len(sb) - common) and common > 0)
-            keep = pa.array(linked, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):  # a text of several pairs is cut into shingles once
+                batch = whole.slice(at, 500)
+                ta, tb = batch.column("ta").to_pylist(), batch.column("tb").to_pylist()
+                distinct = list(dict.fromkeys([*ta, *tb]))
+                sets = {}
+                for i, j in chunks(distinct):
+                    sets.update(zip(distinct[i:j], shingle_sets(distinct[i:j], words), strict=True))
+                linked = []
+                for x, y in zip(ta, tb, strict=True):
+                    sa, sb = sets[x], sets[y]
+                    common = len(np.intersect1d(sa, sb, assume_unique=True))
+                    linked.append(100 * common >= percent * (len(sa) + len(sb) - common) and common > 0)
+                keep = pa.array(linked, pa.bool_())
+                yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
 
     return both.select("a", "b", "ta", "tb").mapInArrow(compare, "a binary, b binary")
 
 
-def _labels(classes: DataFrame, links: DataFrame) -> DataFrame:
+def _labels(links: DataFrame) -> DataFrame:
     """(digest, component) of the classes that have links."""
     return cut(connected_components(links).select(F.col("node").alias("digest"), "component"))
 
 
+def _mixed(index: DataFrame, labels: DataFrame) -> DataFrame:
+    """(digest, component) of the classes that meet other components in MEET buckets or more."""
+    member = cut(index.select("bucket", "digest").join(labels, "digest", "left").select("bucket", "digest", F.coalesce("component", "digest").alias("component")))
+    mixed = member.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("bucket")
+    return cut(member.join(mixed, "bucket").groupBy("digest", "component").agg(F.count("*").alias("_n")).where(F.col("_n") >= MEET).select("digest", "component"))
+
+
+def _across(member: DataFrame, classes: DataFrame, documents: DataFrame, key: str, text: str, words: int, similarity: float) -> DataFrame:
+    """Pairs (a, b) of members of different components with a common shingle among their first ones, each pair once.
+
+    The order of shingles has those first that are not among the ``FREQUENT`` most frequent ones of the
+    members, by their hash, then the others by their count.  Which pairs come out besides those of the
+    similarity depends on that order, but no such pair is lost in any order.
+    """
+    percent = int(round(similarity * 100))
+    asked = cut(member.join(classes.select("digest", "first_id"), "digest"))
+    found = documents.select(F.col(key).alias("id"), F.col(text).alias("text")).join(small_side(asked.withColumnRenamed("first_id", "id")), "id").select("digest", "component", "text")
+    found = cut(found)
+
+    def own(batch: pa.RecordBatch) -> Iterator[tuple[bytes, bytes, np.ndarray]]:
+        digests, components, texts = (batch.column(c).to_pylist() for c in ("digest", "component", "text"))
+        for a, b in chunks(texts):
+            for d, c, s in zip(digests[a:b], components[a:b], shingle_sets(texts[a:b], words), strict=True):
+                if hashlib.blake2b(s.tobytes(), digest_size=16).digest() == d:
+                    yield d, c, s
+
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [s for _, _, s in own(batch)]
+            yield pa.RecordBatch.from_arrays([pa.array((np.concatenate(sets) if sets else np.zeros(0, np.uint64)).view(np.int64))], names=["shingle"])
+
+    counts = found.mapInArrow(shingles, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).where("n >= 16").orderBy(F.desc("n"), "shingle").limit(FREQUENT).collect()
+    frequent = np.array([r["shingle"] for r in counts], np.int64).view(np.uint64)
+    order = np.argsort(frequent)
+    frequent, times = frequent[order], np.array([r["n"] for r in counts], np.int64)[order]
+
+    def first_ones(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[list] = [[], [], [], [], []]
+            for d, c, s in own(batch):
+                n = len(s)
+                at = np.minimum(np.searchsorted(frequent, s), max(len(frequent) - 1, 0))
+                count = np.where(frequent[at] == s, times[at], 0) if len(frequent) else np.zeros(n, np.int64)
+                some = s[np.lexsort((s, count))][: n - -(-percent * n // 100) + 1]
+                rows[0] += some.view(np.int64).tolist()
+                rows[1] += range(len(some))
+                rows[2] += [n] * len(some)
+                rows[3] += [d] * len(some)
+                rows[4] += [c] * len(some)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["shingle", "place", "n", "digest", "component"])
+
+    posts = cut(found.mapInArrow(first_ones, "shingle long, place int, n int, digest binary, component binary"))
+    left = posts.select("shingle", *[F.col(c).alias(f"{c}_a") for c in ("place", "n", "digest", "component")])
+    right = posts.select("shingle", *[F.col(c).alias(f"{c}_b") for c in ("place", "n", "digest", "component")])
+    overlap = F.ceil((F.col("n_a") + F.col("n_b")) * percent / F.lit(100 + percent))
+    near = (F.col("component_a") < F.col("component_b")) & (F.col("place_a") <= F.col("n_a") - overlap) & (F.col("place_b") <= F.col("n_b") - overlap)
+    joined = left.join(right, (left["shingle"] == right["shingle"]) & near)
+    return joined.select(F.least("digest_a", "digest_b").alias("a"), F.greatest("digest_a", "digest_b").alias("b")).distinct()
+
+
 def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """Per row: key, n_shingles, component_id (the smallest key that links reach, itself included), kept.
 
@@ -196,14 +275,17 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text
     rows = cut(_features(documents, key, text, words, values))
     named = rows.where("id is not null and digest is not null")
     classes = cut(named.groupBy("digest").agg(F.min("id").alias("first_id"), F.first("n").alias("n"), F.first("sig").alias("sig")))
-    shared = _index(classes, values).groupBy("bucket").agg(F.min("digest").alias("a"), F.count("*").alias("size")).where("size > 1").select("bucket", "a")
-    shared = cut(shared)
-    index = cut(_index(classes, values).join(shared, "bucket").select("bucket", "a", F.col("digest").alias("b")))
-    stars = cut(_near_signatures(index.where("a != b").select("a", "b").distinct(), classes, values, similarity))
-
-    best = stars.groupBy("b").agg(F.min_by(F.struct("a", "ida", "idb"), F.struct("far", "a")).alias("x")).select("x.a", "b", "x.ida", "x.idb")
-    links = cut(_confirmed(cut(best), documents, key, text, words, similarity))
-    labels = _labels(classes, links)
+    shared = cut(_index(classes, values).groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"))
+    index = cut(_index(classes, values).join(shared, "bucket"))
+    degree = index.groupBy("digest").agg(F.sum("size").alias("degree"))
+    index = cut(index.join(degree, "digest").select("bucket", "digest", "degree"))
+    hubs = index.groupBy("bucket").agg(F.max(F.struct("degree", "digest")).alias("hub")).select("bucket", F.col("hub.digest").alias("a"))
+    stars = index.join(hubs, "bucket").where("a != digest").groupBy("a", F.col("digest").alias("b")).agg(F.count("*").alias("_met")).where(F.col("_met") >= MEET).select("a", "b")
+    stars = cut(_near_signatures(stars, classes, values, similarity))
+
+    best = cut(stars.groupBy("b").agg(F.min_by(F.struct("a", "ida", "idb"), F.struct("far", "a")).alias("x")).select("x.a", "b", "x.ida", "x.idb"))
+    links = cut(_confirmed(best, documents, key, text, words, similarity))
+    labels = _labels(links)
 
     def apart(pairs: DataFrame) -> DataFrame:
         """The pairs whose classes are not in one component yet."""
@@ -212,20 +294,14 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text
         return joined.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select(pairs.columns)
 
     rest = cut(apart(stars.join(best.select("a", "b"), ["a", "b"], "left_anti")).select("a", "b", "ida", "idb"))
-    more = cut(_confirmed(rest, documents, key, text, words, similarity))
-    links = cut(links.unionByName(more))
-    labels = _labels(classes, links)
+    links = cut(links.unionByName(_confirmed(rest, documents, key, text, words, similarity)))
+    labels = _labels(links)
 
-    member = index.select("bucket", F.col("b").alias("digest")).join(labels, "digest", "left").select("bucket", "digest", F.coalesce("component", "digest").alias("component"))
-    mixed = member.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("bucket")
-    member = cut(member.join(mixed, "bucket"))
-    left = member.select("bucket", F.col("digest").alias("a"), F.col("component").alias("of_a"))
-    right = member.select("bucket", F.col("digest").alias("b"), F.col("component").alias("of_b"))
-    across = left.join(right, "bucket").where("of_a < of_b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    across = across.join(stars.select("a", "b"), ["a", "b"], "left_anti")
+    across = _across(_mixed(index, labels), classes, documents, key, text, words, similarity).join(stars.select("a", "b"), ["a", "b"], "left_anti")
+    across = across.join(stars.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
     across = cut(_near_signatures(across, classes, values, similarity).select("a", "b", "ida", "idb"))
-    links = links.unionByName(_confirmed(across, documents, key, text, words, similarity))
-    labels = _labels(classes, cut(links))
+    links = cut(links.unionByName(_confirmed(across, documents, key, text, words, similarity)))
+    labels = _labels(links)
 
     placed = classes.select("digest", "first_id").join(labels, "digest", "left").select("digest", "first_id", F.coalesce("component", "digest").alias("component"))
     named_by = placed.groupBy("component").agg(F.min("first_id").alias("component_id"))
