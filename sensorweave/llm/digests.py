@@ -22,6 +22,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sensorweave.llm._flat import byte_buffer, chunks, mix
 
@@ -168,7 +169,7 @@ def fingerprint_column(df: DataFrame, text: str = "text", out: str = "fingerprin
             found = [to_text(c) for a, b in chunks(texts) for c in filters(texts[a:b])]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], names=[*batch.schema.names, out])
 
-    return df.mapInArrow(run, df.schema.add(out, "string"))
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out, T.StringType())]))
 
 
 def with_next(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

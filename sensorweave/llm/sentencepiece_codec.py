@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sensorweave.llm._flat import chunks
 
@@ -351,7 +352,7 @@ def _sha(text: str) -> str:
 def encode_column(df: DataFrame, model: PieceModel, text: str = "text", ids: str = "ids") -> DataFrame:
     """Adds the ids of ``text`` as array<int>; every other column stays, an older ``ids`` column goes."""
     df = df.drop(ids)
-    schema = df.schema.add(ids, "array<int>")
+    schema = T.StructType([*df.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -364,7 +365,7 @@ def encode_column(df: DataFrame, model: PieceModel, text: str = "text", ids: str
 def decode_column(df: DataFrame, model: PieceModel, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """Adds the text of ``ids``; null ids give the empty text."""
     df = df.drop(text)
-    schema = df.schema.add(text, "string")
+    schema = T.StructType([*df.schema.fields, T.StructField(text, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
