@@ -3,12 +3,12 @@
 Every window of ``WINDOW`` bytes has an entropy of order 2, given by the number of equal byte pairs in
 it.  Its rarity is how improbable that number is for text (a Poisson law of mean ``USUAL_PAIRS``);
 windows of very low entropy are left out.  Of each ``SPAN`` consecutive windows the rarest, the first
-of equals, gets a vote, and windows of at least ``VOTES`` votes are the features.  Features are
-inserted in order of place into Bloom filters of ``FILTER_BITS`` bits, ``PER_FILTER`` to a filter, which
-form the fingerprint.  Two fingerprints are compared by the overlap of their filters beyond chance.
+of equals, gets a vote, and windows of at least ``VOTES`` votes are the features; where no window has so
+many, the one of most votes is.  Features are in order of place into Bloom filters of ``FILTER_BITS`` bits, ``PER_FILTER`` to a filter, which form the
+fingerprint.  Two fingerprints are compared by the overlap of their filters beyond chance.
 
-Defined results: a null text is the empty text; a text shorter than a window is one feature, the empty
-text none; equal texts have equal fingerprints and likeness 1, an empty and another text likeness 0.
+Defined results: a null text is the empty text; a text shorter than a window is one feature, and so is a
+text with windows of very low entropy only; the empty text alone has none; equal texts have equal fingerprints and likeness 1, an empty and another text likeness 0.
 """
 
 from __future__ import annotations
@@ -70,6 +70,12 @@ def pair_counts(buf: np.ndarray) -> np.ndarray:
     return np.cumsum(steps)
 
 
+def _whole(buf: np.ndarray, offsets: np.ndarray, texts: np.ndarray) -> np.ndarray:
+    """64-bit hashes of whole texts."""
+    own = [int.from_bytes(hashlib.blake2b(buf[offsets[i] : offsets[i + 1]].tobytes(), digest_size=8).digest(), "little") for i in texts]
+    return np.array(own, np.uint64)
+
+
 def features(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Text number and 64-bit hash of every feature, by text and place, each hash once in a text."""
     sizes = np.diff(offsets)
@@ -94,7 +100,10 @@ def features(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
         # texts with windows but no whole span: their single rarest window
         middle = np.flatnonzero((sizes >= WINDOW) & (sizes < WINDOW + SPAN - 1))
         single = [a + int(key[a : a + s - WINDOW + 1].argmin()) for a, s in zip(offsets[middle].tolist(), sizes[middle].tolist(), strict=True)]
-        places = np.union1d(picked, np.array(single, np.int64))
+        # texts with spans but no window of VOTES votes: their first window of most votes
+        few = np.setdiff1d(np.flatnonzero(sizes >= WINDOW + SPAN - 1), owner[picked])
+        most = [a + int(votes[a : a + s - WINDOW + 1].argmax()) for a, s in zip(offsets[few].tolist(), sizes[few].tolist(), strict=True)]
+        places = np.union1d(picked, np.array(single + [i for i in most if votes[i]], np.int64))
         texts = owner[places]
     with np.errstate(over="ignore"):
         grid = buf[places[:, None] + np.arange(WINDOW)] if len(places) else np.zeros((0, WINDOW), np.uint8)
@@ -102,8 +111,7 @@ def features(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
         for column in np.ascontiguousarray(grid).view(np.uint64).T:
             hashes = mix(hashes * np.uint64(0x9E3779B97F4A7C15) + column)
     short = np.flatnonzero((sizes > 0) & (sizes < WINDOW))
-    own = [int.from_bytes(hashlib.blake2b(buf[offsets[i] : offsets[i + 1]].tobytes(), digest_size=8).digest(), "little") for i in short]
-    texts, hashes = np.concatenate([texts, short]), np.concatenate([hashes, np.array(own, np.uint64)])
+    texts, hashes = np.concatenate([texts, short]), np.concatenate([hashes, _whole(buf, offsets, short)])
     order = np.argsort(texts, kind="stable")
     texts, hashes = texts[order], hashes[order]
     _, first = np.unique(np.rec.fromarrays([texts, hashes]), return_index=True)
@@ -112,9 +120,13 @@ def features(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def filters(texts: list[str | None]) -> list[np.ndarray]:
-    """The chain of filters of each text, packed, one row a filter."""
+    """The chain of filters of each text, packed, one row a filter; a text without rare windows is hashed whole."""
     buf, offsets = byte_buffer(texts)
     owner, hashes = features(buf, offsets)
+    bare = np.setdiff1d(np.flatnonzero(np.diff(offsets)), owner)
+    owner, hashes = np.concatenate([owner, bare]), np.concatenate([hashes, _whole(buf, offsets, bare)])
+    order = np.argsort(owner, kind="stable")
+    owner, hashes = owner[order], hashes[order]
     counts = np.bincount(owner, minlength=len(texts))
     within = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
     chains = -(-counts // PER_FILTER)

@@ -33,6 +33,15 @@ def test_likeness():
     assert D.likeness(a, a[:0]) == 0 and D.likeness(a[:0], a[:0]) == 1
 
 
+def test_only_the_empty_text_has_no_filter():
+    prose = GOOD * 3
+    texts = [prose[:n] for n in range(1, 200)] + ["x" * 300, "x" * 301, "-" * 5000, "| | " * 90, "x" * 400 + prose[:40]]
+    chains = D.filters(["", *texts, ""])
+    assert [len(c) for c in (chains[0], chains[-1])] == [0, 0] and all(len(c) and c.any() for c in chains[1:-1])
+    bare = D.filters(["x" * 300, "x" * 301, "-" * 5000])
+    assert all(D.likeness(a, b) < 1 for i, a in enumerate(bare) for b in bare[:i]) and D.likeness(bare[0], chains[0]) == 0
+
+
 def test_compare_with_next(spark):
     df = awkward(spark, [(100 + 3 * i, GOOD[i:] + str(i), "en", "s", 0) for i in range(40)])
     rows = sorted(((r["doc_id"] is not None, r["doc_id"] or 0, r["text"] or "") for r in df.collect()))
