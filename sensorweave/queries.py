@@ -327,6 +327,13 @@ def encode_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").where("n_chars < 200").select("doc_id", F.hex(P.encode_jpeg(raw)).alias("jpeg"), F.hex(P.encode_dng(raw)).alias("dng"))
 
 
+@query("SELECT doc_id, 'FFD8FFE0' || hex(encode(text)) AS jpeg, '49492A00' || hex(encode(text)) AS dng FROM documents")
+def encode_headers_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``encode_headers`` over buffers of any length."""
+    raw = F.encode("text", "utf-8")
+    return table(spark, sf_dir, "documents").select("doc_id", F.hex(P.encode_jpeg(raw)).alias("jpeg"), F.hex(P.encode_dng(raw)).alias("dng"))
+
+
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN o_orderkey * 10 ELSE coalesce(b, 0) END AS bytes FROM orders LEFT JOIN (SELECT l_orderkey, sum(length(l_returnflag || l_linestatus)) AS b FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey")
 def frame_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct(F.concat("l_returnflag", "l_linestatus").alias("buffer"))).alias("planes"))
