@@ -126,6 +126,15 @@ def pair_full_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairing.pair_exact(left, right, ["order_key"])
 
 
+@query("""SELECT coalesce(o.k, l.k) AS order_key, CASE WHEN l.k IS NULL THEN 'left_only' WHEN o.k IS NULL THEN 'right_only' ELSE 'paired' END AS status
+    FROM (SELECT o_orderkey AS k FROM orders) o FULL JOIN (SELECT DISTINCT l_orderkey AS k FROM lineitem) l ON o.k = l.k""")
+def pair_full_outer_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``pair_full_outer`` over all keys of both tables."""
+    left = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("order_key"))
+    right = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("order_key")).distinct()
+    return pairing.pair_exact(left, right, ["order_key"])
+
+
 def arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of each type as arrivals: images and results of a user within an hour share a key."""
     return events(spark, sf_dir).select(F.col("event_type").alias("stream"), F.when(F.col("event_id") % 2 == 0, "image").otherwise("result").alias("side"), F.floor(F.col("us") / 3_600_000_000).alias("timestamp_ns"), F.floor(F.col("us") / 3_600_000).alias("arrival_ms"))

@@ -14,3 +14,10 @@ def test_buffers_of_any_length_are_encoded(spark, tmp_path):
     d = folder(spark, tmp_path, documents=([(k, t, len(t or "")) for k, t in texts.items()], "doc_id bigint, text string, n_chars bigint"))
     found = {r["doc_id"]: (r["jpeg"], r["dng"]) for r in Q.QUERIES["encode_headers_whole"](spark, d).collect()}
     assert found == {k: (None, None) if t is None else tuple(m + t.encode().hex().upper() for m in ("FFD8FFE0", "49492A00")) for k, t in texts.items()}
+
+
+def test_all_keys_are_paired(spark, tmp_path):
+    orders, lines = {1, 3, 6, 10, 15, 30, 45}, {2, 3, 5, 10, 15, 30, 31}  # gaps on both sides
+    d = folder(spark, tmp_path, orders=([(k,) for k in orders], "o_orderkey bigint"), lineitem=([(k,) for k in lines for _ in range(3)], "l_orderkey bigint"))
+    found = sorted((r["order_key"], r["status"]) for r in Q.QUERIES["pair_full_outer_whole"](spark, d).collect())
+    assert found == sorted((k, "paired" if k in orders & lines else "left_only" if k in orders else "right_only") for k in orders | lines)
