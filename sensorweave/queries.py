@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from sensorweave.functions import labels as L
 from sensorweave.functions import planes as P
 from sensorweave.operators import metrics as M
-from sensorweave.operators import pairing, retention, temporal
+from sensorweave.operators import pairing, ranking, retention, temporal
 from sensorweave.plans import rules as R
 from sensorweave.sources import catalogs as C
 from sensorweave.sources import readers, sinks
@@ -557,13 +557,20 @@ def error_taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.errors(spark)
 
 
+def version_places(parts: DataFrame) -> DataFrame:
+    rows = parts.select("p_partkey", (F.col("p_size") % 3).alias("major"), (F.col("p_size") % 5).alias("minor"), (F.col("p_size") % 7).alias("patch"))
+    return ranking.places(rows, ["major", "minor", "patch", "p_partkey"]).select("p_partkey", "place")
+
+
 @query("SELECT p_partkey, CAST(row_number() OVER (ORDER BY p_size % 3, p_size % 5, p_size % 7, p_partkey) AS BIGINT) AS place FROM part WHERE p_size < 10")
 def version_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
+    return version_places(table(spark, sf_dir, "part").where("p_size < 10"))
+
 
-    version = F.struct((F.col("p_size") % 3).alias("major"), (F.col("p_size") % 5).alias("minor"), (F.col("p_size") % 7).alias("patch"))
-    rows = table(spark, sf_dir, "part").where("p_size < 10").select("p_partkey", version.alias("version"))
-    return rows.select("p_partkey", F.row_number().over(Window.orderBy("version", "p_partkey")).cast("bigint").alias("place"))
+@query("SELECT p_partkey, CAST(row_number() OVER (ORDER BY p_size % 3, p_size % 5, p_size % 7, p_partkey) AS BIGINT) AS place FROM part")
+def version_order_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``version_order`` over all parts."""
+    return version_places(table(spark, sf_dir, "part"))
 
 
 @query(f"SELECT profile_id, total_ram_bytes, os_version_sdk, profile_version, verified FROM (VALUES {', '.join(f'({p[0]!r}, {p[4]}, {p[5]}, 1, {p[11]})' for p in C.PROFILES)}) v(profile_id, total_ram_bytes, os_version_sdk, profile_version, verified)")
