@@ -4,13 +4,15 @@ Each stage takes (spark, docs, sf_dir), works on all rows of ``docs`` and return
 the last return the columns of ``documents``.  Between stages the rows are written as Parquet to the
 shared folder and read again, so a lost executor costs no earlier stage.
 
-Rows with a null key go through the filters by their text and are never taken for duplicates.
+Near duplicates and contaminated rows are rejected by a key of the row, made of its id and text, so rows
+that share an id, or have none, are judged each by its own text; of rows equal in both one stays.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sensorweave.llm import decontaminate, langid, near_dups, quality, sentencepiece_codec
 from sensorweave.llm._shared import cut, small_side, stored
@@ -19,14 +21,22 @@ PIECE_MODEL = "piece_bpe_32k.model"
 #: Labelled rows that the language model is fitted on, at most; the driver fits two models in one process.
 LANGUAGE_ROWS = 1_500
 
+ROW = "_row_key"
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose key is not among the rejected ones; those are broadcast only if few."""
-    return docs.join(small_side(cut(rejected.select("doc_id").distinct())), "doc_id", "left_anti").select(docs.columns)
+def _keyed(docs: DataFrame) -> DataFrame:
+    """The rows with their key: the id as digits that sort as it does, nulls last, and a digest of the text."""
+    digits = F.lpad(F.hex(F.col("doc_id").cast("bigint").bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")
+    return docs.withColumn(ROW, F.concat(F.coalesce(digits, F.lit("null")), F.lit(" "), F.coalesce(F.md5("text"), F.lit("null"))))
+
+
+def _without(rows: DataFrame, rejected: DataFrame) -> DataFrame:
+    """The rows whose key is not among the rejected ones; those are broadcast only if few."""
+    return rows.join(small_side(cut(rejected.select(ROW).distinct())), ROW, "left_anti").select(rows.columns)
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,15 +50,20 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five words, similarity 0.8): the one of the smallest id."""
-    found = near_dups.near_duplicates(docs, words=5, similarity=0.8)
-    return _without(docs, found.where("component_id is not null and not kept"))
+    """One row of each group of near duplicates (five words, similarity 0.8): the one of the smallest id."""
+    rows = _keyed(docs)
+    found = cut(near_dups.near_duplicates(rows, key=ROW, words=5, similarity=0.8))
+    rows = _without(rows, found.where("not kept"))
+    repeated = small_side(cut(found.where("kept").groupBy(ROW).agg(F.count("*").alias("n")).where("n > 1").select(ROW)))
+    once = rows.join(repeated, ROW, "left_semi").dropDuplicates([ROW])
+    return rows.join(repeated, ROW, "left_anti").unionByName(once).select(docs.columns)
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which less than a twentieth stands in benchmark windows."""
-    found = decontaminate.contamination(docs, _table(spark, sf_dir, "benchmark"))
-    return _without(docs, found.where("contaminated"))
+    rows = _keyed(docs)
+    found = decontaminate.contamination(rows, _table(spark, sf_dir, "benchmark"), key=ROW)
+    return _without(rows, found.where("contaminated")).select(docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tests.llm.helpers import GOOD, awkward, empty
+from tests.llm.helpers import GOOD, SCHEMA, awkward, empty
 
 
 @pytest.fixture
@@ -40,3 +40,16 @@ def test_awkward_rows(spark, folder):
 def test_empty_table(spark, folder):
     kept, _, rows = run(spark, empty(spark), folder)
     assert kept == [0, 0, 0, 0] and rows == []
+
+
+def test_rows_of_one_id_or_none_are_judged_by_their_own_text(spark, folder):
+    other, third = "un autre texte en français avec des mots tout à fait différents", "drei kurze sätze stehen hier und keiner von ihnen kommt sonst vor"
+    tainted = "seven maids with seven mops swept it for half a year do you suppose the walrus said so"
+    rows = [(10, GOOD), (-3, GOOD), (20, GOOD), (20, other), (20, other), (None, GOOD), (None, third), (None, third), (7, tainted), (7, "a clean text of the same id as a tainted one"), (None, tainted)]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in rows], SCHEMA)
+    found = corpus_pipeline.distinct_documents(spark, docs, folder)
+    left = sorted((r["doc_id"] or 0, r["text"]) for r in found.collect())
+    assert left == sorted([(-3, GOOD), (20, other), (0, third), rows[8], rows[9]])
+    clean = corpus_pipeline.uncontaminated(spark, docs, folder)
+    assert clean.columns == docs.columns
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in clean.collect()) == sorted((k or 0, t) for k, t in rows if t != tainted)
