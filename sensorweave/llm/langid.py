@@ -175,10 +175,11 @@ def _sample(documents: DataFrame, key: str, text: str, lang: str, max_rows: int)
     known = documents.where(F.col(key).isNotNull() & F.col(lang).isNotNull() & (fold(key, 4) != 2))
     sizes = {r[lang]: r["n"] for r in known.groupBy(lang).agg(F.count("*").alias("n")).collect()}
     share = max_rows / max(1, len(sizes))
-    place = F.abs(F.xxhash64(F.col(key)) % 1_000_000)
+    # a second hash parts keys of one millionth, so that a share of less than a millionth still holds rows
+    place = F.abs(F.xxhash64(F.col(key)) % 1_000_000) + F.shiftrightunsigned(F.xxhash64(F.col(key), F.lit("part")), 11) / float(1 << 53)
     within = F.lit(False)
     for name, n in sorted(sizes.items()):
-        within = within | ((F.col(lang) == name) & (place < int(1_000_000 * min(1.0, share / n))))
+        within = within | ((F.col(lang) == name) & (place < 1_000_000 * min(1.0, share / n)))
     chosen = known.select(F.col(key)).where(within if sizes else F.lit(False))
     chosen = known.where(within).select(key) if sizes else chosen
     chosen = chosen.distinct().orderBy(F.xxhash64(key), key).limit(max_rows)

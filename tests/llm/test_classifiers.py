@@ -131,3 +131,12 @@ def test_language_awkward(spark):
     none = langid.fit_language(df.withColumn("lang", F.lit(None).cast("string")))
     assert {r["lang_pred"] for r in langid.identify(df, none).collect()} == {"und"}
     assert langid.identify(empty(spark), model).count() == 0 and GOOD
+
+
+def test_a_language_of_very_many_rows_is_sampled(spark):
+    df = spark.range(8_000_000).select(F.col("id").alias("doc_id"), F.lit("some words").alias("text"), F.lit("en").alias("lang"))
+    sample = langid._sample(df, "doc_id", "text", "lang", 5)
+    try:
+        assert 1 <= sample.count() <= 5
+    finally:
+        sample.unpersist()
