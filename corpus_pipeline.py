@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sensorweave.llm import decontaminate, langid, near_dups, quality, sentencepiece_codec
-from sensorweave.llm._shared import cut, small_side, stored
+from sensorweave.llm._shared import small_side, stored
 
 PIECE_MODEL = "piece_bpe_32k.model"
 #: Labelled rows that the language model is fitted on, at most; the driver fits two models in one process.
@@ -36,7 +36,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def _without(rows: DataFrame, rejected: DataFrame) -> DataFrame:
     """The rows whose key is not among the rejected ones; those are broadcast only if few."""
-    return rows.join(small_side(cut(rejected.select(ROW).distinct())), ROW, "left_anti").select(rows.columns)
+    return rows.join(small_side(stored(rejected.select(ROW).distinct(), "rejected")), ROW, "left_anti").select(rows.columns)
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,9 +52,9 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near duplicates (five words, similarity 0.8): the one of the smallest id."""
     rows = _keyed(docs)
-    found = cut(near_dups.near_duplicates(rows, key=ROW, words=5, similarity=0.8))
+    found = stored(near_dups.near_duplicates(rows, key=ROW, words=5, similarity=0.8), "near-dups-found")
     rows = _without(rows, found.where("not kept"))
-    repeated = small_side(cut(found.where("kept").groupBy(ROW).agg(F.count("*").alias("n")).where("n > 1").select(ROW)))
+    repeated = small_side(stored(found.where("kept").groupBy(ROW).agg(F.count("*").alias("n")).where("n > 1").select(ROW), "repeated"))
     once = rows.join(repeated, ROW, "left_semi").dropDuplicates([ROW])
     return rows.join(repeated, ROW, "left_anti").unionByName(once).select(docs.columns)
 
