@@ -10,7 +10,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 
 #: Texts are handled in chunks of about this many bytes, so that memory does not follow the batch.
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 500_000
 
 _MIX1 = np.uint64(0xBF58476D1CE4E5B9)
 _MIX2 = np.uint64(0x94D049BB133111EB)
@@ -92,17 +92,24 @@ def token_spans(is_word: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, n
 
 
 def token_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span's bytes; the same bytes have the same hash in every text."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
+    """A 64-bit hash of each span's bytes; the same bytes have the same hash in every text.
+
+    Spans are taken in blocks of about ``CHUNK_BYTES``, so that a very long text needs no more than a chunk.
+    """
+    out = np.empty(len(starts), np.uint64)
     lengths = ends - starts
-    total = int(lengths.sum())
-    begin = np.cumsum(lengths) - lengths
-    within = np.arange(total, dtype=np.int64) - np.repeat(begin, lengths)
-    picked = buf[np.repeat(starts, lengths) + within].astype(np.uint64) + np.uint64(1)
-    with np.errstate(over="ignore"):
-        sums = np.add.reduceat(picked * _pow(int(lengths.max()))[within], begin)
-        return mix(sums + lengths.astype(np.uint64) * np.uint64(0x632BE59BD9B4E019))
+    sums = np.cumsum(lengths)
+    at = 0
+    while at < len(starts):
+        stop = max(at + 1, int(np.searchsorted(sums, sums[at] - lengths[at] + CHUNK_BYTES, "right")))
+        n = lengths[at:stop]
+        begin = sums[at:stop] - n - (sums[at] - lengths[at])
+        within = np.arange(int(n.sum()), dtype=np.int64) - np.repeat(begin, n)
+        picked = buf[np.repeat(starts[at:stop], n) + within].astype(np.uint64) + np.uint64(1)
+        with np.errstate(over="ignore"):
+            out[at:stop] = mix(np.add.reduceat(picked * _pow(int(n.max()))[within], begin) + n.astype(np.uint64) * np.uint64(0x632BE59BD9B4E019))
+        at = stop
+    return out
 
 
 def ngram_hashes(hashes: np.ndarray, n: int) -> np.ndarray:

@@ -6,11 +6,15 @@ span is found: training and test fingerprints are joined, and only documents wit
 go on.  There each hit is extended: the windows that hold the fingerprint are compared word by word
 with the items' windows, and the words of matching windows are counted once.
 
-Items shorter than a window are one window of their own length; for each such length the documents'
-word sequences of that length are looked up directly among the items.
+Items shorter than a window are one window of their own length; the hashes of the documents' word
+sequences of all such lengths are looked up together, in one more pass over the documents.
+
+Hits belong to a text, not to a key, so rows are judged each by its own text, whatever their keys.
 
 Defined results: null and wordless texts have no words and no hits; items without words are ignored;
-equal item ids count once; rows with a null key have words but no hits; other columns may have any name.
+equal item ids count once; windows of items with a null id are hits, but such items are neither counted
+nor named; rows with a null key and repeated rows are judged like any other; other columns may have any
+name.
 """
 
 from __future__ import annotations
@@ -18,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sensorweave.llm._shared import cut, small_side
+from sensorweave.llm._shared import Tables, small_side
 
 #: Words are runs of ASCII letters and digits and of all characters beyond ASCII.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -71,43 +75,65 @@ def winnowed(df: DataFrame, words_column: str = "words") -> DataFrame:
     return df.withColumn("kept", F.col("_6")).drop("_1", "_2", "_4", "_6")
 
 
-def _spans(df: DataFrame, key: str, starts: Column, length: int) -> DataFrame:
-    """(key, start, length, span) for the starts given, the span's words in one string."""
-    at = df.select(key, "words", F.explode(starts).alias("start"))
-    return at.select(key, "start", F.lit(length).alias("length"), F.array_join(F.slice("words", F.col("start") + 1, length), " ").alias("span"))
+def _span(start: Column, length: Column) -> Column:
+    return F.array_join(F.slice("words", start + 1, length), " ")
+
+
+def _windows(items: DataFrame) -> DataFrame:
+    """(item, length, span) of the distinct windows of items: their words in one string."""
+    length = F.least(F.size("words"), F.lit(WINDOW))
+    at = items.select("item", "words", length.alias("length"), F.explode(F.sequence(F.lit(0), F.size("words") - length)).alias("start"))
+    return at.select("item", "length", _span(F.col("start"), F.col("length")).alias("span")).distinct()
+
+
+def _sequences(length: int) -> Column:
+    """(length, start, print) of every sequence of ``length`` of the hashes in ``_1``."""
+    found = F.col("_1")
+    for by in range(1, length):
+        later, n = _later(F.col("_1"), by), F.greatest(F.size("_1") - by, F.lit(0))
+        found = F.zip_with(F.slice(found, 1, n), later, lambda a, b: F.xxhash64(a, b))
+    return F.transform(found, lambda h, i: F.struct(F.lit(length).alias("length"), i.alias("start"), h.alias("print")))
 
 
-def find_hits(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(key, start, length, span) of every occurrence of an item window, and the items' distinct (span, item)."""
-    items = cut(benchmark.select(F.col(item).alias("item"), words(item_text).alias("words")).where("size(words) > 0"))
-    long = items.where(F.size("words") >= WINDOW)
-    windows = _spans(long, "item", F.sequence(F.lit(0), F.size("words") - WINDOW), WINDOW)
-    short = items.where(F.size("words") < WINDOW).select("item", F.size("words").alias("length"), F.array_join("words", " ").alias("span"))
-    spans = cut(windows.select("item", "length", "span").unionByName(short).distinct())
-    distinct = small_side(spans.select("length", "span").distinct())
+def _short_hits(docs: DataFrame, short: DataFrame) -> DataFrame:
+    """(doc, start, length, span) of the short windows (length, span) that stand in ``docs``."""
+    lengths = [r["length"] for r in short.select("length").distinct().orderBy("length").collect()]  # at most WINDOW - 1
+    if not lengths:
+        return docs.select("doc", F.lit(0).alias("start"), F.lit(0).alias("length"), F.lit("").alias("span")).where("false")
+    hashed = short.select("span", F.transform(F.split("span", " "), lambda w: F.xxhash64(w)).alias("_1"))
+    asked = hashed.select("span", F.explode(F.concat(*[F.slice(_sequences(n), 1, 1) for n in lengths])).alias("x")).where(F.col("x.length") == F.size(F.split("span", " "))).select("span", "x.length", "x.print")
+    own = docs.select("doc", words("text").alias("words")).withColumn("_1", F.transform("words", lambda w: F.xxhash64(w)))
+    places = own.select("doc", "words", F.explode(F.concat(*[_sequences(n) for n in lengths])).alias("x")).select("doc", "words", "x.*")
+    return places.join(small_side(asked), ["length", "print"]).where(_span(F.col("start"), F.col("length")) == F.col("span")).select("doc", "start", "length", "span").distinct()
 
-    prints = cut(winnowed(long).select(F.explode(F.array_distinct("kept")).alias("print")).distinct())
-    docs = documents.select(F.col(key).alias("doc"), F.col(text).alias("text"))
-    kept = winnowed(docs.select("doc", words("text").alias("words"))).select("doc", F.explode(F.array_distinct("kept")).alias("print"))
-    found = cut(kept.join(small_side(prints), "print").groupBy("doc").agg(F.collect_set("print").alias("prints")))
-    again = winnowed(docs.join(small_side(found), "doc").select("doc", words("text").alias("words"), "prints"))
+
+def find_hits(documents: DataFrame, windows: DataFrame, prints: DataFrame) -> DataFrame:
+    """(doc, start, length, span) of every occurrence of ``windows`` (length, span) in documents (doc, text).
+
+    ``prints`` (doc, print) holds the documents' fingerprints that are those of an item.
+    """
+    found = prints.groupBy("doc").agg(F.collect_set("print").alias("prints"))
+    again = winnowed(documents.join(small_side(found), "doc").select("doc", words("text").alias("words"), "prints"))
     # a place of ``kept`` is the start of a window; where its smallest hash is an item's, the window may be one
     starts = F.filter(F.transform("kept", lambda h, i: F.when(F.array_contains("prints", h), i)), lambda i: i.isNotNull())
-    hits = _spans(again, "doc", starts, WINDOW).join(distinct, ["length", "span"]).select("doc", "start", "length", "span")
-    for (length,) in sorted(short.select("length").distinct().collect()):  # at most WINDOW - 1 lengths
-        at = docs.select("doc", words("text").alias("words")).where(F.size("words") >= length)
-        own = _spans(at, "doc", F.sequence(F.lit(0), F.size("words") - length), length)
-        hits = hits.unionByName(own.join(distinct.where(F.col("length") == length), ["length", "span"]).select("doc", "start", "length", "span"))
-    return hits, spans
+    places = again.select("doc", "words", F.explode(starts).alias("start"), F.lit(WINDOW).alias("length")).select("doc", "start", "length", _span(F.col("start"), F.col("length")).alias("span"))
+    long = places.join(small_side(windows.where(F.col("length") == WINDOW)), ["length", "span"]).select("doc", "start", "length", "span").distinct()
+    return long.unionByName(_short_hits(documents, windows.where(F.col("length") < WINDOW)))
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", share: int = 20) -> DataFrame:
-    """Per row of ``documents``: n_words, n_hit, n_items, items_sha256, contaminated (n_hit > 0 and share * n_hit >= n_words).
+    """Per row of ``documents``: n_words, n_hit, n_items, items_sha256, contaminated (n_hit > 0 and share * n_hit >= n_words)."""
+    tables = Tables(documents.sparkSession, "decontaminate")
+    items = tables.add(benchmark.select(F.col(item).cast("string").alias("item"), words(item_text).alias("words")).where("size(words) > 0"))
+    spans = tables.add(_windows(items))
+    windows = tables.add(spans.select("length", "span").distinct())
+    asked = tables.add(winnowed(items).select(F.explode(F.array_distinct("kept")).alias("print")).distinct())
+
+    docs = documents.select(F.col(key).alias("key"), F.col(text).alias("text"), F.md5(F.coalesce(text, F.lit(""))).alias("doc"))
+    rows = tables.add(winnowed(docs.select("key", "doc", words("text").alias("words"))).select("key", "doc", F.size("words").cast("long").alias("n_words"), F.array_distinct("kept").alias("prints")))
+    prints = tables.add(rows.select("doc", F.explode("prints").alias("print")).join(small_side(asked), "print").distinct())
+    hits = tables.add(find_hits(docs.select("doc", "text"), windows, prints))
 
-    Rows of one key are taken as one document for hits.
-    """
-    hits, spans = find_hits(documents, benchmark, key, text, item, item_text)
-    hits = cut(hits)
     # hit words: intervals in order of their start; each adds what lies beyond those before it
     intervals = hits.groupBy("doc", "start").agg(F.max("length").alias("length")).groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("start", "length"))).alias("at"))
     covered = F.aggregate(
@@ -116,12 +142,12 @@ def contamination(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id
         lambda acc, x: F.struct(F.greatest(acc["end"], x["start"] + x["length"]).alias("end"), (acc["n"] + F.greatest(F.lit(0), x["start"] + x["length"] - F.greatest(acc["end"], x["start"]))).alias("n")),
     )["n"]
     n_hit = intervals.select("doc", covered.cast("long").alias("n_hit"))
-    pairs = hits.select("doc", "span").distinct().join(small_side(spans), "span").select("doc", F.col("item").cast("string").alias("item")).distinct()
+    pairs = hits.select("doc", "span").distinct().join(small_side(spans), "span").where("item is not null").select("doc", "item").distinct()
     n_items = pairs.groupBy("doc").agg(F.count("*").alias("n_items"), F.sha2(F.array_join(F.array_sort(F.collect_list("item")), ",").cast("binary"), 256).alias("items_sha256"))
-    totals = cut(n_hit.join(n_items, "doc"))
-    rows = documents.select(F.col(key).alias("doc"), F.regexp_count(lowered(text), F.lit(WORD)).cast("long").alias("n_words"))
-    found = rows.join(small_side(totals), "doc", "left").select(
-        F.col("doc").alias(key),
+    totals = tables.add(n_hit.join(n_items, "doc", "left"))
+    tables.keep_only(rows, totals)
+    found = rows.select("key", "doc", "n_words").join(small_side(totals), "doc", "left").select(
+        F.col("key").alias(key),
         "n_words",
         F.coalesce("n_hit", F.lit(0)).alias("n_hit"),
         F.coalesce("n_items", F.lit(0)).alias("n_items"),

@@ -1,6 +1,7 @@
 """Near-duplicate documents by MinHash signatures and a multi-index Hamming join.
 
 Documents of equal shingle sets form a class, found by a digest of the set; only classes are compared.
+A class is represented by its smallest key (with the smallest hash of the text, if that key has several).
 A class has a signature of MinHash values of ``BITS`` bits, split into chunks of ``CHUNK`` values.
 Each chunk is entered into the index once for each value left out, so the allowed error is enumerated.
 By the pigeonhole principle, two signatures that differ in at most ``2 * (chunks - MEET) + 1`` values
@@ -12,15 +13,16 @@ Buckets never give all their pairs.  First each member is paired with the bucket
 that meets most others; pairs are confirmed on full shingle sets, and confirmed ones give components.
 Then the members of buckets that still hold several components are paired across components, where
 they have one of their rarest shingles in common: two sets of the similarity share one among the first
-``n - overlap + 1`` of each in any common order, so nothing is lost, and with frequent shingles last
-in order, documents that only share a passage or a template do not meet.  Pairs whose signatures are too
-far apart go, the others are confirmed.  After that, any two classes that meet often enough are in one
-component or were ruled out or compared.
+``n - overlap + 1`` of each in any common order, so nothing is lost, and as all shingles of these members
+are counted and the frequent ones stand last, documents that only share a passage or a template do not
+meet.  Pairs whose signatures are too far apart go, the others are confirmed.  After that, any two
+classes that meet often enough are in one component or were ruled out or compared.
 
 Defined results: a text without a word, or null, has an empty set and is linked with nothing; one with
 fewer words than a shingle has its whole word sequence as its shingle; rows with a null key get no
-component and are not kept.  Rows of one key are one document for components.  Other columns of the
-input may have any name.
+component and are not kept.  Rows of one key are one document for components, each with the class of its
+own text; repeated rows of one key have the same result, so all of them are kept or none.  Other columns
+of the input may have any name.
 """
 
 from __future__ import annotations
@@ -31,19 +33,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sensorweave.llm._flat import byte_buffer, chunks, mix, ngram_hashes, token_hashes, token_spans
-from sensorweave.llm._shared import cut, small_side
+from sensorweave.llm._shared import Tables, small_side
 from sensorweave.llm.components import connected_components
 
 BITS = 16
 CHUNK = 6
 MISS = 1e-6
 MEET = 2
-#: Shingles whose count is known when members are paired across components; a bound of what the driver holds.
-FREQUENT = 100_000
+#: Pairs of one hub that are confirmed together; a hub's text is sent once for so many.
+PART = 1_000
+#: Low bits of a rank that hold a hash; the bits above hold the number of meetings, up to their largest value.
+RANK_BITS = 40
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -104,20 +108,22 @@ def signatures(sets: list[np.ndarray], values: int) -> np.ndarray:
 
 
 def _features(documents: DataFrame, key: str, text: str, words: int, values: int) -> DataFrame:
-    """(key, n, digest, signature) of every row; digest is null for an empty set."""
+    """(id, th, n, digest, sig) of every row; th is a hash of the text, digest is null for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            n, digests, sigs = [], [], []
+            texts = batch.column("text").to_pylist()
             for a, b in chunks(texts):
                 sets = shingle_sets(texts[a:b], words)
-                n += [len(s) for s in sets]
-                digests += [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-                sigs += [s.tobytes() for s in signatures(sets, values)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(sigs, pa.binary())], names=["id", "n", "digest", "sig"])
+                digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
+                part = batch.slice(a, b - a)
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("th"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array([s.tobytes() for s in signatures(sets, values)], pa.binary())], names=["id", "th", "n", "digest", "sig"])
 
-    return documents.select(F.col(key).alias("id"), F.col(text).alias("text")).mapInArrow(run, f"id {documents.schema[key].dataType.simpleString()}, n long, digest binary, sig binary")
+    return _texts(documents, key, text).mapInArrow(run, f"id {documents.schema[key].dataType.simpleString()}, th long, n long, digest binary, sig binary")
+
+
+def _texts(documents: DataFrame, key: str, text: str) -> DataFrame:
+    return documents.select(F.col(key).alias("id"), F.xxhash64(F.col(text)).alias("th"), F.col(text).alias("text"))
 
 
 def _index(classes: DataFrame, values: int) -> DataFrame:
@@ -128,7 +134,6 @@ def _index(classes: DataFrame, values: int) -> DataFrame:
             if not batch.num_rows:
                 continue
             sigs = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint16).reshape(-1, values).astype(np.uint64)
-            digests = np.array(batch.column("digest").to_pylist(), "V16")
             for at in range(0, values, CHUNK):
                 for left_out in range(CHUNK):
                     bucket = np.full(len(sigs), at * CHUNK + left_out, np.uint64)
@@ -136,20 +141,19 @@ def _index(classes: DataFrame, values: int) -> DataFrame:
                         for k in range(CHUNK):
                             if k != left_out:
                                 bucket = mix(bucket * np.uint64(0x9E3779B97F4A7C15) + sigs[:, at + k])
-                    yield pa.RecordBatch.from_arrays([pa.array(bucket.view(np.int64)), pa.array([d.tobytes() for d in digests], pa.binary())], names=["bucket", "digest"])
+                    yield pa.RecordBatch.from_arrays([pa.array(bucket.view(np.int64)), batch.column("digest")], names=["bucket", "digest"])
 
     return classes.select("digest", "sig").mapInArrow(run, "bucket long, digest binary")
 
 
 def _near_signatures(pairs: DataFrame, classes: DataFrame, values: int, similarity: float) -> DataFrame:
-    """Pairs whose set sizes and signatures allow the similarity, with both first ids.
+    """(a, b, ida, idb, tha, thb, far) of the pairs whose set sizes and signatures allow the similarity.
 
     The sizes rule is exact; the signature rule drops pairs that differ in more values than a pair at
     the threshold does but for a chance of about 1e-9.
     """
     most = int((1 - similarity) * values + 6 * math.sqrt(similarity * (1 - similarity) * values)) + 1
-    left = classes.select(F.col("digest").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa"), F.col("first_id").alias("ida"))
-    right = classes.select(F.col("digest").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb"), F.col("first_id").alias("idb"))
+    left, right = (classes.select(F.col("digest").alias(x), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"s{x}"), F.col("first_id").alias(f"id{x}"), F.col("th").alias(f"th{x}")) for x in "ab")
     ratio = int(round(similarity * 100))
     joined = pairs.join(left, "a").join(right, "b").where((F.least("na", "nb") * 100 >= F.greatest("na", "nb") * ratio))
 
@@ -160,108 +164,115 @@ def _near_signatures(pairs: DataFrame, classes: DataFrame, values: int, similari
             sa, sb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, values) for c in ("sa", "sb"))
             far = (sa != sb).sum(1)
             near = pa.array(far <= most)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).filter(near) for c in ("a", "b", "ida", "idb")), pa.array(far.astype(np.int32)).filter(near)], names=["a", "b", "ida", "idb", "far"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).filter(near) for c in PAIR), pa.array(far.astype(np.int32)).filter(near)], names=[*PAIR, "far"])
 
     id_type = classes.schema["first_id"].dataType.simpleString()
-    return joined.select("a", "b", "sa", "sb", "ida", "idb").mapInArrow(run, f"a binary, b binary, ida {id_type}, idb {id_type}, far int")
+    return joined.select(*PAIR, "sa", "sb").mapInArrow(run, f"a binary, b binary, ida {id_type}, idb {id_type}, tha long, thb long, far int")
 
 
-def _confirmed(pairs: DataFrame, documents: DataFrame, key: str, text: str, words: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets reach the similarity."""
-    percent = int(round(similarity * 100))
-    needed = pairs.select(F.col("ida").alias("id"), F.col("a").alias("digest")).unionByName(pairs.select(F.col("idb").alias("id"), F.col("b").alias("digest"))).distinct()
+#: Columns of a pair: the digests of both classes, and the first keys and text hashes that represent them.
+PAIR = ["a", "b", "ida", "idb", "tha", "thb"]
+
 
-    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:  # a key may come with several texts: the class's own one counts
-            sets = shingle_sets(batch.column("text").to_pylist(), words)
-            same = pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() == d for s, d in zip(sets, batch.column("digest").to_pylist(), strict=True)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("digest").filter(same), batch.column("text").filter(same)], names=["digest", "text"])
+def _texts_of(tables: Tables, needed: DataFrame, documents: DataFrame, key: str, text: str) -> DataFrame:
+    """(digest, text) of the classes of ``needed`` (digest, id, th), one row each."""
+    needed = tables.add(needed.distinct())
+    return tables.add(_texts(documents, key, text).join(small_side(needed), ["id", "th"]).groupBy("digest").agg(F.first("text").alias("text")))
 
-    texts = documents.select(F.col(key).alias("id"), F.col(text).alias("text")).join(small_side(cut(needed)), "id").select("digest", "text").mapInArrow(own, "digest binary, text string")
-    texts = cut(texts)
-    both = pairs.select("a", "b").join(texts.select(F.col("digest").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("digest").alias("a"), F.col("text").alias("ta")), "a")
+
+def _confirmed(tables: Tables, pairs: DataFrame, documents: DataFrame, key: str, text: str, words: int, similarity: float) -> DataFrame:
+    """(a, b) as first keys, of the pairs whose full shingle sets reach the similarity.
+
+    A hub's partners are dealt to parts of about ``PART``; each part gets the hub's text once and then
+    its partners' texts in a stream, so neither a task nor a batch follows the size of a group.
+    """
+    percent = int(round(similarity * 100))
+    texts = _texts_of(tables, pairs.select(F.explode(F.array(*[F.struct(F.col(x).alias("digest"), F.col(f"id{x}").alias("id"), F.col(f"th{x}").alias("th")) for x in "ab"])).alias("x")).select("x.*"), documents, key, text)
+    parts = tables.add(pairs.groupBy("a").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")))
+    dealt = tables.add(pairs.join(parts, "a").select("a", "b", "ida", "idb", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part")))
+    hubs = dealt.select("a", "part", "ida").distinct().join(texts.withColumnRenamed("digest", "a"), "a").select("a", "part", F.lit(0).alias("kind"), F.col("ida").alias("id"), "text")
+    others = dealt.join(texts.withColumnRenamed("digest", "b"), "b").select("a", "part", F.lit(1).alias("kind"), F.col("idb").alias("id"), "text")
+    both = hubs.unionByName(others).repartition("a", "part").sortWithinPartitions("a", "part", "kind")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hub, hub_id = np.zeros(0, np.uint64), None
         for whole in batches:
-            for at in range(0, whole.num_rows, 500):  # a text of several pairs is cut into shingles once
-                batch = whole.slice(at, 500)
-                ta, tb = batch.column("ta").to_pylist(), batch.column("tb").to_pylist()
-                distinct = list(dict.fromkeys([*ta, *tb]))
-                sets = {}
-                for i, j in chunks(distinct):
-                    sets.update(zip(distinct[i:j], shingle_sets(distinct[i:j], words), strict=True))
-                linked = []
-                for x, y in zip(ta, tb, strict=True):
-                    sa, sb = sets[x], sets[y]
-                    common = len(np.intersect1d(sa, sb, assume_unique=True))
-                    linked.append(100 * common >= percent * (len(sa) + len(sb) - common) and common > 0)
-                keep = pa.array(linked, pa.bool_())
-                yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
-
-    return both.select("a", "b", "ta", "tb").mapInArrow(compare, "a binary, b binary")
+            texts = whole.column("text").to_pylist()
+            for i, j in chunks(texts):
+                batch = whole.slice(i, j - i)
+                ids, linked = batch.column("id").to_pylist(), []
+                for kind, key_of, own in zip(batch.column("kind").to_pylist(), ids, shingle_sets(texts[i:j], words), strict=True):
+                    if kind == 0:
+                        hub, hub_id = own, key_of
+                    else:
+                        common = len(np.intersect1d(hub, own, assume_unique=True))
+                        if common and 100 * common >= percent * (len(hub) + len(own) - common):
+                            linked.append((hub_id, key_of))
+                a, b = zip(*linked, strict=True) if linked else ((), ())
+                yield pa.RecordBatch.from_arrays([pa.array(a, batch.schema.field("id").type), pa.array(b, batch.schema.field("id").type)], names=["a", "b"])
+
+    id_type = pairs.schema["ida"].dataType.simpleString()
+    return tables.add(both.select("kind", "id", "text").mapInArrow(compare, f"a {id_type}, b {id_type}"))
+
+
+def _relabelled(tables: Tables, labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """(node, component) of all first keys with links, after further ``links`` (a, b).
+
+    Only the components so far are linked anew, not their nodes.
+    """
+    if labels is None:
+        return tables.add(connected_components(links, tables=tables))
+    ends = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    nodes = tables.add(labels.join(ends, "node", "full").select("node", F.coalesce("component", "node").alias("component")))
+    of_a, of_b = (nodes.select(F.col("node").alias(x), F.col("component").alias(f"of_{x}")) for x in "ab")
+    merged = tables.add(connected_components(links.join(of_a, "a").join(of_b, "b"), "of_a", "of_b", tables=tables))
+    merged = merged.select(F.col("node").alias("component"), F.col("component").alias("whole"))
+    return tables.add(nodes.join(small_side(merged), "component", "left").select("node", F.coalesce("whole", "component").alias("component")))
 
 
-def _labels(links: DataFrame) -> DataFrame:
-    """(digest, component) of the classes that have links."""
-    return cut(connected_components(links).select(F.col("node").alias("digest"), "component"))
+def _placed(classes: DataFrame, labels: DataFrame) -> DataFrame:
+    """(digest, first_id, th, component) of every class; a class without links is its own component."""
+    joined = classes.select("digest", "first_id", "th").join(labels.withColumnRenamed("node", "first_id"), "first_id", "left")
+    return joined.select("digest", "first_id", "th", F.coalesce("component", "first_id").alias("component"))
 
 
-def _mixed(index: DataFrame, labels: DataFrame) -> DataFrame:
-    """(digest, component) of the classes that meet other components in MEET buckets or more."""
-    member = cut(index.select("bucket", "digest").join(labels, "digest", "left").select("bucket", "digest", F.coalesce("component", "digest").alias("component")))
-    mixed = member.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("bucket")
-    return cut(member.join(mixed, "bucket").groupBy("digest", "component").agg(F.count("*").alias("_n")).where(F.col("_n") >= MEET).select("digest", "component"))
+def _mixed(tables: Tables, index: DataFrame, placed: DataFrame) -> DataFrame:
+    """(digest, first_id, th, component) of the classes that meet other components in MEET buckets or more."""
+    member = tables.add(index.join(placed.select("digest", F.xxhash64("component").alias("of")), "digest").select("bucket", "digest", "of"))
+    mixed = tables.add(member.groupBy("bucket").agg(F.min("of").alias("lo"), F.max("of").alias("hi")).where("lo != hi").select("bucket"))
+    found = member.join(mixed, "bucket").groupBy("digest").agg(F.count("*").alias("_n")).where(F.col("_n") >= MEET).select("digest")
+    return tables.add(placed.join(found, "digest"))
 
 
-def _across(member: DataFrame, classes: DataFrame, documents: DataFrame, key: str, text: str, words: int, similarity: float) -> DataFrame:
+def _across(tables: Tables, member: DataFrame, documents: DataFrame, key: str, text: str, words: int, similarity: float) -> DataFrame:
     """Pairs (a, b) of members of different components with a common shingle among their first ones, each pair once.
 
-    The order of shingles has those first that are not among the ``FREQUENT`` most frequent ones of the
-    members, by their hash, then the others by their count.  Which pairs come out besides those of the
-    similarity depends on that order, but no such pair is lost in any order.
+    The order of shingles is that of their counts among the members.  A shingle of a single member
+    makes no pair, so it is only counted in a member's places.
     """
     percent = int(round(similarity * 100))
-    asked = cut(member.join(classes.select("digest", "first_id"), "digest"))
-    found = documents.select(F.col(key).alias("id"), F.col(text).alias("text")).join(small_side(asked.withColumnRenamed("first_id", "id")), "id").select("digest", "component", "text")
-    found = cut(found)
-
-    def own(batch: pa.RecordBatch) -> Iterator[tuple[bytes, bytes, np.ndarray]]:
-        digests, components, texts = (batch.column(c).to_pylist() for c in ("digest", "component", "text"))
-        for a, b in chunks(texts):
-            for d, c, s in zip(digests[a:b], components[a:b], shingle_sets(texts[a:b], words), strict=True):
-                if hashlib.blake2b(s.tobytes(), digest_size=16).digest() == d:
-                    yield d, c, s
+    texts = _texts_of(tables, member.select("digest", F.col("first_id").alias("id"), "th"), documents, key, text)
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [s for _, _, s in own(batch)]
-            yield pa.RecordBatch.from_arrays([pa.array((np.concatenate(sets) if sets else np.zeros(0, np.uint64)).view(np.int64))], names=["shingle"])
-
-    counts = found.mapInArrow(shingles, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).where("n >= 16").orderBy(F.desc("n"), "shingle").limit(FREQUENT).collect()
-    frequent = np.array([r["shingle"] for r in counts], np.int64).view(np.uint64)
-    order = np.argsort(frequent)
-    frequent, times = frequent[order], np.array([r["n"] for r in counts], np.int64)[order]
-
-    def first_ones(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows: list[list] = [[], [], [], [], []]
-            for d, c, s in own(batch):
-                n = len(s)
-                at = np.minimum(np.searchsorted(frequent, s), max(len(frequent) - 1, 0))
-                count = np.where(frequent[at] == s, times[at], 0) if len(frequent) else np.zeros(n, np.int64)
-                some = s[np.lexsort((s, count))][: n - -(-percent * n // 100) + 1]
-                rows[0] += some.view(np.int64).tolist()
-                rows[1] += range(len(some))
-                rows[2] += [n] * len(some)
-                rows[3] += [d] * len(some)
-                rows[4] += [c] * len(some)
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["shingle", "place", "n", "digest", "component"])
-
-    posts = cut(found.mapInArrow(first_ones, "shingle long, place int, n int, digest binary, component binary"))
-    left = posts.select("shingle", *[F.col(c).alias(f"{c}_a") for c in ("place", "n", "digest", "component")])
-    right = posts.select("shingle", *[F.col(c).alias(f"{c}_b") for c in ("place", "n", "digest", "component")])
+            texts = batch.column("text").to_pylist()
+            for a, b in chunks(texts):
+                sets = shingle_sets(texts[a:b], words)
+                sizes = np.array([len(s) for s in sets])
+                owner = pa.array(np.repeat(np.arange(a, b), sizes))
+                flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+                yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), pa.array(np.repeat(sizes, sizes).astype(np.int32)), batch.column("digest").take(owner)], names=["shingle", "n", "digest"])
+
+    held = tables.add(texts.select("digest", "text").mapInArrow(shingles, "shingle long, n int, digest binary"))
+    counts = tables.add(held.groupBy("shingle").agg(F.count("*").alias("times")).where("times > 1"))
+    counted = held.join(counts, "shingle")
+    single = F.col("n") - F.count("*").over(Window.partitionBy("digest"))
+    place = single + F.row_number().over(Window.partitionBy("digest").orderBy("times", "shingle")) - 1
+    firsts = counted.withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100))
+    posts = tables.add(firsts.join(member.select("digest", F.xxhash64("component").alias("of")), "digest").select("shingle", "place", "n", "digest", "of"))
+    left, right = (posts.select("shingle", *[F.col(c).alias(f"{c}_{x}") for c in ("place", "n", "digest", "of")]) for x in "ab")
     overlap = F.ceil((F.col("n_a") + F.col("n_b")) * percent / F.lit(100 + percent))
-    near = (F.col("component_a") < F.col("component_b")) & (F.col("place_a") <= F.col("n_a") - overlap) & (F.col("place_b") <= F.col("n_b") - overlap)
+    near = (F.col("of_a") < F.col("of_b")) & (F.col("place_a") <= F.col("n_a") - overlap) & (F.col("place_b") <= F.col("n_b") - overlap)
     joined = left.join(right, (left["shingle"] == right["shingle"]) & near)
     return joined.select(F.least("digest_a", "digest_b").alias("a"), F.greatest("digest_a", "digest_b").alias("b")).distinct()
 
@@ -272,40 +283,41 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text
     Two documents are linked if 100 * intersection >= (100 * similarity) * union of their shingle sets.
     """
     values = CHUNK * chunk_count(similarity)
-    rows = cut(_features(documents, key, text, words, values))
+    tables = Tables(documents.sparkSession, "near-dups")
+    rows = tables.add(_features(documents, key, text, words, values))
     named = rows.where("id is not null and digest is not null")
-    classes = cut(named.groupBy("digest").agg(F.min("id").alias("first_id"), F.first("n").alias("n"), F.first("sig").alias("sig")))
-    shared = cut(_index(classes, values).groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"))
-    index = cut(_index(classes, values).join(shared, "bucket"))
-    degree = index.groupBy("digest").agg(F.sum("size").alias("degree"))
-    index = cut(index.join(degree, "digest").select("bucket", "digest", "degree"))
-    hubs = index.groupBy("bucket").agg(F.max(F.struct("degree", "digest")).alias("hub")).select("bucket", F.col("hub.digest").alias("a"))
-    stars = index.join(hubs, "bucket").where("a != digest").groupBy("a", F.col("digest").alias("b")).agg(F.count("*").alias("_met")).where(F.col("_met") >= MEET).select("a", "b")
-    stars = cut(_near_signatures(stars, classes, values, similarity))
-
-    best = cut(stars.groupBy("b").agg(F.min_by(F.struct("a", "ida", "idb"), F.struct("far", "a")).alias("x")).select("x.a", "b", "x.ida", "x.idb"))
-    links = cut(_confirmed(best, documents, key, text, words, similarity))
-    labels = _labels(links)
-
-    def apart(pairs: DataFrame) -> DataFrame:
-        """The pairs whose classes are not in one component yet."""
-        of_a, of_b = (labels.select(F.col("digest").alias(c), F.col("component").alias(f"of_{c}")) for c in "ab")
-        joined = pairs.join(of_a, "a", "left").join(of_b, "b", "left")
-        return joined.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select(pairs.columns)
-
-    rest = cut(apart(stars.join(best.select("a", "b"), ["a", "b"], "left_anti")).select("a", "b", "ida", "idb"))
-    links = cut(links.unionByName(_confirmed(rest, documents, key, text, words, similarity)))
-    labels = _labels(links)
-
-    across = _across(_mixed(index, labels), classes, documents, key, text, words, similarity).join(stars.select("a", "b"), ["a", "b"], "left_anti")
-    across = across.join(stars.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
-    across = cut(_near_signatures(across, classes, values, similarity).select("a", "b", "ida", "idb"))
-    links = cut(links.unionByName(_confirmed(across, documents, key, text, words, similarity)))
-    labels = _labels(links)
-
-    placed = classes.select("digest", "first_id").join(labels, "digest", "left").select("digest", "first_id", F.coalesce("component", "digest").alias("component"))
-    named_by = placed.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    of_class = placed.join(named_by, "component").select("digest", "component_id")
-    by_row = rows.where("digest is not null").join(of_class, "digest", "left").select("id", "n", F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))
+    classes = tables.add(named.groupBy("digest").agg(F.min(F.struct("id", "th", "n", "sig")).alias("x")).select("digest", F.col("x.id").alias("first_id"), "x.th", "x.n", "x.sig"))
+    whole, rows = rows, tables.add(rows.select("id", "n", "digest"))
+    tables.drop(whole)
+
+    shared = tables.add(_index(classes, values).groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"))
+    index = tables.add(_index(classes, values).join(shared, "bucket"))
+    meets = index.groupBy("digest").agg(F.sum("size").alias("_meets"))
+    rank = F.shiftleft(F.least("_meets", F.lit((1 << 62 - RANK_BITS) - 1)), RANK_BITS) + F.xxhash64("digest").bitwiseAND(F.lit((1 << RANK_BITS) - 1))
+    ranks = tables.add(meets.select("digest", rank.alias("rank")))
+    unranked, index = index, tables.add(index.join(ranks, "digest").select("bucket", "digest", "rank"))
+    tables.drop(unranked, shared)
+    hubs = tables.add(index.groupBy("bucket").agg(F.max("rank").alias("hub")))
+    met = index.join(hubs, "bucket").where("rank != hub").groupBy("hub", F.col("digest").alias("b")).agg(F.count("*").alias("_met")).where(F.col("_met") >= MEET)
+    stars = met.join(ranks.select(F.col("rank").alias("hub"), F.col("digest").alias("a")), "hub").select("a", "b")
+    stars = tables.add(_near_signatures(stars, classes, values, similarity))
+
+    best = tables.add(stars.groupBy("b").agg(F.min(F.struct("far", "a", "ida", "idb", "tha", "thb")).alias("x")).select("x.a", "b", "x.ida", "x.idb", "x.tha", "x.thb"))
+    labels = _relabelled(tables, None, _confirmed(tables, best, documents, key, text, words, similarity))
+
+    of_a, of_b = (labels.select(F.col("node").alias(f"id{x}"), F.col("component").alias(f"of_{x}")) for x in "ab")
+    apart = F.coalesce("of_a", "ida") != F.coalesce("of_b", "idb")  # classes that are not in one component yet
+    rest = stars.join(best.select("a", "b"), ["a", "b"], "left_anti").join(of_a, "ida", "left").join(of_b, "idb", "left").where(apart)
+    labels = _relabelled(tables, labels, _confirmed(tables, tables.add(rest.select(PAIR)), documents, key, text, words, similarity))
+
+    member = _mixed(tables, index, tables.add(_placed(classes, labels)))
+    across = _across(tables, member, documents, key, text, words, similarity)
+    across = across.join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    across = tables.add(_near_signatures(across, classes, values, similarity).select(PAIR))
+    labels = _relabelled(tables, labels, _confirmed(tables, across, documents, key, text, words, similarity))
+
+    placed = tables.add(_placed(classes, labels).select("digest", F.col("component").alias("component_id")))
+    tables.keep_only(rows, placed)
+    by_row = rows.where("digest is not null").join(placed, "digest", "left").select("id", "n", F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))
     found = by_row.unionByName(rows.where("digest is null").select("id", "n", F.col("id").alias("component_id")))
     return found.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))

@@ -21,7 +21,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sensorweave.llm._shared import cut, small_side
+from sensorweave.llm._shared import Tables, small_side
 from sensorweave.llm.decontaminate import LOWER, UPPER
 
 BLOCKED = "verdict=block"
@@ -87,15 +87,16 @@ def tokens(url: str = "url") -> Column:
     return F.when(F.col("host") == "", F.array().cast("array<string>")).otherwise(F.array_distinct(found))
 
 
-def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, max_tokens: int = MAX_TOKENS) -> DataFrame:
+def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, max_tokens: int = MAX_TOKENS, tables: Tables | None = None) -> DataFrame:
     """Blocking rules (antecedent, token, confidence, support) from rows of ``tokens`` and ``verdict``.
 
     ``token`` is the rarest of the antecedent, under which the rule is filed.
     """
+    tables = tables or Tables(labelled.sparkSession, "url-rules")
     baskets = labelled.where(F.size("tokens") > 0).select(F.concat("tokens", F.array(F.when(F.col("verdict") == "block", BLOCKED).otherwise(ALLOWED))).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(cut(baskets))
+    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(tables.add(baskets))
     rules = model.associationRules.where((F.element_at("consequent", 1) == BLOCKED) & (F.size("antecedent") <= max_tokens) & ~F.array_contains("antecedent", ALLOWED)).select(F.array_sort("antecedent").alias("antecedent"), "confidence", "support")
-    rules = cut(rules)
+    rules = tables.add(rules)
     # a rule whose tokens include those of a shorter kept rule says nothing more: look up its proper parts
     part = rules.where(F.size("antecedent") > 1).select("antecedent", F.explode("antecedent").alias("left_out"))
     parts = part.select("antecedent", F.explode(F.array_distinct(F.concat(F.array(F.array_remove("antecedent", F.col("left_out"))), F.transform("antecedent", lambda x: F.array(x))))).alias("part"))
@@ -114,9 +115,10 @@ def judge(pages: DataFrame, key: str = "page_id", url: str = "url", rules: tuple
     name, verdict = longest_rule(rules)
     rows = with_parts(pages.select(F.col(key).alias("_key"), F.col(url).alias("_url")), "_url").withColumn("rule", name).withColumn("_given", verdict)
     labelled = rows.where("_given is not null").select(tokens("_url").alias("tokens"), F.col("_given").alias("verdict"))
-    mined = cut(mine(labelled))
+    tables = Tables(pages.sparkSession, "url-rules")
+    mined = tables.add(mine(labelled, tables=tables))
     urls = rows.where("_given is null and host != ''").select("_url", tokens("_url").alias("tokens")).distinct()
     met = urls.select("_url", "tokens", F.explode("tokens").alias("token")).join(small_side(mined), "token").where(F.size(F.array_except("antecedent", "tokens")) == 0)
-    blocked = cut(met.groupBy("_url").agg(F.max("confidence").alias("_confidence")))
+    blocked = tables.add(met.groupBy("_url").agg(F.max("confidence").alias("_confidence")))
     found = rows.join(small_side(blocked), "_url", "left")
     return found.select(F.col("_key").alias(key), "host", "path", "rule", F.coalesce("_given", F.when(F.col("_confidence").isNotNull(), "block").otherwise("allow")).alias("verdict"), F.coalesce("_confidence", F.lit(0.0)).alias("mined_confidence"))
