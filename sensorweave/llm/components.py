@@ -33,7 +33,7 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", rounds: i
         hint = F.broadcast if state[2] <= BROADCAST_BYTES else (lambda df: df)  # nodes have no more bytes than edges
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("w")).select("u", F.least("u", "w").alias("m"))
-        large = both.join(hint(least), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        large = both.join(hint(least), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(hint(least), "u").where("v != m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
         old, edges = edges, tables.add(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())

@@ -11,8 +11,8 @@ is missed with a chance of less than ``MISS`` (pairs above it far less).
 
 Buckets never give all their pairs.  First each member is paired with the bucket's hub, the member
 that meets most others; pairs are confirmed on full shingle sets, and confirmed ones give components.
-Then the members of buckets that still hold several components are paired across components, where
-they have one of their rarest shingles in common: two sets of the similarity share one among the first
+Then the members of buckets that still hold several components are paired across components (with the
+hubs that were not their nearest, and with each other) where they have one of their rarest shingles in common: two sets of the similarity share one among the first
 ``n - overlap + 1`` of each in any common order, so nothing is lost, and as all shingles of these members
 are counted and the frequent ones stand last, documents that only share a passage or a template do not
 meet.  Pairs whose signatures are too far apart go, the others are confirmed.  After that, any two
@@ -222,6 +222,8 @@ def _relabelled(tables: Tables, labels: DataFrame | None, links: DataFrame) -> D
     """
     if labels is None:
         return tables.add(connected_components(links, tables=tables))
+    if links.isEmpty():
+        return labels
     ends = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     nodes = tables.add(labels.join(ends, "node", "full").select("node", F.coalesce("component", "node").alias("component")))
     of_a, of_b = (nodes.select(F.col("node").alias(x), F.col("component").alias(f"of_{x}")) for x in "ab")
@@ -307,14 +309,12 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text
 
     of_a, of_b = (labels.select(F.col("node").alias(f"id{x}"), F.col("component").alias(f"of_{x}")) for x in "ab")
     apart = F.coalesce("of_a", "ida") != F.coalesce("of_b", "idb")  # classes that are not in one component yet
-    rest = stars.join(best.select("a", "b"), ["a", "b"], "left_anti").join(of_a, "ida", "left").join(of_b, "idb", "left").where(apart)
-    labels = _relabelled(tables, labels, _confirmed(tables, tables.add(rest.select(PAIR)), documents, key, text, words, similarity))
-
+    rest = stars.join(best.select("a", "b"), ["a", "b"], "left_anti").join(of_a, "ida", "left").join(of_b, "idb", "left").where(apart).select(PAIR)
     member = _mixed(tables, index, tables.add(_placed(classes, labels)))
     across = _across(tables, member, documents, key, text, words, similarity)
     across = across.join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    across = tables.add(_near_signatures(across, classes, values, similarity).select(PAIR))
-    labels = _relabelled(tables, labels, _confirmed(tables, across, documents, key, text, words, similarity))
+    rest = tables.add(rest.unionByName(_near_signatures(across, classes, values, similarity).select(PAIR)))
+    labels = _relabelled(tables, labels, _confirmed(tables, rest, documents, key, text, words, similarity))
 
     placed = tables.add(_placed(classes, labels).select("digest", F.col("component").alias("component_id")))
     tables.keep_only(rows, placed)
