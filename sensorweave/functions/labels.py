@@ -20,6 +20,11 @@ def shutter_label(ns: Column) -> Column:
     return F.concat(F.lit("1/"), F.floor(F.lit(1_000_000_000) / F.greatest(ns, F.lit(1))).cast("string"), F.lit("s"))
 
 
+def exposure_label(ns: Column) -> Column:
+    """Whole milliseconds and the fraction of a second."""
+    return F.concat(F.floor(ns / F.lit(1_000_000)).cast("string"), F.lit(" ms ("), shutter_label(ns), F.lit(")"))
+
+
 def yuv_bytes(width: Column, height: Column) -> Column:
     """Bytes of a 4:2:0 frame."""
     return (width.cast("bigint") * height * F.lit(1.5)).cast("bigint")

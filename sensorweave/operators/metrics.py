@@ -82,19 +82,35 @@ def redact(message: Column) -> Column:
     return F.when(message.contains("ByteArray") | message.contains("FramePlane"), F.lit(REDACTED)).otherwise(message)
 
 
-def filter_logs(logs: DataFrame, category: str | None = None, min_level: str = "DEBUG", limit: int = 100, seq: str = "timestamp_ns") -> DataFrame:
-    """Redacted rows of a category from a level on, and of those the last ``limit``."""
-    kept = logs.where(level_rank(F.col("level")) >= LOG_LEVELS.index(min_level))
+#: Entries that the structured and the telemetry log hold.
+LOGS_HELD, EVENTS_HELD = 1000, 500
+
+
+def filter_logs(logs: DataFrame, category: str | None = None, min_level: str = "DEBUG", limit: int = 100, seq: str = "timestamp_ns", held: int = LOGS_HELD) -> DataFrame:
+    """Of the last ``held`` rows, the redacted ones of a category from a level on, and of those the last ``limit``."""
+    kept = last_n(logs, [], seq, held).where(level_rank(F.col("level")) >= LOG_LEVELS.index(min_level))
     if category is not None:
         kept = kept.where(F.col("category") == category)
     return last_n(kept.withColumn("message", redact(F.col("message"))), [], seq, limit)
 
 
-def log_event(payload: DataFrame, tag: str, timestamp_ms: Column) -> DataFrame:
-    """Payload maps with their tag and time."""
-    return payload.withColumn("event", F.map_concat("payload", F.create_map(F.lit("tag"), F.lit(tag), F.lit("timestamp_ms"), timestamp_ms.cast("string"))))
+def log_event(payload: Column, tag: Column, timestamp_ms: Column) -> Column:
+    """A map of strings with its tag and time, which replace those that it has."""
+    own = F.map_filter(payload, lambda k, v: ~k.isin("tag", "timestamp_ms"))
+    return F.map_concat(own, F.create_map(F.lit("tag"), tag, F.lit("timestamp_ms"), timestamp_ms.cast("string")))
+
+
+def log_metric(name: Column, value: Column, timestamp_ms: Column) -> Column:
+    return log_event(F.create_map(F.lit("name"), name, F.lit("value"), value.cast("string")), F.lit("METRIC"), timestamp_ms)
+
+
+def log_error(tag: Column, message: Column, throwable: Column, stacktrace: Column, timestamp_ms: Column) -> Column:
+    """The message and, if there is a throwable, its name and the first 500 characters of its trace."""
+    base = F.create_map(F.lit("error_msg"), message)
+    more = F.create_map(F.lit("throwable"), throwable, F.lit("stacktrace"), F.substring(stacktrace, 1, 500))
+    return log_event(F.when(throwable.isNotNull(), F.map_concat(base, more)).otherwise(base), F.concat(F.lit("ERROR_"), tag), timestamp_ms)
 
 
-def log_error(errors: DataFrame, tag: str) -> DataFrame:
-    """Error payloads: message, throwable, the first 500 characters of the trace."""
-    return errors.select(F.create_map(F.lit("tag"), F.lit(f"ERROR_{tag}"), F.lit("error_msg"), F.col("message"), F.lit("throwable"), F.coalesce(F.col("throwable"), F.lit("")), F.lit("stacktrace"), F.substring(F.coalesce(F.col("stacktrace"), F.lit("")), 1, 500)).alias("event"))
+def recent_events(events: DataFrame, seq: str, limit: int = EVENTS_HELD) -> DataFrame:
+    """The last ``limit`` rows of a log that holds ``EVENTS_HELD``."""
+    return last_n(events, [], seq, min(limit, EVENTS_HELD))

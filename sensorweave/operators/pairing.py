@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def pair_exact(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
@@ -71,5 +73,36 @@ def pair_bounded(arrivals: DataFrame, by: str = "stream", max_pending: int = 30,
 
 
 def lifecycle_counts(outcomes: DataFrame, by: str = "stream") -> DataFrame:
-    """Per stream: associated, dropped and pending."""
-    return outcomes.groupBy(by).agg(*[F.count_if(F.col("outcome") == o).alias(n) for o, n in (("paired", "associated"), ("dropped", "dropped"), ("pending", "pending"))])
+    """Per stream: associated, dropped and pending; images acquired, closed for room or age, and outstanding."""
+    image = F.col("side") == "image"
+    found = outcomes.groupBy(by).agg(
+        *[F.count_if(F.col("outcome") == o).alias(n) for o, n in (("paired", "associated"), ("dropped", "dropped"), ("pending", "pending"))],
+        F.count_if((F.col("outcome") == "paired") | image).alias("acquired"),
+        F.count_if((F.col("outcome") == "dropped") & image).alias("closed"),
+    )
+    return found.withColumn("outstanding", F.col("acquired") - F.col("closed"))
+
+
+#: Entries of both buffers as JSON: side to pairs of key and arrival.
+_STATE = "pending string"
+
+
+def pair_bounded_stream(arrivals: DataFrame, by: str = "stream", max_pending: int = 30, timeout_ms: int = 1000) -> DataFrame:
+    """``pair_bounded`` on a stream: the same buffers, kept as Spark's state of each key between batches.
+
+    Arrivals of a batch are taken in order of arrival.  What is still pending has not come out.
+    """
+    names = ["stream", "outcome", "side", "timestamp_ns"]
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = Associator(max_pending, timeout_ms)
+        if state.exists:
+            held.pending = {side: dict(map(tuple, pairs)) for side, pairs in json.loads(state.get[0]).items()}
+        rows = pd.concat(list(batches)).sort_values(["arrival_ms", "timestamp_ns", "side"])
+        out = [(key[0], what, side, k) for row in rows[["side", "timestamp_ns", "arrival_ms"]].itertuples(index=False) for what, side, k in held.arrive(row[0], int(row[1]), int(row[2]))]
+        state.update((json.dumps({side: list(p.items()) for side, p in held.pending.items()}),))
+        yield pd.DataFrame(out, columns=names)
+
+    rows = arrivals.select(F.col(by).alias("stream"), "side", "timestamp_ns", "arrival_ms")
+    schema = f"stream {rows.schema['stream'].dataType.simpleString()}, outcome string, side string, timestamp_ns bigint"
+    return rows.groupBy("stream").applyInPandasWithState(run, schema, _STATE, "append", GroupStateTimeout.NoTimeout)

@@ -75,19 +75,19 @@ def clock_report(matched: DataFrame, by: list[str], order: str | None = None, ts
     """Per key: strictly increasing times, mean (cut to a whole number) and largest offset, offsets over ``gap``, verified.
 
     ``order`` is the column that gives the probes' arrival; without it, repeats of a time break the
-    increase.  Probes without a sample have no offset.
+    increase.  ``sample_count`` is the number of offsets; a key without any sample counts as increasing
+    and not verified, with zeros elsewhere.
     """
     seen = Window.partitionBy(*by).orderBy(*([order] if order else [ts]))
     rows = matched.withColumn("_rise", F.coalesce(F.col(ts) > F.lag(ts).over(seen), F.lit(True))).withColumn("_offset", F.abs(F.col(ts) - F.col("matched_ts")))
     found = rows.groupBy(*by).agg(
-        F.bool_and("_rise").alias("is_monotonic"),
+        ((F.count("_offset") == 0) | F.bool_and("_rise")).alias("is_monotonic"),
         F.coalesce(F.avg("_offset").cast("bigint"), F.lit(0)).alias("avg_offset"),
         F.coalesce(F.max("_offset"), F.lit(0)).alias("max_offset"),
         F.count_if(F.col("_offset") > gap).alias("missing_intervals"),
-        F.count("*").alias("sample_count"),
-        F.count("_offset").alias("_with"),
+        F.count("_offset").alias("sample_count"),
     )
-    return found.withColumn("is_verified", F.col("is_monotonic") & (F.col("_with") > 0) & (F.col("avg_offset") < mean_limit)).drop("_with")
+    return found.withColumn("is_verified", F.col("is_monotonic") & (F.col("sample_count") > 0) & (F.col("avg_offset") < mean_limit))
 
 
 def trailing_window(samples: DataFrame, by: list[str], length: int, ts: str = "ts") -> DataFrame:

@@ -95,6 +95,7 @@ def schedules(requests: DataFrame, models: DataFrame, profiles: DataFrame, backe
 def manifest_issues(models: DataFrame) -> DataFrame:
     """Models with their issues in rule order; valid without any."""
     neural = ~F.col("is_classical_fallback")
+    # The texts of the issues.
     rules = [
         (F.trim("model_id") == "", "modelId cannot be blank"),
         (F.trim("license") == "", "license cannot be blank"),
@@ -181,6 +182,7 @@ def stream_matrix(plans: DataFrame, formats: DataFrame, by: list[str]) -> DataFr
 
 def buffer_copies(spark, width: int = 1920, height: int = 1080, hardware_buffer: bool = True) -> DataFrame:
     """The copies of the pipeline: four stages with their bytes."""
+    # The stages and how often they copy.
     second = ("Camera HAL -> HardwareBuffer", 0, "Per Frame (30 FPS)", False, 0.0) if hardware_buffer else ("Camera HAL -> JVM Heap Planes", int(width * height * 1.5), "Per Frame (30 FPS)", True, 2.1)
     rows = [("Camera HAL -> SurfaceView Preview", 0, "Per Frame (60 FPS)", False, 0.0), second, ("Camera ISP -> JPEG ImageReader", 0, "Per Still Capture", False, 0.0), ("Memory -> Disk Storage (MediaStore)", 3_500_000, "Per Saved Photo", False, 4.5)]
     return spark.createDataFrame(rows, "stage string, bytes_moved bigint, frequency string, is_avoidable boolean, latency_impact_ms float")

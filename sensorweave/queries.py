@@ -92,13 +92,13 @@ def imu_floor_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return temporal.floor_else_ceiling(probes, samples, ["user_id"]).select("event_id", "user_id", "ts", "matched_ts")
 
 
-@query(f"""WITH {POINTS_SQL}, m AS (SELECT user_id, ts, abs(ts - coalesce(t0, t1)) AS off FROM {asof_sql('click', True)} b)
-    SELECT user_id, TRUE AS is_monotonic, CAST(coalesce(trunc(avg(off)), 0) AS BIGINT) AS avg_offset, coalesce(max(off), 0) AS max_offset,
-           count(*) FILTER (off > 3600000000) AS missing_intervals, count(*) AS sample_count,
-           count(off) > 0 AND CAST(coalesce(trunc(avg(off)), 0) AS BIGINT) < 36000000000 AS is_verified FROM m GROUP BY user_id""")
+@query(f"""WITH {POINTS_SQL}, m AS (SELECT user_id, coalesce(ts > lag(ts) OVER (PARTITION BY user_id ORDER BY event_id), TRUE) AS rise, abs(ts - coalesce(t0, t1)) AS off FROM {asof_sql('click', True)} b)
+    SELECT user_id, count(off) = 0 OR bool_and(rise) AS is_monotonic, CAST(coalesce(trunc(avg(off)), 0) AS BIGINT) AS avg_offset, coalesce(max(off), 0) AS max_offset,
+           count(*) FILTER (off > 3600000000) AS missing_intervals, count(off) AS sample_count,
+           bool_and(rise) AND count(off) > 0 AND CAST(coalesce(trunc(avg(off)), 0) AS BIGINT) < 36000000000 AS is_verified FROM m GROUP BY user_id""")
 def clock_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     probes, samples = points(spark, sf_dir, "click")
-    return temporal.clock_report(temporal.floor_else_ceiling(probes, samples, ["user_id"]), ["user_id"], gap=3_600_000_000, mean_limit=36_000_000_000)
+    return temporal.clock_report(temporal.floor_else_ceiling(probes, samples, ["user_id"]), ["user_id"], "event_id", gap=3_600_000_000, mean_limit=36_000_000_000)
 
 
 @query(f"""WITH {POINTS_SQL}, g AS (SELECT event_id, {VALUE_SQL.format(x='')} AS gyro, coalesce(t0 <> t1, FALSE) AS i FROM {asof_sql('click', True)} b),
@@ -119,10 +119,11 @@ def trailing_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT coalesce(o.k, l.k) AS order_key, CASE WHEN l.k IS NULL THEN 'left_only' WHEN o.k IS NULL THEN 'right_only' ELSE 'paired' END AS status
-    FROM (SELECT o_orderkey AS k FROM orders WHERE o_orderkey % 3 <> 0) o FULL JOIN (SELECT DISTINCT l_orderkey AS k FROM lineitem WHERE l_orderkey % 5 <> 0) l ON o.k = l.k""")
+    FROM (SELECT c_custkey AS k FROM customer) o FULL JOIN (SELECT DISTINCT p_partkey AS k FROM part) l ON o.k = l.k""")
 def pair_full_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    left = table(spark, sf_dir, "orders").where("o_orderkey % 3 <> 0").select(F.col("o_orderkey").alias("order_key"))
-    right = table(spark, sf_dir, "lineitem").where("l_orderkey % 5 <> 0").select(F.col("l_orderkey").alias("order_key")).distinct()
+    """Keys of two whole tables of unlike size, so that some have no partner."""
+    left = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("order_key"))
+    right = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("order_key")).distinct()
     return pairing.pair_exact(left, right, ["order_key"])
 
 
@@ -240,7 +241,7 @@ def regression_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.regression_verdict(C.scenes(spark), measured(spark, sf_dir)).withColumn("regressions", F.array_join("regressions", ","))
 
 
-@query("""WITH l AS (SELECT conv_id * 1000 + turn AS seq, role AS category, CASE WHEN conv_id % 7 = 0 THEN 'Raw FramePlane ' || text WHEN conv_id % 7 = 1 THEN 'frameplane ' || text ELSE text END AS message, turn % 5 AS rank FROM conversations)
+@query("""WITH l AS (SELECT conv_id * 1000 + turn AS seq, role AS category, CASE WHEN conv_id % 7 = 0 THEN 'Raw FramePlane ' || text WHEN conv_id % 7 = 1 THEN 'frameplane ' || text ELSE text END AS message, turn % 5 AS rank FROM conversations QUALIFY row_number() OVER (ORDER BY conv_id * 1000 + turn DESC) <= 1000)
     SELECT seq, category, CASE WHEN contains(message, 'ByteArray') OR contains(message, 'FramePlane') THEN '[PIXEL_DATA_REDACTED]' ELSE message END AS message
     FROM l WHERE category = 'user' AND rank >= 2 ORDER BY seq DESC LIMIT 100""")
 def log_filter_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -252,13 +253,18 @@ def log_filter_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_id, 'METRIC' AS tag, value FROM events WHERE event_type = 'view' QUALIFY row_number() OVER (ORDER BY ts DESC) <= 500")
 def telemetry_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = events(spark, sf_dir).where("event_type = 'view'").select("event_id", F.lit("METRIC").alias("tag"), "value", "us")
-    return retention.last_n(rows, [], "us", 500).drop("us")
+    event = M.log_metric(F.col("event_type"), F.col("value"), F.floor(F.col("us") / 1000))
+    rows = M.recent_events(events(spark, sf_dir).where("event_type = 'view'").select("event_id", "us", event.alias("event")), "us")
+    return rows.select("event_id", F.col("event")["tag"].alias("tag"), F.col("event")["value"].cast("double").alias("value"))
 
 
-@query("SELECT event_id, 'ERROR_' || event_type AS tag, substr(props, 1, 500) AS stacktrace FROM events WHERE event_type = 'error'")
+@query("""SELECT event_id, 'ERROR_' || event_type AS tag, 'user ' || user_id AS error_msg, CASE WHEN user_id % 2 = 0 THEN 'Failure' END AS throwable, CASE WHEN user_id % 2 = 0 THEN substr(repeat(props, 20), 1, 500) END AS stacktrace,
+    CAST(epoch_us(ts) // 1000 AS VARCHAR) AS timestamp_ms FROM events WHERE event_type = 'error'""")
 def error_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events(spark, sf_dir).where("event_type = 'error'").select("event_id", F.concat(F.lit("ERROR_"), "event_type").alias("tag"), F.substring("props", 1, 500).alias("stacktrace"))
+    throwable = F.when(F.col("user_id") % 2 == 0, "Failure")
+    event = M.log_error(F.col("event_type"), F.concat(F.lit("user "), F.col("user_id").cast("string")), throwable, F.repeat("props", 20), F.floor(F.col("us") / 1000))
+    rows = events(spark, sf_dir).where("event_type = 'error'").select("event_id", event.alias("event"))
+    return rows.select("event_id", *[F.try_element_at("event", F.lit(k)).alias(k) for k in ("tag", "error_msg", "throwable", "stacktrace", "timestamp_ms")])
 
 
 # -- planes: embeddings of 64 values as planes of 8 by 8 ------------------------------------------
@@ -330,10 +336,10 @@ def guard_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pixels.select("vec_id", "idx", P.blend(F.array("fused"), F.array("v"))[0].alias("blended"))
 
 
-@query("SELECT doc_id, 'FFD8FFE0' || hex(encode(text)) AS jpeg, '49492A00' || hex(encode(text)) AS dng FROM documents WHERE n_chars < 200")
+@query("SELECT doc_id, 'FFD8FFE0' || hex(encode(text)) AS jpeg, '49492A00' || hex(encode(text)) AS dng FROM documents")
 def encode_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = F.encode("text", "utf-8")
-    return table(spark, sf_dir, "documents").where("n_chars < 200").select("doc_id", F.hex(P.encode_jpeg(raw)).alias("jpeg"), F.hex(P.encode_dng(raw)).alias("dng"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.hex(P.encode_jpeg(raw)).alias("jpeg"), F.hex(P.encode_dng(raw)).alias("dng"))
 
 
 @query("SELECT doc_id, 'FFD8FFE0' || hex(encode(text)) AS jpeg, '49492A00' || hex(encode(text)) AS dng FROM documents")
@@ -380,7 +386,11 @@ def state_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", "user_id", "source", "target", S.legal(F.col("source"), F.col("target")).alias("is_legal"))
 
 
-@query()
+@query(f"""WITH RECURSIVE e AS (SELECT user_id AS session, {_STATE_SQL} AS requested, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS i FROM events),
+    r AS (SELECT DISTINCT session, CAST(0 AS BIGINT) AS i, 'UNINITIALIZED' AS state, CAST(0 AS BIGINT) AS yes FROM e UNION ALL
+        SELECT r.session, e.i, CASE WHEN t.source IS NULL THEN r.state ELSE e.requested END, r.yes + CASE WHEN t.source IS NULL THEN 0 ELSE 1 END
+        FROM r JOIN e ON e.session = r.session AND e.i = r.i + 1 LEFT JOIN {_LEGAL_SQL} ON t.source = r.state AND t.target = e.requested)
+    SELECT session, arg_max(state, i) AS final_state, max(yes) AS accepted, max(i) - max(yes) AS rejected FROM r GROUP BY session""")
 def state_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = events(spark, sf_dir).select(F.col("user_id").alias("session"), F.col("us").alias("seq"), state(F.col("event_type")).alias("requested"))
     return S.replay_states(rows, "session")
@@ -538,7 +548,12 @@ def copy_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.copy_audit(both, ["hardware_buffer"])
 
 
-@query()
+@query("""WITH RECURSIVE a AS (SELECT l_suppkey AS ledger, l_orderkey * 10 + l_linenumber AS seq, (CASE WHEN l_returnflag = 'R' THEN -1 ELSE 1 END) * CAST(l_quantity AS BIGINT) AS x FROM lineitem),
+    o AS (SELECT ledger, x, row_number() OVER (PARTITION BY ledger ORDER BY seq, x) AS i FROM a),
+    r AS (SELECT DISTINCT ledger, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS held, CAST(0 AS BIGINT) AS granted FROM o UNION ALL
+        SELECT r.ledger, o.i, CASE WHEN x < 0 THEN greatest(held + x, 0) WHEN held + x <= 200 THEN held + x ELSE held END, granted + CASE WHEN x >= 0 AND held + x <= 200 THEN 1 ELSE 0 END
+        FROM r JOIN o ON o.ledger = r.ledger AND o.i = r.i + 1)
+    SELECT ledger, max(granted) AS granted, arg_max(held, i) AS allocated FROM r GROUP BY ledger""")
 def memory_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("ledger"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"), (F.when(F.col("l_returnflag") == "R", -1).otherwise(1) * F.col("l_quantity").cast("bigint")).alias("amount"))
     return R.memory_ledger(rows, ["ledger"], "seq", 200)
@@ -562,9 +577,9 @@ def version_places(parts: DataFrame) -> DataFrame:
     return ranking.places(rows, ["major", "minor", "patch", "p_partkey"]).select("p_partkey", "place")
 
 
-@query("SELECT p_partkey, CAST(row_number() OVER (ORDER BY p_size % 3, p_size % 5, p_size % 7, p_partkey) AS BIGINT) AS place FROM part WHERE p_size < 10")
+@query("SELECT p_partkey, CAST(row_number() OVER (ORDER BY p_size % 3, p_size % 5, p_size % 7, p_partkey) AS BIGINT) AS place FROM part")
 def version_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return version_places(table(spark, sf_dir, "part").where("p_size < 10"))
+    return version_places(table(spark, sf_dir, "part"))
 
 
 @query("SELECT p_partkey, CAST(row_number() OVER (ORDER BY p_size % 3, p_size % 5, p_size % 7, p_partkey) AS BIGINT) AS place FROM part")
@@ -618,7 +633,7 @@ def frame_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.distinct_frames(rows)
 
 
-@query("SELECT p_partkey, p_size * 60 || 'x' || p_size AS size, CASE WHEN p_size > 25 THEN '+' ELSE '' END || (p_size - 25) AS ev, CAST(trunc(p_size * 60 * p_size * 1.5) AS BIGINT) AS yuv_bytes, '1/' || (1000000000 // (p_size * 1000000)) || 's' AS shutter FROM part")
+@query("SELECT p_partkey, p_size * 60 || 'x' || p_size AS size, CASE WHEN p_size > 25 THEN '+' ELSE '' END || (p_size - 25) AS ev, CAST(trunc(p_size * 60 * p_size * 1.5) AS BIGINT) AS yuv_bytes, '1/' || (1000000000 // (p_size * 1000000)) || 's' AS shutter, p_size || ' ms (1/' || (1000000000 // (p_size * 1000000)) || 's)' AS exposure FROM part")
 def display_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = F.col("p_size")
-    return table(spark, sf_dir, "part").select("p_partkey", L.size_label(size * 60, size).alias("size"), L.ev_label(size - 25).alias("ev"), L.yuv_bytes(size * 60, size).alias("yuv_bytes"), L.shutter_label(size.cast("bigint") * 1_000_000).alias("shutter"))
+    return table(spark, sf_dir, "part").select("p_partkey", L.size_label(size * 60, size).alias("size"), L.ev_label(size - 25).alias("ev"), L.yuv_bytes(size * 60, size).alias("yuv_bytes"), L.shutter_label(size.cast("bigint") * 1_000_000).alias("shutter"), L.exposure_label(size.cast("bigint") * 1_000_000).alias("exposure"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sensorweave.operators.retention import latest
@@ -19,12 +19,19 @@ def media_files(media: DataFrame, seq: str) -> DataFrame:
         F.struct(F.concat("media_id", F.lit("_MASTER."), "format").alias("name"), F.col("master").alias("content")),
         F.struct(F.concat("media_id", F.lit("_META.json")).alias("name"), F.encode(meta, "utf-8").alias("content")),
     )
-    return rows.select("media_id", F.inline(files))
+    return rows.select("media_id", F.col(seq).alias("seq"), F.inline(files))
 
 
 def write_media(media: DataFrame, seq: str, path: str) -> None:
-    """The files as a Parquet table of names and contents, split by task."""
-    media_files(media, seq).write.mode("overwrite").parquet(path)
+    """Adds the files to a Parquet table of names and contents; ``read_media`` shows an id's last write, others stay."""
+    media_files(media, seq).write.mode("append").parquet(path)
+
+
+def read_media(spark: SparkSession, path: str) -> DataFrame:
+    """(media_id, seq, name, content) of the files of each id as last written."""
+    files = spark.read.parquet(path)
+    last = files.groupBy("media_id").agg(F.max("seq").alias("seq"))
+    return files.join(last, ["media_id", "seq"]).dropDuplicates(["media_id", "seq", "name"])
 
 
 def json_lines(rows: DataFrame) -> DataFrame:

@@ -158,3 +158,47 @@ def test_sources_and_sinks(spark, tmp_path):
     assert found["m_ORIGINAL.jpg"] == b"\x03" and found["m_MASTER.jpg"] == b"\x04" and len(found) == 3
     sinks.write_bundle({"scenes": C.scenes(spark)}, str(tmp_path / "bundle"))
     assert spark.read.json(str(tmp_path / "bundle/scenes")).count() == 14
+
+
+def test_media_of_other_ids_stay(spark, tmp_path):
+    rows = lambda *r: spark.createDataFrame([(i, bytearray(b), bytearray(b), "{}", "{}", "jpg", n) for i, b, n in r], "media_id string, original binary, master binary, capture_json string, processing_json string, format string, seq int")
+    path = str(tmp_path / "media")
+    sinks.write_media(rows(("a", b"1", 1)), "seq", path)
+    sinks.write_media(rows(("b", b"2", 2)), "seq", path)
+    sinks.write_media(rows(("a", b"3", 3)), "seq", path)
+    found = {r["name"]: bytes(r["content"]) for r in sinks.read_media(spark, path).collect()}
+    assert len(found) == 6 and found["a_ORIGINAL.jpg"] == b"3" and found["b_MASTER.jpg"] == b"2"
+
+
+def test_cameras_with_defaults(spark, tmp_path):
+    lines = [
+        '{"camera_id": "0"}', '{"camera_id": "1", "level": "broken"}', "{nonsense", '{"level": 1}',
+        '{"camera_id": "2", "level": 1, "facing": 0, "capabilities": [3, 11], "physical_ids": ["4"], "ois": [0, 1], "formats": [32, 4101], "dynamic_ranges": [64, 4], "stream_uses": [3, 9, 1], "ae_modes": [1, 6], "scene_modes": [5], "min_focus": 2.0, "ev_lo": -3}',
+    ]
+    (tmp_path / "cameras.json").write_text("\n".join(lines))
+    scan = readers.camera_scan(spark, str(tmp_path / "cameras.json"))
+    profiles = {r["camera_id"]: r for r in readers.camera_profiles(scan).collect()}
+    more = {r["camera_id"]: r for r in readers.camera_capabilities(scan).collect()}
+    assert set(profiles) == set(more) == {"0", "2"}
+    assert profiles["0"]["hardware_level"] == "LEGACY" and profiles["0"]["focus_distance"] == pytest.approx(10)
+    assert profiles["2"]["focus_distance"] == 0.5 and profiles["2"]["formats"] == ["RAW_SENSOR", "FORMAT_4101"]
+    a, b = more["0"], more["2"]
+    assert (a["lens_facing"], a["is_logical"], a["active"], a["max_frame_ns"], a["color_filter"]) == ("BACK_WIDE", False, (4000, 3000), 33_333_333, "RGGB")
+    assert a["focal_lengths"] == pytest.approx([5.59]) and a["apertures"] == pytest.approx([1.6]) and tuple(a["size_mm"]) == pytest.approx((6.4, 4.8)) and a["ev_range"] == (-6, 6)
+    assert a["dynamic_ranges"] == ["SDR"] and not a["ultra_hdr"] and [c["status"] for c in a["capabilities"]] == ["UNSUPPORTED"] * 3
+    assert (b["lens_facing"], b["is_logical"], b["physical_ids"], b["ois_modes"], b["ev_range"]) == ("FRONT", True, ["4"], ["OFF", "ON"], (-3, 6))
+    assert b["dynamic_ranges"] == ["SDR", "HDR10", "DOLBY_VISION_10B"] and b["stream_uses"] == ["VIDEO_RECORD", "PREVIEW"] and b["hybrid_ae_modes"] == ["ISO_PRIORITY"] and b["night_mode"] and b["ultra_hdr"]
+    assert [c["status"] for c in b["capabilities"]] == ["DISCOVERED"] * 3
+
+
+def test_logs_hold_a_bound(spark):
+    logs = spark.range(1200).selectExpr("id as timestamp_ns", "case when id < 300 then 'OLD' else 'NEW' end as category", "'INFO' as level", "'m' as message")
+    assert M.filter_logs(logs, "OLD").count() == 100 and M.filter_logs(logs, "OLD", limit=500).count() == 100
+    assert M.recent_events(logs, "timestamp_ns", 600).count() == 500 and M.recent_events(logs, "timestamp_ns", 7).count() == 7
+
+
+def test_errors_leave_out_what_is_missing(spark):
+    df = spark.createDataFrame([("CAM", "lost", None, None), ("CAM", "lost", "IOException", "x" * 900)], "tag string, message string, throwable string, trace string")
+    a, b = (r["event"] for r in df.select(M.log_error(F.col("tag"), F.col("message"), F.col("throwable"), F.col("trace"), F.lit(5)).alias("event")).collect())
+    assert a == {"error_msg": "lost", "tag": "ERROR_CAM", "timestamp_ms": "5"}
+    assert b == {"error_msg": "lost", "tag": "ERROR_CAM", "timestamp_ms": "5", "throwable": "IOException", "stacktrace": "x" * 500}

@@ -1,10 +1,12 @@
 """Retention, pairing and state machines against plain simulators."""
 
 import random
+import time
 
 from pyspark.sql import functions as F
 
 from sensorweave.operators import pairing, retention
+from sensorweave.sources import readers
 from sensorweave.sources.catalogs import TRANSITIONS
 from sensorweave.streaming import streams
 
@@ -102,3 +104,24 @@ def test_keyframes(spark):
     assert sorted(r["id"] for r in found) == [14, 29]
     off = streams.keyframes(df, ["k"], "id", recording=F.col("id") >= 10).collect()
     assert sum(r["is_dropped"] for r in off) == 10 and [r["id"] for r in off if r["is_enhanced"]] == [24]
+
+
+def test_bounded_pairing_on_a_stream(spark, tmp_path):
+    rng = random.Random(6)
+    rows = {k: [(rng.choice(["image", "result"]), rng.randrange(12), t * 7) for t in range(60)] for k in "xy"}
+    for part in range(3):  # a batch for each third of the arrivals
+        some = [(k, *r) for k, rs in rows.items() for r in rs[part * 20 : part * 20 + 20]]
+        spark.createDataFrame(some, readers.ARRIVALS).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+        time.sleep(0.01)
+    q = pairing.pair_bounded_stream(readers.arrival_stream(spark, str(tmp_path / "in")), "stream", 4, 60).writeStream.format("memory").queryName("bounded").outputMode("append").start()
+    q.processAllAvailable()
+    q.stop()
+    found = spark.sql("select * from bounded").collect()
+    for k, rs in rows.items():
+        assert sorted((r["outcome"], r["side"], r["timestamp_ns"]) for r in found if r["stream"] == k) == [x for x in simulate(rs, 4, 60) if x[0] != "pending"]
+
+
+def test_lifecycle_counts(spark):
+    rows = [("s", "paired", "result", 1), ("s", "dropped", "image", 2), ("s", "dropped", "result", 3), ("s", "pending", "image", 4)]
+    row = pairing.lifecycle_counts(spark.createDataFrame(rows, "stream string, outcome string, side string, timestamp_ns bigint")).first()
+    assert row.asDict() == {"stream": "s", "associated": 1, "dropped": 2, "pending": 1, "acquired": 3, "closed": 1, "outstanding": 2}

@@ -66,7 +66,10 @@ def test_clock_report_repeats_and_no_samples(spark):
     p = spark.createDataFrame([("c", 1, 5), ("c", 2, 5)], "k string, n int, ts bigint")
     matched = T.floor_else_ceiling(p, spark.createDataFrame([], "k string, ts bigint, values array<float>"), ["k"])
     row = T.clock_report(matched, ["k"], order="n").first()
-    assert not row["is_monotonic"] and not row["is_verified"] and row["avg_offset"] == 0
+    assert (row["is_monotonic"], row["is_verified"], row["avg_offset"], row["max_offset"], row["missing_intervals"], row["sample_count"]) == (True, False, 0, 0, 0, 0)
+    with_samples = T.floor_else_ceiling(p, samples(spark, SAMPLES).selectExpr("'c' as k", "*"), ["k"])
+    row = T.clock_report(with_samples, ["k"], order="n").first()
+    assert (row["is_monotonic"], row["is_verified"], row["sample_count"]) == (False, False, 2)
 
 
 def test_trailing_window_keeps_the_bound(spark):
