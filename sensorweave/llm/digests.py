@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sensorweave.llm._flat import byte_buffer, chunks, mix
+from sensorweave.llm._shared import small_batches
 
 WINDOW = 32
 SPAN = 64
@@ -224,6 +225,7 @@ def compare_with_next(documents: DataFrame, key: str = "doc_id", text: str = "te
 
     Texts are shuffled once.  Rows of equal key follow each other in order of their text.
     """
+    small_batches(documents.sparkSession)
 
     def finish(ids: list, texts: list[str], chains: list[np.ndarray]) -> pa.RecordBatch:
         """Results of all rows but the last, which is only the successor of the one before."""

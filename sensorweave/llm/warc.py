@@ -10,7 +10,7 @@ failed check the reader searches for the next place where a valid member or a ve
 goes on from there, and logs the bytes between as a quarantined gap.  A file is read in pieces; memory
 holds one record at a time.
 
-Defined results: a null payload is empty; small payloads are always written as responses; among rows
+Defined results: headers (and so URLs) may have any length; a null payload is empty; small payloads are always written as responses; among rows
 of equal smallest id and payload all are responses; a null id is larger than any other; an empty table
 gives no archive and no row.
 """
@@ -29,7 +29,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sensorweave.llm._shared import scratch, small_side, stored
+from sensorweave.llm._shared import scratch, small_batches, small_side, stored
 
 MIN_REVISIT = 100
 FILE_BYTES = 64 << 20
@@ -41,7 +41,6 @@ _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _CONTROL = re.compile(r"[\x00-\x20\x7f]")
 _MAGIC = b"\x1f\x8b\x08"
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
-_MAX_HEADER = 1 << 16
 
 
 def _hex(data: bytes) -> str:
@@ -106,7 +105,7 @@ def parse_record(data: bytes, offset: int = 0) -> tuple[Record, int]:
     """The record at the start of ``data`` and the number of its bytes."""
     if not _VERSION.match(data):
         raise Damaged("no version line")
-    end = data.find(b"\r\n\r\n", 0, _MAX_HEADER)
+    end = data.find(b"\r\n\r\n")
     if end < 0:
         raise Damaged("header does not end")
     headers = _fields(data[:end].split(b"\r\n")[1:])
@@ -184,8 +183,8 @@ def read_archive(handle, size: int) -> Iterator[Record | Gap]:
                 n, data = PIECE, source.at(at, 16)
                 if not _VERSION.match(data):
                     raise Damaged("no version line")
-                data = source.at(at, min(_MAX_HEADER, size - at))
-                head = data.find(b"\r\n\r\n")
+                while (head := (data := source.at(at, n)).find(b"\r\n\r\n")) < 0 and n < size - at:
+                    n *= 4  # a header of any length
                 length = _fields(data[: max(head, 0)].split(b"\r\n")).get("content-length", "")
                 if head < 0 or not length.isdigit() or at + head + 8 + int(length) > size:
                     raise Damaged("header or length does not fit")
@@ -234,8 +233,7 @@ def write_archives(typed: DataFrame, path: str, file_bytes: int = FILE_BYTES) ->
             return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([size], pa.int64()), pa.array([count], pa.int64())], names=["file", "bytes", "records"])
 
         for batch in batches:
-            for i in range(batch.num_rows):
-                page, url, html, digest, refers = (batch.column(c)[i].as_py() for c in ("id", "url", "html", "digest", "refers_to"))
+            for page, url, html, digest, refers in zip(*[batch.column(c).to_pylist() for c in ("id", "url", "html", "digest", "refers_to")], strict=True):
                 data = compress_member(build_record(page, url, html.encode("utf-8", "surrogatepass"), digest, refers))
                 if out is not None and size + len(data) > file_bytes:
                     yield close()
@@ -295,8 +293,16 @@ def read_archives(files: DataFrame, path: str) -> DataFrame:
 
 
 def round_trip(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """Writes all pages to archives in the shared folder and reads them back: one row per page."""
+    """Writes all pages to archives in the shared folder and reads them back: one row per page.
+
+    Fewer records read than written, or a gap, is an error.
+    """
+    small_batches(pages.sparkSession)
     path = scratch(pages.sparkSession, "warc")
     files = write_archives(assign_types(pages, key, url, html), path)
-    records = read_archives(files, path).where("kind != 'gap'")
+    records = stored(read_archives(files, path), "warc-records")
+    written = files.agg(F.coalesce(F.sum("records"), F.lit(0))).first()[0]
+    read = records.agg(F.count_if(F.col("kind") != "gap"), F.count_if(F.col("kind") == "gap")).first()
+    if tuple(read) != (written, 0):
+        raise RuntimeError(f"of {written} records written, {read[0]} were read back, with {read[1]} gaps; see the rows of {path}")
     return records.select(F.col("page_id").alias(key), "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), "refers_to")

@@ -2,6 +2,8 @@ import hashlib
 import io
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from sensorweave.llm import digests as D
 from sensorweave.llm import warc as W
@@ -57,6 +59,14 @@ def test_compare_with_next(spark):
         want.append((key, len(text), hashlib.sha256(changed.encode()).hexdigest(), D.to_text(D.filters([text])[0]), D.to_text(D.filters([changed])[0])))
     got = [(r["doc_id"] or 0, r["n_chars"], r["edited_sha256"], r["fingerprint"], r["edited_fingerprint"]) for r in found]
     assert sorted(got) == sorted(want)
+
+    def share(a, b):
+        return D.likeness(D.from_text(a), D.from_text(b))
+
+    texts = {(k, hashlib.sha256(D.edited(t, rows[(i + 1) % len(rows)][2]).encode()).hexdigest()): (t, D.edited(t, rows[(i + 1) % len(rows)][2])) for i, (_, k, t) in enumerate(rows)}
+    for r in found:
+        text, changed = texts[r["doc_id"] or 0, r["edited_sha256"]]
+        assert r["near_edited"] == (1.0 if text == changed else share(r["fingerprint"], r["edited_fingerprint"]))
     assert all(0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1 for r in found)
     assert D.compare_with_next(empty(spark)).count() == 0
     one = D.compare_with_next(spark.createDataFrame([(7, "abcdefgh")], "doc_id bigint, text string")).first()
@@ -85,6 +95,22 @@ def test_files_are_split_and_read_back(spark):
     assert back.where("kind != 'gap'").count() == 10 and back.where("kind = 'gap'").count() == 0
 
 
+def test_long_urls_and_clashing_columns(spark):
+    urls = {1: "http://a/" + "u" * 1_000_000, 2: "http://a/" + "v" * 70_000, 3: "http://b"}
+    df = spark.createDataFrame([(k, u, "x" * k, "mine") for k, u in urls.items()], "page_id bigint, url string, html string, digest string").withColumn("records", F.lit(1))
+    assert sorted((r["page_id"], r["payload_bytes"], r["record_type"]) for r in W.round_trip(df).collect()) == [(k, k, "response") for k in urls]
+    for parts in ([W.build_record(k, u, b"x", W._hex(b"x"), None) for k, u in urls.items()],) * 2:
+        assert damaged(parts, lambda d, p: None) == (["1", "2", "3"], 0)
+        parts[:] = [W.compress_member(p) for p in parts]
+
+
+def test_a_lost_record_is_an_error(spark, monkeypatch):
+    whole = W.build_record
+    monkeypatch.setattr(W, "build_record", lambda page, *rest: whole(page, *rest)[: -9 if page == 4 else None])
+    with pytest.raises(RuntimeError, match="of 10 records written"):
+        W.round_trip(pages(spark))
+
+
 def damaged(parts, harm):
     data, places = bytearray(b"".join(parts)), [0]
     for p in parts:
