@@ -39,6 +39,42 @@ _BASE_KEYWORDS = {"mit": "license", "apache-2": "apache", "cc-by-nc": "cc"}
 _LATER = {"": "", " or later": "-or-later", " or any later version": "-or-later", " only": "-only"}
 
 
+#: Sentences by which the texts and notices of licenses are known: label, keyword, pattern.
+TEXTS = [
+    ("mit", "hereby", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
+    ("isc", "hereby", "permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby granted"),
+    ("0bsd", "hereby", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted the software is provided as is"),
+    ("bsd-3-clause", "endorse", "neither the names? of (?:[^ ]+ ){1,12}?may be used to endorse or promote products derived from this software"),
+    ("bsd-4-clause", "advertising", "all advertising materials mentioning features or use of this software must display the following acknowledgement"),
+    ("bsd", "redistributions", "redistributions of source code must retain the above copyright notice"),
+    ("apache-2", "compliance", "you may not use this file except in compliance with the license"),
+    ("apache-2", "apache", "apache license version 2 0 january 2004"),
+    ("apache-1-1", "apache", "this product includes software developed by the apache software foundation"),
+    ("gpl", "redistribute", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
+    ("lgpl", "redistribute", "this library is free software you can redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public license"),
+    ("gpl", "verbatim", "everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed"),
+    ("agpl", "prominently", "your modified version must prominently offer all users interacting with it remotely through a computer network"),
+    ("gfdl", "gnu", "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license"),
+    ("mpl-2", "mozilla", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("mpl-1-1", "mozilla", "the contents of this file are subject to the mozilla public license version 1 1"),
+    ("epl", "eclipse", "this program and the accompanying materials are made available under the terms of the eclipse public license"),
+    ("cddl", "license", "the contents of this file are subject to the terms of the common development and distribution license"),
+    ("zlib", "warranty", "this software is provided as is without any express or implied warranty in no event will the authors be held liable"),
+    ("bsl-1", "hereby", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation"),
+    ("unlicense", "unencumbered", "this is free and unencumbered software released into the public domain"),
+    ("ofl", "sil", "this font software is licensed under the sil open font license"),
+    ("postgresql", "hereby", "permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted"),
+    ("ncsa", "sublicense", "to deal with the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense"),
+    ("cc0", "waived", "waived all copyright and related or neighboring rights"),
+    ("cc0", "dedicated", "this work has been marked as dedicated to the public domain"),
+    ("x11", "advertising", "shall not be used in advertising or otherwise to promote the sale use or other dealings in this software"),
+    ("python-2", "python", "psf is making python available to licensee on an as is basis"),
+    ("openssl", "openssl", "this product includes software developed by the openssl project for use in the openssl toolkit"),
+    ("proprietary", "unauthorized", "unauthorized copying of this file via any medium is strictly prohibited"),
+    ("all-rights-reserved", "reproduced", "no part of this (?:publication|document|work) may be reproduced"),
+]
+
+
 def _versioned(names: dict[str, list[str]], versions: list[str], forms: list[str]) -> list[tuple[str, str]]:
     """(label, pattern) for each name, version and form."""
     out = []
@@ -47,7 +83,7 @@ def _versioned(names: dict[str, list[str]], versions: list[str], forms: list[str
             for version in versions:
                 said = version.replace(".", " ") if not version.endswith(".0") else f"{version[:-2]}(?: 0)?"
                 for form in forms:
-                    out.append((f"{family}-{version.replace('.0', '').replace('.', '-')}", form.format(n=name, v=said)))
+                    out.append((f"{family}-{version.removesuffix('.0').replace('.', '-')}", form.format(n=name, v=said)))
     return out
 
 
@@ -63,8 +99,8 @@ def build_rules() -> list[Rule]:
         for name in names:
             found.append(Rule(family, "gnu", name, 10, 0.8))
         for version in gnu_versions[family]:
-            short = version.replace(".0", "").replace(".", " ")
-            found += [Rule(f"{family}-{short.replace(' ', '-')}", f"{family}v{short.split()[0]}", f"{family}v{short}", 30, 0.9), Rule(f"{family}-{short.replace(' ', '-')}", family, f"{family} (?:version )?{short}", 30, 0.9)]
+            short = version.removesuffix(".0").replace(".", " ")
+            found += [Rule(f"{family}-{short.replace(' ', '-')}", f"{family}v{short.split()[0]}", f"{family}v{short}", 30, 0.9), Rule(f"{family}-{short.replace(' ', '-')}", family, f"{family} (?:version |v ?)?{short}", 30, 0.9)]
     parts = {"by": "attribution", "sa": "share ?alike", "nc": "non ?commercial", "nd": "no ?deriv(?:ative)?s?"}
     for kind in (["by"], ["by", "sa"], ["by", "nc"], ["by", "nd"], ["by", "nc", "sa"], ["by", "nc", "nd"]):
         label, long = "cc-" + "-".join(kind), " ".join(parts[k] for k in kind)
@@ -83,6 +119,12 @@ def build_rules() -> list[Rule]:
             for label, pattern in _versioned({family: [name]}, versions, ["{n},? version {v}", "{n} v ?{v}", "{n} {v}"]):
                 found.append(Rule(label, keyword, pattern, 30, 1.0))
             found.append(Rule(family, keyword, name, 10, 0.8))
+    for family in ("mpl", "epl", "cddl", "eupl", "osl", "afl", "cpl", "lppl", "odbl", "ofl"):  # acronyms in use
+        for version in plain[family][1]:
+            said = version.removesuffix(".0").replace(".", " ")
+            found.append(Rule(f"{family}-{said.replace(' ', '-')}", family, f"{family} (?:version |v ?)?{said}(?: 0)?" if version.endswith(".0") else f"{family} (?:version |v ?)?{said}", 30, 0.9))
+        found += [Rule(family, family, f"(?:under|by) (?:the )?(?:terms of the )?{family}", 10, 0.8), Rule(family, family, f"{family} licen[cs]ed?", 10, 0.8)]
+    found += [Rule(label, keyword, pattern, 40, 0.9) for label, keyword, pattern in TEXTS]
     for count, word in (("0", "zero"), ("1", "one"), ("2", "two"), ("3", "three"), ("4", "four")):
         found += [Rule(f"bsd-{count}-clause", "bsd", f"bsd {count} clause", 30, 1.0), Rule(f"bsd-{count}-clause", "bsd", f"{count} clause bsd(?: licen[cs]e)?", 30, 1.0), Rule(f"bsd-{count}-clause", "bsd", f"{word} clause bsd(?: licen[cs]e)?", 30, 1.0)]
     found += [Rule("bsd", "bsd", "bsd licen[cs]e", 10, 0.8), Rule("bsd-2-clause", "freebsd", "freebsd licen[cs]e", 30, 0.9), Rule("bsd-3-clause", "redistribution", "redistribution and use in source and binary forms", 10, 0.7)]
