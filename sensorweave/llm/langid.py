@@ -11,7 +11,9 @@ many chains run side by side; every word belongs to a chain.  Training chains ar
 two documents, so that transitions between languages are seen.
 
 Defined results: a null text and a text without a letter are ``und`` with score 0; with no labelled
-row outside the held-out fold every text is ``und``.  Other columns are left out of the result.
+row outside the held-out fold every text is ``und``; of languages with equal means the first in order
+of name is taken; of rows of the sample that share a key all are learned from.  Other columns are left
+out of the result.
 """
 
 from __future__ import annotations
@@ -28,11 +30,14 @@ from pyspark.sql import functions as F
 
 from sensorweave.llm._flat import byte_buffer, chunks, mix, token_hashes, token_spans
 from sensorweave.llm._labels import fold, held_out
+from sensorweave.llm._shared import small_batches
 
 #: Labelled rows that the model is fitted on, at most.
 MAX_FIT_ROWS = 2_400
 BUCKETS = 1 << 16
 CHAIN = 64
+#: Chains whose forward-backward is held at once while fitting.
+BLOCK = 2_000
 UNKNOWN = "und"
 
 _LETTER = re.compile(r"[^\W\d_]")
@@ -187,7 +192,12 @@ def _sample(documents: DataFrame, key: str, text: str, lang: str, max_rows: int)
 
 
 def fit_language(documents: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", max_rows: int = MAX_FIT_ROWS, rounds: int = 30) -> LanguageModel:
-    """Fits weights and transitions by the chains' conditional likelihood (Adam) on a bounded sample."""
+    """Fits weights and transitions by the chains' conditional likelihood (Adam) on a bounded sample of rows.
+
+    All chains of the sampled texts are learned from, ``BLOCK`` at a time, so that the driver's memory
+    does not follow their number.
+    """
+    small_batches(documents.sparkSession)
     sample = _sample(documents, key, text, lang, max_rows)
     try:
         rows = sorted(sample.select(F.xxhash64(key).alias("place"), "text", "lang").toLocalIterator(), key=lambda r: (r["place"], r["text"]))
@@ -202,8 +212,6 @@ def fit_language(documents: DataFrame, key: str = "doc_id", text: str = "text",
     grid, text_of, _ = _chains(words.at, words.counts)
     truth = np.array([labels.index(r["lang"]) for r in rows])[text_of]
     rng = np.random.default_rng(0)
-    keep = rng.permutation(grid.shape[1])[: 8 * max_rows]
-    grid, truth = grid[:, keep], truth[keep]
     n = grid.shape[1]
     other, cut = rng.permutation(n), np.where(rng.random(n) < 0.4, rng.integers(1, CHAIN, n), CHAIN)
     late = np.arange(CHAIN)[:, None] >= cut
@@ -214,18 +222,25 @@ def fit_language(documents: DataFrame, key: str = "doc_id", text: str = "text",
     used = np.bincount(grid[inside], minlength=words.n) > 0
     few = used[words.owner]
     words = Words(words.at, words.counts, words.owner[few], words.bucket[few], words.n)
-    hot = np.eye(size)[y] * inside[:, :, None]
+    hot = np.eye(size)
+    first_truth = np.bincount(y[0], minlength=size)
     pair_truth = np.zeros((size, size))
     np.add.at(pair_truth, (y[:-1][inside[1:]], y[1:][inside[1:]]), 1)
     state = [np.zeros_like(v) for v in (model.weights, model.start, model.move)], [np.zeros_like(v) for v in (model.weights, model.start, model.move)]
     places = np.maximum(grid, 0)
     for step in range(1, rounds + 1):
-        gamma, pairs, _ = _marginals(model.evidence(words)[places], inside, model.start, model.move)
-        wrong = ((gamma * inside[:, :, None]) - hot).reshape(-1, size)
-        by_word = np.column_stack([np.bincount(places.ravel(), wrong[:, k], words.n) for k in range(size)])
+        evidence = model.evidence(words)
+        by_word, pairs, first = np.zeros((words.n, size)), np.zeros((size, size)), np.zeros(size)
+        for at in range(0, n, BLOCK):
+            own, there = places[:, at : at + BLOCK], inside[:, at : at + BLOCK]
+            gamma, some, _ = _marginals(evidence[own], there, model.start, model.move)
+            wrong = ((gamma - hot[y[:, at : at + BLOCK]]) * there[:, :, None]).reshape(-1, size)
+            by_word += np.column_stack([np.bincount(own.ravel(), wrong[:, k], words.n) for k in range(size)])
+            pairs += some
+            first += gamma[0].sum(0)
         grads = [
             np.column_stack([np.bincount(words.bucket, by_word[words.owner, k], BUCKETS) for k in range(size)]) / total + 1e-7 * model.weights,
-            (gamma[0] - hot[0]).mean(0),
+            (first - first_truth) / n,
             (pairs - pair_truth) / total,
         ]
         for i, (value, grad) in enumerate(zip((model.weights, model.start, model.move), grads, strict=True)):
@@ -238,6 +253,7 @@ def fit_language(documents: DataFrame, key: str = "doc_id", text: str = "text",
 
 def identify(documents: DataFrame, model: LanguageModel, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Key, held_out, lang_pred and score of every document; one pass, no shuffle."""
+    small_batches(documents.sparkSession)
     df = documents.select(F.col(key), F.col(text), held_out(key, 4, 2).alias("held_out"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,6 +266,7 @@ def identify(documents: DataFrame, model: LanguageModel, key: str = "doc_id", te
 
 def keep_identified(documents: DataFrame, model: LanguageModel, text: str = "text", min_score: float = 0.3) -> DataFrame:
     """The rows whose text has a language of at least ``min_score``, with all their columns; without a fitted language, all rows."""
+    small_batches(documents.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

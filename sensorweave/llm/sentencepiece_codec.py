@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sensorweave.llm._flat import chunks
+from sensorweave.llm._shared import small_batches
 
 SPACE = "▁"
 AGENDA_FROM = 400
@@ -378,8 +379,11 @@ def decode_column(df: DataFrame, model: PieceModel, ids: str = "ids", text: str
 def token_digests(df: DataFrame, model: PieceModel, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: the number of ids, the SHA-256 of the ids joined by commas, that of the decoded text.
 
-    One pass without a shuffle; ids are never held as a column.
+    One pass without a shuffle; ids are never held as a column.  The ids of a word are decoded once for
+    each distinct word and checked against it, and a text's decoded form is made of its words' decoded
+    forms.
     """
+    small_batches(df.sparkSession)
     df = df.select(F.col(key), F.col(text))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sensorweave.llm._labels import held_out, labelled_sample
+from sensorweave.llm._shared import small_batches
 
 #: Letters of other alphabets, and digits and signs, that pass for Latin letters.
 HOMOGLYPHS = {
@@ -39,12 +40,11 @@ HOMOGLYPHS = {
     "ı": "i", "ł": "l", "ø": "o", "đ": "d", "ß": "b", "æ": "a", "ɡ": "g", "ⅼ": "l",
     "0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "€": "e", "£": "l",
 }
-#: Uses of lexicon words that are not toxic.
+#: Phrases in which words of the lexicon are not toxic, unless ``fit_lexicon`` is given others.
 EXCEPTIONS = ("clown fish", "clown car", "trash can", "trash bin", "pathetic fallacy", "idiot proof", "pond scum", "sore loser rule", "stupid simple")
 
 #: Labelled rows that a lexicon is learned from, at most.
 MAX_FIT_ROWS = 20_000
-MAX_CANDIDATES = 400
 
 _ZERO_WIDTH = "­​‌‍⁠﻿"
 _WORD = re.compile(r"[^\W_]+")
@@ -180,8 +180,12 @@ def _incidence(sample: DataFrame, label: str, terms: list[str]) -> list:
 def fit_lexicon(documents: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = MAX_FIT_ROWS, exceptions: Iterable[str] = EXCEPTIONS) -> Lexicon:
     """Learns terms, weights and curve from at most ``max_rows`` labelled rows outside the held-out fold.
 
+    Candidates are the words of three letters or more that stand in at least four places of documents of
+    label 1 and more often there than not; the bound on the rows bounds them.
+
     Without labelled rows of both kinds the lexicon is empty and every score is low.
     """
+    small_batches(documents.sparkSession)
     exceptions = tuple(fold_text(x) for x in exceptions)
     sample = labelled_sample(documents, labels, label, max_rows)
     try:
@@ -194,7 +198,7 @@ def fit_lexicon(documents: DataFrame, labels: DataFrame, label: str = "toxic", m
         vocabulary = counts.count()
         both = F.col("ones") + F.col("zeros")
         lift = F.col("ones") * F.log(F.col("ones") / both / F.lit(rate))
-        rows = counts.where((F.col("ones") >= 4) & (F.col("ones") > F.lit(0.5) * both) & (F.length("word") >= 3)).orderBy(lift.desc(), "word").limit(MAX_CANDIDATES).collect()
+        rows = counts.where((F.col("ones") >= 4) & (F.col("ones") > F.lit(0.5) * both) & (F.length("word") >= 3)).orderBy(lift.desc(), "word").collect()
         counts.unpersist()
         terms = [r["word"] for r in rows]
         docs = _incidence(sample, label, terms)
@@ -243,6 +247,7 @@ def _curve(total: np.ndarray, words: np.ndarray, y: np.ndarray) -> tuple[float,
 
 def score(documents: DataFrame, lexicon: Lexicon, key: str = "doc_id", text: str = "text", threshold: float = 0.5) -> DataFrame:
     """Key, held_out, score, predicted and the number of terms of every document; one pass, no shuffle."""
+    small_batches(documents.sparkSession)
     df = documents.select(F.col(key), F.col(text), held_out(key, 5, 0).alias("held_out"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
