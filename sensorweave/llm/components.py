@@ -23,6 +23,7 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", rounds: i
     Each round joins edges with the smallest neighbour of a node, which is aggregated before the
     shuffle; edges of a node with very many neighbours are split by the skew join.  Edges stay in the
     shared folder between rounds, among the caller's ``tables`` if given, and never come to the driver.
+    A round over edges small enough to be broadcast needs no shuffle; the rows are the same either way.
     """
     tables = tables or Tables(links.sparkSession, "components")
     edges = tables.add(links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
@@ -30,14 +31,14 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", rounds: i
     for _ in range(rounds):
         if not state[0]:
             break
-        hint = F.broadcast if state[2] <= BROADCAST_BYTES else (lambda df: df)  # nodes have no more bytes than edges
+        few = state[2] <= BROADCAST_BYTES  # summed; nodes have no more bytes than edges
+        hint, edges = (F.broadcast, edges.coalesce(1)) if few else ((lambda df: df), edges)
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("w")).select("u", F.least("u", "w").alias("m"))
         large = both.join(hint(least), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(hint(least), "u").where("v != m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
-        old, edges = edges, tables.add(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
-        tables.drop(old)
+        edges = tables.add(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
         before, state = state, _state(edges)
         if before == state:
             break

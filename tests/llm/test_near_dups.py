@@ -82,11 +82,14 @@ def test_every_pair_within_the_distance_meets():
         assert errors.min() <= 1
 
 
-def test_components(spark):
+def test_components(spark, monkeypatch):
     rng = random.Random(9)
     for n, m in ((40, 30), (30, 29)):
         links = [(rng.randrange(n), rng.randrange(n)) for _ in range(m)] if n == 40 else [(i, i + 1) for i in range(n - 1)]
         df = spark.createDataFrame(links, "a int, b int")
         found = {r["node"]: r["component"] for r in connected_components(df).collect()}
+        monkeypatch.setattr("sensorweave.llm.components.BROADCAST_BYTES", 0)
+        assert found == {r["node"]: r["component"] for r in connected_components(df).collect()}  # the same by shuffling
+        monkeypatch.undo()
         want = components(range(n), links)
         assert found == {k: want[k] for k in found} and set(found) == {x for a, b in links if a != b for x in (a, b)}
