@@ -45,7 +45,7 @@ CHUNK = 6
 MISS = 1e-6
 MEET = 2
 #: Pairs of one hub that are confirmed together; a hub's text is sent once for so many.
-PART = 1_000
+PART = 100
 #: Low bits of a rank that hold a hash; the bits above hold the number of meetings, up to their largest value.
 RANK_BITS = 40
 
