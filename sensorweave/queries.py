@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sensorweave.functions import labels as L
 from sensorweave.functions import planes as P
@@ -621,6 +622,41 @@ def camera_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("camera_id", "hardware_level", F.col("formats")[0].alias("format"), F.col("iso_range.lo").alias("iso_lo"), F.col("iso_range.hi").alias("iso_hi"), "sensor_orientation", F.round("focus_distance", 6).alias("focus_distance"), F.col("ae_modes")[0].alias("ae_mode"), "has_raw")
 
 
+_BUNDLE_SQL = """WITH o AS (SELECT o_custkey AS d, CAST(o_orderkey AS VARCHAR) AS id, o_orderkey % 3 AS lv, o_orderkey % 4 AS fo, o_orderkey % 5 AS wl, left(o_orderpriority, 1) AS pr FROM orders),
+    c AS (SELECT d, CAST(count(*) AS VARCHAR) AS n,
+        string_agg('{"cameraId":"' || id || '","hardwareLevel":"' || CASE lv WHEN 0 THEN 'LIMITED' WHEN 1 THEN 'FULL' ELSE 'LEGACY' END || '","lensFacing":"' || CASE lv WHEN 0 THEN 'FRONT' ELSE 'BACK_WIDE' END
+            || '","sensorOrientation":90,"isLogical":' || CASE fo WHEN 1 THEN 'true,"physicalCameraIds":["' || id || 'a"]' ELSE 'false,"physicalCameraIds":[]' END
+            || ',"sensor":{"activeArrayWidth":4000,"activeArrayHeight":3000,"pixelArrayWidth":4000,"pixelArrayHeight":3000,"physicalWidthMm":6.4,"physicalHeightMm":4.8,"isoRange":[' || (100 + wl) || ',3200],"exposureTimeRangeNs":[100000,1000000000],"colorFilterArrangement":"RGGB"}'
+            || ',"lens":{"focalLengthsMm":[5.59],"apertures":[1.6],"minimumFocusDistanceMeters":' || CASE fo WHEN 0 THEN '0.1' WHEN 1 THEN '1.0' WHEN 2 THEN '0.5' ELSE '0.3333333333333333' END || ',"oisModes":["' || CASE lv WHEN 1 THEN 'ON' ELSE 'OFF' END || '"]}'
+            || ',"threeA":{"aeModes":["AE_MODE_' || wl || '"],"afModes":[],"awbModes":[]}}', ',' ORDER BY id) AS cams,
+        string_agg('"' || id || '":{"supportedProfiles":["SDR"' || CASE lv WHEN 0 THEN ',"HLG10"' WHEN 1 THEN ',"HDR10"' ELSE ',"HDR10_PLUS"' END || '],"constraints":{"SDR":["' || pr || '"]}}', ',' ORDER BY id) AS dyn,
+        string_agg('{"cameraId":"' || id || '","activeArray":[4000,3000],"pixelArray":[4000,3000],"physicalSizeMm":[6.4,4.8],"blackLevelPattern":' || CASE fo WHEN 0 THEN 'null' ELSE '[' || fo || ',' || fo || ']' END || ',"whiteLevel":' || CASE wl WHEN 0 THEN 1023 ELSE wl END || '}', ',' ORDER BY id) AS sens,
+        string_agg('{"combination":"' || id || '","streams":["P' || pr || '","YUV"],"state":"' || CASE wl WHEN 1 THEN 'FAILED' ELSE 'SUPPORTED' END || '","latencyMs":' || fo || '}', ',' ORDER BY id) AS strs FROM o GROUP BY d)
+    SELECT c_custkey AS device_id, x.name, x.content FROM customer LEFT JOIN c ON c.d = c_custkey, LATERAL (VALUES
+        ('device_profile.json', '{"timestamp":' || c_custkey || ',"deviceModel":"' || c_name || '","manufacturer":"' || c_mktsegment || '","brand":"b","product":"p","androidRelease":"14","sdkInt":34,"cameraCount":' || coalesce(n, '0') || ',"zeroCopyDesign":true,"zeroCopyHardwareState":"NOT_VERIFIED"}'),
+        ('camera_profile.json', '{"cameras":[' || coalesce(cams, '') || ']}'), ('stream_profile.json', '{"streamMatrix":[' || coalesce(strs, '') || ']}'), ('dynamic_range_profile.json', '{"cameraDynamicRange":{' || coalesce(dyn, '') || '}}'), ('sensor_profile.json', '{"sensors":[' || coalesce(sens, '') || ']}'),
+        ('verification.json', '{"phase":1,"timestamp":' || c_custkey || ',"status":"VERIFIED","device":"' || c_name || '","zeroCopyDesign":"PASS","zeroCopyHardware":"NOT_VERIFIED","actualBufferCopies":["none"],"notes":"a \\"quoted\\" note"}')) x(name, content)"""
+
+
+@query(_BUNDLE_SQL)
+def verification_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as devices, their orders as cameras and as tested combinations."""
+    order = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("device_id"), F.col("o_orderkey").cast("string").alias("id"), *[(F.col("o_orderkey") % n).cast("int").alias(x) for n, x in ((3, "lv"), (4, "fo"), (5, "wl"))], F.substring("o_orderpriority", 1, 1).alias("pr"))
+    known = {
+        "camera_id": F.col("id"), "level": F.col("lv"), "facing": F.col("lv"), "capabilities": F.when(F.col("fo") == 1, F.array(F.lit(11))), "physical_ids": F.when(F.col("fo") == 1, F.array(F.concat("id", F.lit("a")))), "ois": F.array("lv"),
+        "ae_modes": F.array("wl"), "iso_lo": F.lit(100) + F.col("wl"), "min_focus": F.col("fo").cast("float"), "white_level": F.when(F.col("wl") > 0, F.col("wl")), "dynamic_ranges": F.array(F.expr("shiftleft(2, lv)")).cast("array<bigint>"),
+    }
+    fields = T.StructType.fromDDL(readers.CAMERA_SCHEMA).fields
+    raw = order.select("device_id", F.when(F.col("fo") > 0, F.array("fo", "fo")).alias("black_level"), F.create_map(F.lit("SDR"), F.array("pr")).alias("constraints"), *[known.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in fields])
+    cameras = readers.camera_records(raw, ["device_id", "black_level", "constraints"])
+    streams = order.select("device_id", F.col("id").alias("combination"), F.array(F.concat(F.lit("P"), "pr"), F.lit("YUV")).alias("streams"), F.when(F.col("wl") == 1, "FAILED").otherwise("SUPPORTED").alias("state"), F.col("fo").alias("latency_ms"))
+    devices = table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("device_id"), F.col("c_custkey").alias("timestamp"), F.col("c_name").alias("device_model"), F.col("c_mktsegment").alias("manufacturer"), F.lit("b").alias("brand"), F.lit("p").alias("product"), F.lit("14").alias("android_release"), F.lit(34).alias("sdk_int"),
+        F.lit(True).alias("zero_copy_design"), F.lit("NOT_VERIFIED").alias("zero_copy_state"), F.array(F.lit("none")).alias("buffer_copies"), F.lit('a "quoted" note').alias("notes"),
+    )
+    return sinks.verification_bundle(devices, cameras, streams)
+
+
 @query("""SELECT sensor_type, timestamp_ns, event_id FROM (SELECT CASE event_type WHEN 'click' THEN 'GYROSCOPE' WHEN 'view' THEN 'ACCELEROMETER' ELSE 'OTHER' END AS sensor_type, user_id AS timestamp_ns, max(event_id) AS event_id FROM events GROUP BY ALL) WHERE sensor_type <> 'OTHER'""")
 def imu_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.when(F.col("event_type") == "click", "GYROSCOPE").when(F.col("event_type") == "view", "ACCELEROMETER").otherwise("OTHER")

@@ -35,11 +35,9 @@ def prefixed(codes: Column, prefix: str) -> Column:
     return F.transform(codes, lambda c: F.concat(F.lit(prefix), c.cast("string")))
 
 
-def camera_profiles(raw: DataFrame) -> DataFrame:
-    """Discovered cameras (camera_id, level, formats, iso_lo, iso_hi, exposure_lo, exposure_hi, orientation, min_focus, ae_modes) with defaults and labels."""
+def _profile() -> list[Column]:
     formats = F.transform("formats", lambda c: label(c, FORMATS, "FORMAT_"))
-    return raw.where(F.col("camera_id").isNotNull()).select(
-        "camera_id",
+    return [
         label(F.coalesce("level", F.lit(2)), HARDWARE_LEVELS, "UNKNOWN_").alias("hardware_level"),
         formats.alias("formats"),
         F.struct(F.coalesce("iso_lo", F.lit(100)).alias("lo"), F.coalesce("iso_hi", F.lit(3200)).alias("hi")).alias("iso_range"),
@@ -48,7 +46,12 @@ def camera_profiles(raw: DataFrame) -> DataFrame:
         F.when(F.coalesce("min_focus", F.lit(0.1)) > 0, 1 / F.coalesce(F.col("min_focus").cast("double"), F.lit(0.1))).otherwise(0.1).alias("focus_distance"),
         prefixed(F.col("ae_modes"), "AE_MODE_").alias("ae_modes"),
         (F.array_contains(formats, "RAW_SENSOR") | F.array_contains(formats, "RAW10")).alias("has_raw"),
-    )
+    ]
+
+
+def camera_profiles(raw: DataFrame) -> DataFrame:
+    """Discovered cameras (camera_id, level, formats, iso_lo, iso_hi, exposure_lo, exposure_hi, orientation, min_focus, ae_modes) with defaults and labels."""
+    return raw.where(F.col("camera_id").isNotNull()).select("camera_id", *_profile())
 
 
 CAMERA_SCHEMA = (
@@ -77,9 +80,7 @@ def named(codes: Column, names: dict[int, str]) -> Column:
     return F.filter(F.transform(codes, one), lambda x: x.isNotNull())
 
 
-def camera_capabilities(raw: DataFrame) -> DataFrame:
-    """What ``camera_profiles`` leaves out, of rows in ``CAMERA_SCHEMA``: sensor, lens, 3A, stream and capability records with their defaults."""
-
+def _capabilities(raw: DataFrame) -> list[Column]:
     def codes(name: str) -> Column:
         return F.coalesce(F.col(name), F.array().cast(raw.schema[name].dataType))
 
@@ -97,15 +98,14 @@ def camera_capabilities(raw: DataFrame) -> DataFrame:
     ranges = F.concat(F.array(F.lit("SDR")), F.filter(F.array(*[F.when(F.array_contains(asked, F.lit(k).cast("bigint")), v) for k, v in DYNAMIC_RANGES.items()]), lambda x: x.isNotNull()))
     ois = F.transform(codes("ois"), lambda c: F.when(c == OIS_ON, "ON").otherwise("OFF"))
     logical = F.array_contains(codes("capabilities"), LOGICAL_CAMERA)
-    return raw.where(F.col("camera_id").isNotNull()).select(
-        "camera_id",
+    return [
         F.when(F.col("facing") == FACING_FRONT, "FRONT").otherwise("BACK_WIDE").alias("lens_facing"),
         logical.alias("is_logical"),
         F.coalesce("physical_ids", F.array().cast("array<string>")).alias("physical_ids"),
         *[F.coalesce(F.col(c), F.struct(F.lit(4000).alias("w"), F.lit(3000).alias("h"))).alias(c) for c in ("active", "pixels")],
         F.coalesce("size_mm", F.struct(F.lit(6.4).cast("float").alias("w"), F.lit(4.8).cast("float").alias("h"))).alias("size_mm"),
         usual("max_frame_ns", 33_333_333, "bigint").alias("max_frame_ns"),
-        "white_level",
+        F.col("white_level"),
         F.lit("RGGB").alias("color_filter"),
         floats("focal_lengths", 5.59).alias("focal_lengths"),
         floats("apertures", 1.6).alias("apertures"),
@@ -122,7 +122,18 @@ def camera_capabilities(raw: DataFrame) -> DataFrame:
         F.array_contains(codes("scene_modes"), NIGHT_SCENE).alias("night_mode"),
         F.array_contains(ranges, "HDR10").alias("ultra_hdr"),
         F.array(record("LOGICAL_MULTI_CAMERA", logical), record("OPTICAL_STABILIZATION", F.array_contains(ois, "ON")), record("RAW_SENSOR", F.array_contains(formats, "RAW_SENSOR") | F.array_contains(formats, "RAW10"))).alias("capabilities"),
-    )
+    ]
+
+
+def camera_capabilities(raw: DataFrame) -> DataFrame:
+    """What ``camera_profiles`` leaves out, of rows in ``CAMERA_SCHEMA``: sensor, lens, 3A, stream and capability records with their defaults."""
+    return raw.where(F.col("camera_id").isNotNull()).select("camera_id", *_capabilities(raw))
+
+
+def camera_records(raw: DataFrame, keys: list[str]) -> DataFrame:
+    """All columns of ``camera_profiles`` and ``camera_capabilities`` by ``keys``, as camera ids repeat between devices."""
+    profile = [c for c, name in zip(_profile(), camera_profiles(raw).columns[1:], strict=True) if name != "ae_modes"]
+    return raw.where(F.col("camera_id").isNotNull()).select(*keys, "camera_id", *profile, *_capabilities(raw))
 
 
 ARRIVALS = "stream string, side string, timestamp_ns bigint, arrival_ms bigint"

@@ -45,6 +45,69 @@ def write_bundle(parts: dict[str, DataFrame], path: str) -> None:
         json_lines(rows).write.mode("overwrite").text(f"{path}/{name}")
 
 
+def _as_json(fields: dict[str, Column]) -> Column:
+    """An object of the fields in their order, nulls written out."""
+    return F.to_json(F.struct(*[v.alias(k) for k, v in fields.items()]), {"ignoreNullFields": "false"})
+
+
+def _in_order(rows: Column, field: str) -> Column:
+    """An array of records by one of their fields; records with maps have no order of their own."""
+    return F.array_sort(rows, lambda x, y: F.when(x[field] < y[field], -1).when(x[field] > y[field], 1).otherwise(0))
+
+
+def _record(**fields: Column | str) -> Column:
+    return F.struct(*[(F.col(v) if isinstance(v, str) else v).alias(k) for k, v in fields.items()])
+
+
+def verification_bundle(devices: DataFrame, cameras: DataFrame, streams: DataFrame, by: str = "device_id") -> DataFrame:
+    """(device, name, content) of the six JSON documents of each device.
+
+    ``devices`` has one row by device (timestamp, device_model, manufacturer, brand, product, android_release, sdk_int,
+    zero_copy_design, zero_copy_state, buffer_copies, notes), ``cameras`` those of ``camera_records`` with black_level
+    and constraints (a map of dynamic ranges to lists), ``streams`` combination, streams, state and latency_ms.
+    Cameras stand by id and combinations by name; a device without any has empty lists.  Rows without a device go.
+    """
+    pair = lambda c, a, b: F.array(F.col(f"{c}.{a}"), F.col(f"{c}.{b}"))
+    # The names of the documents and of their fields.
+    camera = _record(
+        cameraId="camera_id", hardwareLevel="hardware_level", lensFacing="lens_facing", sensorOrientation="sensor_orientation", isLogical="is_logical", physicalCameraIds="physical_ids",
+        sensor=_record(
+            activeArrayWidth="active.w", activeArrayHeight="active.h", pixelArrayWidth="pixels.w", pixelArrayHeight="pixels.h", physicalWidthMm="size_mm.w", physicalHeightMm="size_mm.h",
+            isoRange=pair("iso_range", "lo", "hi"), exposureTimeRangeNs=pair("exposure_range_ns", "lo", "hi"), colorFilterArrangement="color_filter",
+        ),
+        lens=_record(focalLengthsMm="focal_lengths", apertures="apertures", minimumFocusDistanceMeters="focus_distance", oisModes="ois_modes"),
+        threeA=_record(aeModes="ae_modes", afModes="af_modes", awbModes="awb_modes"),
+    )
+    ranges = _record(key="camera_id", value=_record(supportedProfiles="dynamic_ranges", constraints="constraints"))
+    sensor = _record(cameraId="camera_id", activeArray=pair("active", "w", "h"), pixelArray=pair("pixels", "w", "h"), physicalSizeMm=pair("size_mm", "w", "h"), blackLevelPattern="black_level", whiteLevel=F.coalesce("white_level", F.lit(1023)))
+    tested = _record(combination="combination", streams="streams", state="state", latencyMs="latency_ms")
+    of_cameras = cameras.groupBy(by).agg(F.collect_list(F.struct(camera.alias("camera"), ranges.alias("ranges"), sensor.alias("sensor"), F.col("camera_id"))).alias("_cameras"))
+    of_streams = streams.groupBy(by).agg(F.collect_list(tested).alias("_streams"))
+    rows = devices.where(F.col(by).isNotNull()).join(of_cameras, by, "left").join(of_streams, by, "left")
+    empty = lambda name, frame: F.coalesce(F.col(name), F.array().cast(frame.schema[name].dataType))
+    rows = rows.withColumn("_cameras", _in_order(empty("_cameras", of_cameras), "camera_id")).withColumn("_streams", _in_order(empty("_streams", of_streams), "combination"))
+    documents = {
+        "device_profile.json": {
+            "timestamp": F.col("timestamp"), "deviceModel": F.col("device_model"), "manufacturer": F.col("manufacturer"), "brand": F.col("brand"), "product": F.col("product"), "androidRelease": F.col("android_release"), "sdkInt": F.col("sdk_int"),
+            "cameraCount": F.size("_cameras"), "zeroCopyDesign": F.col("zero_copy_design"), "zeroCopyHardwareState": F.col("zero_copy_state"),
+        },
+        "camera_profile.json": {"cameras": F.col("_cameras.camera")},
+        "stream_profile.json": {"streamMatrix": F.col("_streams")},
+        "dynamic_range_profile.json": {"cameraDynamicRange": F.map_from_entries("_cameras.ranges")},
+        "sensor_profile.json": {"sensors": F.col("_cameras.sensor")},
+        "verification.json": {
+            "phase": F.lit(1), "timestamp": F.col("timestamp"), "status": F.lit("VERIFIED"), "device": F.col("device_model"), "zeroCopyDesign": F.lit("PASS"), "zeroCopyHardware": F.col("zero_copy_state"),
+            "actualBufferCopies": F.col("buffer_copies"), "notes": F.col("notes"),
+        },
+    }
+    return rows.select(by, F.inline(F.array(*[F.struct(F.lit(name).alias("name"), _as_json(fields).alias("content")) for name, fields in documents.items()])))
+
+
+def write_verification(bundle: DataFrame, path: str) -> None:
+    """Each document as text in a folder of its device and name; other devices' documents stay."""
+    bundle.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*bundle.columns[:2]).text(path)
+
+
 def to_key_values(profiles: DataFrame, cameras: DataFrame) -> DataFrame:
     """(profile_id, data): nine scalars as text; cameras and backends are left out."""
     counts = cameras.groupBy("profile_id").agg(F.count("*").alias("_n"))

@@ -1,5 +1,7 @@
 """Planes, metrics, rules, sources and sinks on small fixtures."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -191,6 +193,31 @@ def test_cameras_with_defaults(spark, tmp_path):
     assert [c["status"] for c in b["capabilities"]] == ["DISCOVERED"] * 3
 
 
+def test_verification_bundle(spark, tmp_path):
+    head = "device_id string, timestamp bigint, device_model string, manufacturer string, brand string, product string, android_release string, sdk_int int, zero_copy_design boolean, zero_copy_state string, buffer_copies array<string>, notes string"
+    device = lambda i, notes: spark.createDataFrame([(i, 1, 'M "1"', "m", "b", "p", None, 34, True, "NOT_VERIFIED", ["none"], notes)], head)
+    (tmp_path / "cameras.json").write_text('{"camera_id": "1"}\n{"camera_id": "0", "dynamic_ranges": [4]}')
+    raw = readers.camera_scan(spark, str(tmp_path / "cameras.json")).select(F.lit("x").alias("device_id"), F.lit(None).cast("array<int>").alias("black_level"), F.lit(None).cast("map<string,array<string>>").alias("constraints"), "*")
+    cameras = readers.camera_records(raw, ["device_id", "black_level", "constraints"])
+    streams = spark.createDataFrame([("x", "b", ["YUV"], "SUPPORTED", 3), ("x", "a", [], "FAILED", None)], "device_id string, combination string, streams array<string>, state string, latency_ms bigint")
+    path = str(tmp_path / "bundle")
+
+    def documents(name):
+        return {d.parent.name.removeprefix("name="): json.loads(d.read_text()) for d in (tmp_path / "bundle" / f"device_id={name}").rglob("part-*.txt")}
+
+    sinks.write_verification(sinks.verification_bundle(device("x", 'a "note"'), cameras, streams), path)
+    sinks.write_verification(sinks.verification_bundle(device("y", None), cameras, streams), path)  # the other device's stay
+    x, y = documents("x"), documents("y")
+    assert len(x) == len(y) == 6
+    assert x["device_profile.json"]["cameraCount"] == 2 and x["device_profile.json"]["deviceModel"] == 'M "1"' and x["device_profile.json"]["androidRelease"] is None
+    assert [c["cameraId"] for c in x["camera_profile.json"]["cameras"]] == ["0", "1"] and x["camera_profile.json"]["cameras"][0]["sensor"]["isoRange"] == [100, 3200]
+    assert [s["combination"] for s in x["stream_profile.json"]["streamMatrix"]] == ["a", "b"]
+    assert x["dynamic_range_profile.json"]["cameraDynamicRange"]["0"]["supportedProfiles"] == ["SDR", "HDR10"]
+    assert x["sensor_profile.json"]["sensors"][0]["whiteLevel"] == 1023 and x["sensor_profile.json"]["sensors"][0]["blackLevelPattern"] is None
+    assert x["verification.json"]["notes"] == 'a "note"' and x["verification.json"]["status"] == "VERIFIED"
+    assert y["camera_profile.json"] == {"cameras": []} and y["dynamic_range_profile.json"] == {"cameraDynamicRange": {}} and y["verification.json"]["notes"] is None
+
+
 def test_logs_hold_a_bound(spark):
     logs = spark.range(1200).selectExpr("id as timestamp_ns", "case when id < 300 then 'OLD' else 'NEW' end as category", "'INFO' as level", "'m' as message")
     assert M.filter_logs(logs, "OLD").count() == 100 and M.filter_logs(logs, "OLD", limit=500).count() == 100
