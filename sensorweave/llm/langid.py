@@ -30,14 +30,17 @@ from pyspark.sql import functions as F
 
 from sensorweave.llm._flat import byte_buffer, chunks, mix, token_hashes, token_spans
 from sensorweave.llm._labels import fold, held_out
-from sensorweave.llm._shared import small_batches
+from sensorweave.llm._shared import Tables, small_batches
 
 #: Labelled rows that the model is fitted on, at most.
 MAX_FIT_ROWS = 2_400
 BUCKETS = 1 << 16
 CHAIN = 64
-#: Chains whose forward-backward is held at once while fitting.
+#: Chains whose forward-backward is held at once while fitting, and tasks of a round of fitting.
 BLOCK = 2_000
+FIT_TASKS = 8
+#: Training chains of about so many bytes of text share one list of distinct words.
+BLOCK_BYTES = 2_000_000
 UNKNOWN = "und"
 
 _LETTER = re.compile(r"[^\W\d_]")
@@ -188,65 +191,109 @@ def _sample(documents: DataFrame, key: str, text: str, lang: str, max_rows: int)
     chosen = known.select(F.col(key)).where(within if sizes else F.lit(False))
     chosen = known.where(within).select(key) if sizes else chosen
     chosen = chosen.distinct().orderBy(F.xxhash64(key), key).limit(max_rows)
-    return known.select(key, F.coalesce(text, F.lit("")).alias("text"), F.col(lang).alias("lang")).join(F.broadcast(chosen), key).repartition(8, F.xxhash64(key)).persist(StorageLevel.MEMORY_AND_DISK)
+    return known.select(key, F.coalesce(text, F.lit("")).alias("text"), F.col(lang).alias("lang")).join(F.broadcast(chosen), key).repartition(FIT_TASKS, F.xxhash64(key)).persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def _blocks(sample: DataFrame, key: str, labels: list[str]) -> DataFrame:
+    """The training chains of the sample, a row for each chunk of texts: word and label by (step, chain), and the words' features.
+
+    Two of five chains go over, at a random step, into another chain of the chunk.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, langs = batch.column("text").to_pylist(), batch.column("lang").to_pylist()
+            for a, b in chunks(texts, BLOCK_BYTES):
+                words = words_of(texts[a:b])
+                if not len(words.at):
+                    continue
+                grid, text_of, _ = _chains(words.at, words.counts)
+                truth = np.array([labels.index(x) for x in langs[a:b]], np.int32)[text_of]
+                rng, n = np.random.default_rng(0), grid.shape[1]
+                other, cut = rng.permutation(n), np.where(rng.random(n) < 0.4, rng.integers(1, CHAIN, n), CHAIN)
+                late = np.arange(CHAIN)[:, None] >= cut
+                grid, truth = np.where(late, grid[:, other], grid), np.where(late, truth[other], truth)
+                grid = np.where(np.logical_and.accumulate(grid >= 0, axis=0), grid, -1)
+                kinds = np.int32, np.int16, np.int32, np.uint16
+                yield pa.RecordBatch.from_arrays([pa.array([x.astype(kind).tobytes()], pa.binary()) for x, kind in zip((grid, truth, words.owner, words.bucket), kinds, strict=True)], names=["grid", "truth", "owner", "bucket"])
+
+    rows = sample.sortWithinPartitions(F.xxhash64(key), "text", "lang").select("text", "lang")
+    return rows.mapInArrow(run, "grid binary, truth binary, owner binary, bucket binary")
+
+
+def _slopes(blocks: DataFrame, model: LanguageModel) -> tuple[list[np.ndarray], int, int]:
+    """Sums over all chains of expected less true counts (by bucket and label, first label, label pair); chains and words.
+
+    A task sums its blocks and gives the buckets that occur, so what comes to the driver is bounded by
+    ``FIT_TASKS`` tables of ``BUCKETS`` rows, whatever the length of the texts.
+    """
+    size = len(model.labels)
+    sent = LanguageModel(model.labels, model.weights.astype(np.float32), model.start.copy(), model.move.copy())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights, start, move, n, total, hot = np.zeros((BUCKETS, size)), np.zeros(size), np.zeros((size, size)), 0, 0, np.eye(size)
+        kinds = np.int32, np.int16, np.int32, np.uint16
+        for batch in batches:
+            for row in zip(*(batch.column(c) for c in ("grid", "truth", "owner", "bucket")), strict=True):
+                grid, truth, owner, bucket = (np.frombuffer(x.as_buffer(), kind) for x, kind in zip(row, kinds, strict=True))
+                grid, truth = grid.reshape(CHAIN, -1), truth.reshape(CHAIN, -1)
+                words = Words(grid, grid, owner, bucket, int(owner.max()) + 1)
+                evidence, by_word = sent.evidence(words), np.zeros((words.n, size))
+                for at in range(0, grid.shape[1], BLOCK):
+                    own, y = grid[:, at : at + BLOCK], truth[:, at : at + BLOCK]
+                    inside, own = own >= 0, np.maximum(own, 0)
+                    gamma, pairs, _ = _marginals(evidence[own], inside, sent.start, sent.move)
+                    wrong = ((gamma - hot[y]) * inside[:, :, None]).reshape(-1, size)
+                    by_word += np.column_stack([np.bincount(own.ravel(), wrong[:, k], words.n) for k in range(size)])
+                    start += gamma[0].sum(0) - np.bincount(y[0], minlength=size)
+                    move += pairs - np.bincount((y[:-1] * size + y[1:])[inside[1:]], minlength=size * size).reshape(size, size)
+                    n, total = n + own.shape[1], total + int(inside.sum())
+                weights += np.column_stack([np.bincount(bucket, by_word[owner, k], BUCKETS) for k in range(size)])
+        at = np.flatnonzero(weights.any(1))
+        sums = [pa.array([x.tobytes()], pa.binary()) for x in (at, weights[at].astype(np.float32), start, move)]
+        yield pa.RecordBatch.from_arrays([*sums, pa.array([n]), pa.array([total])], names=["at", "weights", "start", "move", "n", "total"])
+
+    sums, n, total = [np.zeros_like(v) for v in (model.weights, model.start, model.move)], 0, 0
+    found = blocks.mapInArrow(run, "at binary, weights binary, start binary, move binary, n long, total long").toArrow()
+    for *parts, some, words in zip(*found.columns, strict=True):
+        at, weights, start, move = (np.frombuffer(x.as_buffer(), kind) for x, kind in zip(parts, (np.int64, np.float32, float, float), strict=True))
+        sums[0][at] += weights.reshape(-1, size)
+        sums[1] += start
+        sums[2] += move.reshape(size, size)
+        n, total = n + some.as_py(), total + words.as_py()
+    return sums, n, total
 
 
 def fit_language(documents: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", max_rows: int = MAX_FIT_ROWS, rounds: int = 30) -> LanguageModel:
     """Fits weights and transitions by the chains' conditional likelihood (Adam) on a bounded sample of rows.
 
-    All chains of the sampled texts are learned from, ``BLOCK`` at a time, so that the driver's memory
-    does not follow their number.
+    All chains of the sampled texts are learned from.  They are made once and stored in the shared
+    folder; each round sums their slopes in tasks, so no text and no chain comes to the driver.
     """
-    small_batches(documents.sparkSession)
+    tables = Tables(documents.sparkSession, "language-fit")
     sample = _sample(documents, key, text, lang, max_rows)
     try:
-        rows = sorted(sample.select(F.xxhash64(key).alias("place"), "text", "lang").toLocalIterator(), key=lambda r: (r["place"], r["text"]))
+        labels = sorted(r["lang"] for r in sample.select("lang").distinct().collect())
+        blocks = tables.add(_blocks(sample, key, labels))
+        kept = blocks.coalesce(FIT_TASKS).persist(StorageLevel.MEMORY_AND_DISK)
     finally:
         sample.unpersist()
-    labels = sorted({r["lang"] for r in rows})
     size = len(labels)
     model = LanguageModel(labels, np.zeros((BUCKETS, size)), np.zeros(size), np.full((size, size), -2.0) + 2 * np.eye(size))
-    words = words_of([r["text"] for r in rows])
-    if size < 1 or not len(words.at):
-        return LanguageModel([], model.weights, model.start, model.move)
-    grid, text_of, _ = _chains(words.at, words.counts)
-    truth = np.array([labels.index(r["lang"]) for r in rows])[text_of]
-    rng = np.random.default_rng(0)
-    n = grid.shape[1]
-    other, cut = rng.permutation(n), np.where(rng.random(n) < 0.4, rng.integers(1, CHAIN, n), CHAIN)
-    late = np.arange(CHAIN)[:, None] >= cut
-    y = np.where(late, truth[other], truth)
-    grid = np.where(late, grid[:, other], grid)
-    inside = np.logical_and.accumulate(grid >= 0, axis=0)
-    total = inside.sum()
-    used = np.bincount(grid[inside], minlength=words.n) > 0
-    few = used[words.owner]
-    words = Words(words.at, words.counts, words.owner[few], words.bucket[few], words.n)
-    hot = np.eye(size)
-    first_truth = np.bincount(y[0], minlength=size)
-    pair_truth = np.zeros((size, size))
-    np.add.at(pair_truth, (y[:-1][inside[1:]], y[1:][inside[1:]]), 1)
-    state = [np.zeros_like(v) for v in (model.weights, model.start, model.move)], [np.zeros_like(v) for v in (model.weights, model.start, model.move)]
-    places = np.maximum(grid, 0)
+    values = model.weights, model.start, model.move
+    mean, square = ([np.zeros_like(v) for v in values] for _ in range(2))
     for step in range(1, rounds + 1):
-        evidence = model.evidence(words)
-        by_word, pairs, first = np.zeros((words.n, size)), np.zeros((size, size)), np.zeros(size)
-        for at in range(0, n, BLOCK):
-            own, there = places[:, at : at + BLOCK], inside[:, at : at + BLOCK]
-            gamma, some, _ = _marginals(evidence[own], there, model.start, model.move)
-            wrong = ((gamma - hot[y[:, at : at + BLOCK]]) * there[:, :, None]).reshape(-1, size)
-            by_word += np.column_stack([np.bincount(own.ravel(), wrong[:, k], words.n) for k in range(size)])
-            pairs += some
-            first += gamma[0].sum(0)
-        grads = [
-            np.column_stack([np.bincount(words.bucket, by_word[words.owner, k], BUCKETS) for k in range(size)]) / total + 1e-7 * model.weights,
-            (first - first_truth) / n,
-            (pairs - pair_truth) / total,
-        ]
-        for i, (value, grad) in enumerate(zip((model.weights, model.start, model.move), grads, strict=True)):
-            state[0][i] = 0.9 * state[0][i] + 0.1 * grad
-            state[1][i] = 0.99 * state[1][i] + 0.01 * grad**2
-            value -= 0.1 * (state[0][i] / (1 - 0.9**step)) / (np.sqrt(state[1][i] / (1 - 0.99**step)) + 1e-9)
+        sums, n, total = _slopes(kept, model) if labels else (None, 0, 0)
+        if not total:
+            model.labels = []
+            break
+        slopes = sums[0] / total + 1e-7 * model.weights, sums[1] / n, sums[2] / total
+        for i, (value, slope) in enumerate(zip(values, slopes, strict=True)):
+            mean[i] = 0.9 * mean[i] + 0.1 * slope
+            square[i] = 0.99 * square[i] + 0.01 * slope**2
+            value -= 0.1 * (mean[i] / (1 - 0.9**step)) / (np.sqrt(square[i] / (1 - 0.99**step)) + 1e-9)
+    kept.unpersist()
+    tables.keep_only()
     model.weights = model.weights.astype(np.float32)
     return model
 
