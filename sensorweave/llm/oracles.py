@@ -36,3 +36,62 @@ OP9 = """
            CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
            CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to
     FROM f"""
+
+SPACES = r"\x20\x09-\x0D"
+#: Costs are lists over the states nothing, after system, after user, after assistant; f is the fault.
+OP12 = f"""
+    WITH RECURSIVE given AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+    checked AS (SELECT *, xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(range(1, strlen(k) + 1), lambda i: [CAST(ascii(substr(k, CAST(i AS INTEGER), 1)) AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))),
+        lambda c, b: xor(xor(c, b) >> 1, 3988292384 * (xor(c, b) & 1)))) % 20 AS d FROM given),
+    damaged AS (SELECT conv_id, turn, CASE WHEN d = 4 THEN 'user' ELSE role END AS role, CASE WHEN d = 1 THEN '' WHEN d = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+        unnest(range(CASE WHEN d = 3 THEN 2 ELSE 1 END)) AS copy FROM checked WHERE d <> 0),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS i FROM damaged),
+    seen AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS nth, left(role, 1) AS r0, regexp_extract(text, '([^{SPACES}])[{SPACES}]*$', 1) AS z, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS p0 FROM placed),
+    turns AS (SELECT *, CASE WHEN z = '' THEN 'b' WHEN nth > 1 THEN 'd' WHEN z NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS f FROM seen),
+    ends AS (SELECT every AS conv_id, count(i) AS n FROM (SELECT DISTINCT conv_id AS every FROM conversations) LEFT JOIN turns ON turns.conv_id IS NOT DISTINCT FROM every GROUP BY every),
+    costs AS (
+        SELECT conv_id, n + 1 AS i, [0, 6, 3, 0] AS c, CAST(NULL AS INTEGER[]) AS r FROM ends
+        UNION ALL
+        SELECT conv_id, i, CASE WHEN f IN ('b', 'd') THEN a ELSE [least(a[1], least(a[3], a[4] + 3) + 3), least(a[2], least(a[3], a[4] + 3) + 3), least(a[3], a[4] + 3), least(a[4], a[3] + 3)] END, r
+        FROM (SELECT t.conv_id, t.i, f, c AS r, CASE WHEN f IN ('b', 'd') THEN list_transform(c, lambda x: x + 4) ELSE [
+                least(c[1] + 4, c[3] + 3 + g, CASE r0 WHEN 's' THEN c[2] + g WHEN 'u' THEN c[3] + g END), least(c[2] + 4, c[3] + 3 + g, CASE r0 WHEN 'u' THEN c[3] + g END),
+                least(c[3] + 4, c[4] + 3 + g, CASE r0 WHEN 'a' THEN c[4] + g END), least(c[4] + 4, c[3] + 3 + g, CASE r0 WHEN 'u' THEN c[3] + g END)] END AS a
+            FROM costs JOIN (SELECT *, CASE WHEN f = 't' THEN 3 ELSE 0 END AS g FROM turns) t ON t.conv_id IS NOT DISTINCT FROM costs.conv_id AND t.i = costs.i - 1)),
+    steps AS (SELECT costs.conv_id, costs.i, c, r, coalesce(role, '') AS role, coalesce(r0, '') AS r0, coalesce(text, '') AS text, coalesce(f, '') AS f FROM costs LEFT JOIN turns ON turns.conv_id IS NOT DISTINCT FROM costs.conv_id AND turns.i = costs.i),
+    walk AS (
+        SELECT conv_id, 1 AS i, 1 AS s, '' AS audit, CAST([] AS VARCHAR[]) AS said FROM ends
+        UNION ALL
+        SELECT conv_id, CASE WHEN e = 'I' THEN i ELSE i + 1 END, CASE e WHEN 'D' THEN s WHEN 'K' THEN CASE r0 WHEN 's' THEN 2 WHEN 'u' THEN 3 ELSE 4 END ELSE m END, audit || e,
+            CASE e WHEN 'D' THEN said WHEN 'K' THEN list_append(said, role || ':' || text) ELSE list_append(said, CASE m WHEN 3 THEN 'user:' ELSE 'assistant:' END || CASE e WHEN 'R' THEN text ELSE '' END) END
+        FROM (SELECT *, CASE WHEN r IS NULL THEN 'I' WHEN c[s] = r[s] + 4 THEN 'D' WHEN c[s] = c[m] + 3 THEN 'I'
+                WHEN c[s] = CASE WHEN f = 't' THEN 3 ELSE 0 END + CASE WHEN r0 = 's' AND s = 1 THEN r[2] WHEN r0 = 'u' AND s <> 3 THEN r[3] WHEN r0 = 'a' AND s = 3 THEN r[4] END THEN 'K' ELSE 'R' END AS e
+            FROM (SELECT w.conv_id, w.i, s, audit, said, CASE WHEN s = 3 THEN 4 ELSE 3 END AS m, c, r, role, r0, text, f FROM walk w JOIN steps ON steps.conv_id IS NOT DISTINCT FROM w.conv_id AND steps.i = w.i WHERE r IS NOT NULL OR s IN (2, 3)))),
+    walked AS (SELECT w.conv_id, audit, sha256(array_to_string(said, chr(10))) AS repaired_sha256 FROM walk w JOIN ends ON ends.conv_id IS NOT DISTINCT FROM w.conv_id WHERE i = n + 1 AND s IN (1, 4)
+        QUALIFY row_number() OVER (PARTITION BY w.conv_id ORDER BY length(audit) DESC) = 1),
+    counted AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (f = 'b') AS blank, count(*) FILTER (f = 'd') AS duplicate, count(*) FILTER (f = 't') AS truncated,
+        count(*) FILTER (p0 IS NOT NULL AND p0 || r0 NOT IN ('su', 'ua', 'au')) AS illegal FROM turns GROUP BY conv_id)
+    SELECT e.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(c[1] AS BIGINT) AS cost, audit, repaired_sha256
+    FROM ends e LEFT JOIN counted ON counted.conv_id IS NOT DISTINCT FROM e.conv_id JOIN costs ON costs.conv_id IS NOT DISTINCT FROM e.conv_id AND costs.i = 1 JOIN walked ON walked.conv_id IS NOT DISTINCT FROM e.conv_id"""
+
+
+def _rounds(n: int) -> str:
+    """The assignments and codebooks of op13, one after another; each round's distances are whole numbers in doubles."""
+    found = ""
+    for k in range(n + 1):
+        found += f""",
+    near{k} AS (SELECT row_id, p, min(d * 256 + e) AS best FROM (SELECT row_id, p, e, list_inner_product(x, x) - 2 * list_inner_product(x, c) + list_inner_product(c, c) AS d FROM parts JOIN book{k} USING (p)) GROUP BY row_id, p)"""
+        if k < n:
+            found += f""",
+    mean{k} AS (SELECT p, e, list(m ORDER BY j) AS m FROM (SELECT p, e, j, floor(sum(v) / count(*)) AS m FROM (SELECT p, CAST(best AS BIGINT) % 256 AS e, unnest(x) AS v, generate_subscripts(x, 1) AS j FROM near{k} JOIN parts USING (row_id, p)) GROUP BY p, e, j) GROUP BY p, e),
+    book{k + 1} AS (SELECT p, e, coalesce(m, c) AS c FROM book{k} LEFT JOIN mean{k} USING (p, e))"""
+    return found
+
+
+OP13 = f"""
+    WITH kept AS (SELECT row_number() OVER () AS row_id, vec_id, label, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v FROM embeddings
+        WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    parts AS (SELECT row_id, vec_id, CAST(p AS INTEGER) AS p, list_slice(v, p * (len(v) // 4) + 1, (p + 1) * (len(v) // 4)) AS x FROM kept, (SELECT unnest(range(4)) AS p)),
+    book0 AS (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, x AS c FROM parts WHERE vec_id IN (SELECT vec_id FROM kept ORDER BY vec_id LIMIT 256)){_rounds(4)},
+    coded AS (SELECT row_id, string_agg(printf('%02x', CAST(best AS BIGINT) % 256), '' ORDER BY p) AS code, CAST(sum(CAST(best AS BIGINT) // 256) AS BIGINT) AS error FROM near4 GROUP BY row_id),
+    told AS (SELECT sha256(string_agg(CAST(CAST(v AS BIGINT) AS VARCHAR), ',' ORDER BY p, e, j)) AS codebooks_sha256 FROM (SELECT p, e, unnest(c) AS v, generate_subscripts(c, 1) AS j FROM book4))
+    SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM kept JOIN coded USING (row_id), told"""

@@ -7,9 +7,10 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sensorweave.llm import decontaminate, digests, langid, licenses, near_dups, oracles, quality, sentencepiece_codec, toxicity, url_rules, warc
+from sensorweave.llm import conversation_repair, decontaminate, digests, langid, licenses, near_dups, oracles, quality, sentencepiece_codec, token_counts, toxicity, url_rules, vector_codes, warc
 
 PIECE_MODEL = "piece_bpe_32k.model"
+BYTE_VOCABULARY = "byte_bpe_50k.json"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +61,18 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(documents, langid.fit_language(documents))
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), token_counts.ByteVocabulary.load(public_tokenizers.path(BYTE_VOCABULARY)))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.damaged_and_repaired(table(spark, sf_dir, "conversations"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.product_codes(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_licenses": op2_licenses,
@@ -71,9 +84,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_fingerprints": op8_fingerprints,
     "op9_warc": op9_warc,
     "op10_language": op10_language,
+    "op11_token_counts": op11_token_counts,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_vector_codes": op13_vector_codes,
 }
 ORACLES: dict[str, str] = {
     "op4_near_dups": oracles.OP4,
     "op7_decontaminate": oracles.OP7,
     "op9_warc": oracles.OP9,
+    "op12_conversation_repair": oracles.OP12,
+    "op13_vector_codes": oracles.OP13,
 }
