@@ -190,7 +190,8 @@ def with_next(documents: DataFrame, key: str = "doc_id", text: str = "text") ->
 
     The first row of the next bucket stands at the end of a bucket with ``extra`` = 1 (in the last
     bucket that of the first), so that every row's successor stands behind it.  Bounds are quantiles
-    of the keys; only one key per bucket comes to the driver.  Rows with a null key come first.
+    of the keys; only one key per bucket comes to the driver.  Rows with a null key come first.  Keys are
+    whole numbers, of up to 64 bits; a key of another type is cast to one.
     """
     spark = documents.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -198,24 +199,25 @@ def with_next(documents: DataFrame, key: str = "doc_id", text: str = "text") ->
     rows = documents.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     bounds = np.unique(np.array(rows.select("id").stat.approxQuantile("id", [i / n for i in range(1, n)], 1 / (4 * n)), np.float64))
 
-    def place(ids: pd.Series) -> np.ndarray:
-        at = np.searchsorted(bounds, ids.fillna(-np.inf).to_numpy(np.float64), side="right")
-        return np.where(ids.isna().to_numpy(), 0, at)
+    # nulls come as a column of their own: among them pandas would turn ids into doubles and round them
+    def place(ids: pd.Series, nulls: pd.Series) -> np.ndarray:
+        return np.where(nulls, 0, np.searchsorted(bounds, ids.to_numpy(np.float64), side="right"))
 
     @F.pandas_udf("int")
-    def bucket(ids: pd.Series) -> pd.Series:
-        return pd.Series(place(ids).astype(np.int32))
+    def bucket(ids: pd.Series, nulls: pd.Series) -> pd.Series:
+        return pd.Series(place(ids, nulls).astype(np.int32))
 
+    given = F.coalesce("id", F.lit(0)), F.col("id").isNull()
     # -1 stands for the null key, which is the least
-    heads = sorted((r["bucket"], r["nulls"], r["first"]) for r in rows.groupBy(bucket("id").alias("bucket")).agg(F.min("id").alias("first"), F.max(F.col("id").isNull().cast("int")).alias("nulls")).collect())
+    heads = sorted((r["bucket"], r["nulls"], r["first"]) for r in rows.groupBy(bucket(*given).alias("bucket")).agg(F.min("id").alias("first"), F.max(F.col("id").isNull().cast("int")).alias("nulls")).collect())
     head_of = {(None if nulls else first): heads[i - 1][0] for i, (_, nulls, first) in enumerate(heads)}
 
     @F.pandas_udf("array<int>")
-    def buckets(ids: pd.Series) -> pd.Series:
-        at = place(ids)
-        return pd.Series([[int(b)] if (h := head_of.get(None if pd.isna(i) else int(i))) is None else [int(b), -1 - h] for i, b in zip(ids, at, strict=True)])
+    def buckets(ids: pd.Series, nulls: pd.Series) -> pd.Series:
+        at = place(ids, nulls)
+        return pd.Series([[int(b)] if (h := head_of.get(None if null else int(i))) is None else [int(b), -1 - h] for i, null, b in zip(ids, nulls, at, strict=True)])
 
-    dealt = rows.select(F.explode(buckets("id")).alias("b"), "id", "text")
+    dealt = rows.select(F.explode(buckets(*given)).alias("b"), "id", "text")
     dealt = dealt.select(F.when(F.col("b") < 0, -1 - F.col("b")).otherwise(F.col("b")).alias("bucket"), (F.col("b") < 0).cast("int").alias("extra"), "id", "text")
     return dealt.repartition(parts, "bucket").sortWithinPartitions("bucket", "extra", F.col("id").asc_nulls_first(), "text")
 

@@ -147,3 +147,13 @@ def test_salvage():
 
         assert damaged(parts, junk)[0] == ["0", "1", "2", "3", "4", "5"]
         assert damaged([b"no archive"], lambda d, p: None) == ([], 10)
+
+
+def test_large_ids_among_nulls_lose_no_row(spark):
+    import random
+
+    rnd = random.Random(4)
+    ids = [rnd.getrandbits(62) for _ in range(2000)] + [(1 << 60) + i for i in range(400)] + [-(1 << 62) + 1, None, None, None]
+    docs = spark.createDataFrame([(i, f"text {k % 7}") for k, i in enumerate(ids)], "doc_id bigint, text string").repartition(5)
+    found = [r["doc_id"] for r in D.compare_with_next(docs).select("doc_id").collect()]
+    assert sorted(found, key=repr) == sorted(ids, key=repr)
