@@ -22,8 +22,9 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, max_row
 
     The rows with the smallest hash of their key are taken, so the sample is the same on every run and
     does not follow the order of the data.  Rows whose key or label is null are not learned from; a
-    key with several labels takes the largest.  The sample has a bound, so it is broadcast to find
-    its texts; they are dealt to a fixed number of partitions and kept while fitting.
+    key with several labels takes the largest, and one with several texts the least, so a key is one row
+    however often it is repeated.  The sample has a bound, so it is broadcast to find its texts; they are
+    dealt to a fixed number of partitions and kept while fitting.
     """
     chosen = (
         labels.select(F.col(key), F.col(label).cast("int").alias(label))
@@ -34,4 +35,5 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, max_row
         .limit(max_rows)
     )
     found = documents.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias(text)).join(F.broadcast(chosen), key)
+    found = found.groupBy(key).agg(F.min(text).alias(text), F.first(label).alias(label))
     return found.repartition(partitions, F.xxhash64(key)).persist(StorageLevel.MEMORY_AND_DISK)

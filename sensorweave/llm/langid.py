@@ -179,7 +179,7 @@ class LanguageModel:
 
 
 def _sample(documents: DataFrame, key: str, text: str, lang: str, max_rows: int) -> DataFrame:
-    """At most ``max_rows`` labelled rows outside the held-out fold, the languages in equal shares as far as they go."""
+    """At most ``max_rows`` labelled rows outside the held-out fold, the languages in equal shares as far as they go; one row, of the least text, for a repeated key."""
     known = documents.where(F.col(key).isNotNull() & F.col(lang).isNotNull() & (fold(key, 4) != 2))
     sizes = {r[lang]: r["n"] for r in known.groupBy(lang).agg(F.count("*").alias("n")).collect()}
     share = max_rows / max(1, len(sizes))
@@ -191,7 +191,9 @@ def _sample(documents: DataFrame, key: str, text: str, lang: str, max_rows: int)
     chosen = known.select(F.col(key)).where(within if sizes else F.lit(False))
     chosen = known.where(within).select(key) if sizes else chosen
     chosen = chosen.distinct().orderBy(F.xxhash64(key), key).limit(max_rows)
-    return known.select(key, F.coalesce(text, F.lit("")).alias("text"), F.col(lang).alias("lang")).join(F.broadcast(chosen), key).repartition(FIT_TASKS, F.xxhash64(key)).persist(StorageLevel.MEMORY_AND_DISK)
+    found = known.select(key, F.coalesce(text, F.lit("")).alias("text"), F.col(lang).alias("lang")).join(F.broadcast(chosen), key)
+    found = found.groupBy(key).agg(F.min(F.struct("text", "lang")).alias("row")).select(key, "row.text", "row.lang")
+    return found.repartition(FIT_TASKS, F.xxhash64(key)).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def _blocks(sample: DataFrame, key: str, labels: list[str]) -> DataFrame:

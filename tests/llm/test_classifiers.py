@@ -171,3 +171,15 @@ def test_a_language_of_very_many_rows_is_sampled(spark):
         assert 1 <= sample.count() <= 5
     finally:
         sample.unpersist()
+
+
+def test_a_repeated_key_is_one_row_of_a_sample(spark):
+    from sensorweave.llm._labels import labelled_sample
+
+    many = spark.range(100_000).select(F.lit(1).cast("bigint").alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"), F.lit("en").alias("lang"))
+    docs = many.unionByName(spark.createDataFrame([(2, "a", "fr"), (3, None, "de")], "doc_id bigint, text string, lang string"))
+    marks = labels(spark, [(1, 1, 0), (2, 0, 0), (3, 1, 1), (1, 0, 0)])
+    rows = {r["doc_id"]: (r["text"], r["quality"]) for r in labelled_sample(docs, marks, "quality", 5, remainder=9).collect()}
+    assert rows == {1: ("text 0", 1), 2: ("a", 0), 3: ("", 1)}
+    found = langid._sample(docs, "doc_id", "text", "lang", 10).collect()
+    assert len(found) == len({r["doc_id"] for r in found})
