@@ -7,9 +7,11 @@ numbers of a frame are expressions over its array, inside one row.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sensorweave.operators import pieces
+
 TILE = 32
 
 
@@ -132,15 +134,24 @@ def luma_difference(previous: Column, current: Column, step: int = 16) -> Column
     return F.when(F.size(far) > 0, (F.aggregate(far, F.lit(0).cast("bigint"), lambda a, v: a + v).cast("float") / F.size(far).cast("float")).cast("float")).otherwise(_f(0))
 
 
-def motion_vectors(frames: DataFrame, by: list[str], seq: str, plane: str, gyro: Column | None = None) -> DataFrame:
-    """Adds delta (both axes), angular velocity and is_tripod against the frame before it of the same key."""
+def motion_vectors(frames: DataFrame, by: list[str], seq: str, plane: str, gyro: Column | None = None, step: int = 16) -> DataFrame:
+    """Adds delta (both axes), angular velocity and is_tripod against the frame before it of the same key.
+
+    Only every ``step``-th value is compared, so only those go along with a frame.  Frames are put in
+    order within pieces of a key; a piece gets the compared values of the last frame before it.
+    """
     turn = F.coalesce(gyro_norm(gyro), _f(0)) if gyro is not None else _f(0)
-    df = frames.withColumn("_before", F.lag(plane).over(Window.partitionBy(*by).orderBy(seq))).withColumn("angular_velocity", turn)
-    known = F.col("_before").isNotNull() & (F.size("_before") == F.size(plane))
-    df = df.withColumn("_diff", F.when(known, luma_difference(F.col("_before"), F.col(plane))))
-    df = df.withColumn("delta", F.when(known, (F.col("_diff") * _f(0.1)).cast("float")).otherwise(_f(0)))
-    still = F.when(known, (F.col("angular_velocity") < _f(0.03)) & (F.col("_diff") < _f(2))).otherwise(F.col("angular_velocity") < _f(0.05))
-    return df.withColumn("is_tripod", still).drop("_before", "_diff")
+    seen = F.struct(F.size(plane).alias("n"), F.filter(plane, lambda v, i: i % step == 0).alias("v"))
+    df = pieces.cut(frames, by, [seq]).withColumn("angular_velocity", turn).withColumn("_seen", F.when(F.col(plane).isNotNull(), seen))
+    rest = pieces.carried(df, by, {"_last": F.max_by(F.struct("_seen"), seq)}, {"_halo": F.last("_last")})
+    inside = F.lag(F.struct("_seen")).over(pieces.within(by, seq))
+    df = pieces.join_carried(df.withColumn("_inside", inside), rest, by)
+    before = F.coalesce("_inside", "_halo")["_seen"]
+    known = F.coalesce(before["n"] == F.col("_seen.n"), F.lit(False))
+    df = df.withColumn("_diff", F.when(known, luma_difference(before["v"], F.col("_seen.v"), 1))).withColumn("_known", known)
+    df = df.withColumn("delta", F.when(F.col("_known"), (F.col("_diff") * _f(0.1)).cast("float")).otherwise(_f(0)))
+    still = F.when(F.col("_known"), (F.col("angular_velocity") < _f(0.03)) & (F.col("_diff") < _f(2))).otherwise(F.col("angular_velocity") < _f(0.05))
+    return df.withColumn("is_tripod", still).drop("_seen", "_inside", "_halo", "_diff", "_known", pieces.PIECE)
 
 
 def encode_jpeg(rgb: Column) -> Column:

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sensorweave.operators.retention import last_n
+from sensorweave.operators.retention import last_n, ranked
 from sensorweave.sources.catalogs import LOG_LEVELS
 
 REDACTED = "[PIXEL_DATA_REDACTED]"
-PIECES = 256
+#: Parts of a key's values, and sampled values for each.
+PIECES, SAMPLED = 256, 64
 
 
 def percentile_index(n: Column, share: float) -> Column:
@@ -19,17 +20,35 @@ def percentile_index(n: Column, share: float) -> Column:
     return F.least((n * F.lit(share)).cast("bigint"), n - 1)
 
 
+def part_of(value: Column, cuts: Column) -> Column:
+    """How many of the sorted ``cuts`` (fewer than ``PIECES``) are below ``value``, by halving."""
+    steps = F.array(*[F.lit(PIECES >> i) for i in range(1, PIECES.bit_length())])
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when((at + step <= F.size(cuts)) & (F.get(cuts, at + step - 1) < value), at + step).otherwise(at))
+
+
+def parted(counted: DataFrame, by: list[str]) -> DataFrame:
+    """Adds ``n``, the rows of the key, and ``_part``, which grows with the value: parts hold about as many values each.
+
+    ``counted`` has each value (``_v``) of a key once, with its count (``_n``).  A sample of the values,
+    those of some hashes, sets the cuts; it is the same whenever it is taken, as uses of the parts need.
+    """
+    sizes = counted.groupBy(*by).agg(F.count("*").alias("_d"), F.sum("_n").alias("n"))
+    one_of = F.greatest(F.lit(1), F.floor(F.col("_d") / (PIECES * SAMPLED)))
+    sample = counted.join(sizes, by).where(F.pmod(F.xxhash64("_v"), one_of) == 0)
+    span = sample.groupBy(*by).agg(F.array_sort(F.collect_list("_v")).alias("_s"), F.first("n").alias("n"))
+    every = F.transform(F.sequence(F.lit(1), F.lit(PIECES - 1)), lambda i: F.get("_s", F.floor(i * F.size("_s") / PIECES).cast("int")))
+    return counted.join(span.select(*by, "n", every.alias("_cuts")), by).withColumn("_part", part_of(F.col("_v"), F.col("_cuts"))).drop("_cuts")
+
+
 def index_percentiles(rows: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:
     """Per key: count and the values at the index percentiles of ``shares``; exact, whatever a key's size.
 
-    Equal values are counted before the shuffle.  A key's range is cut into ``PIECES`` equal parts, whose
-    counts tell which part holds a place; only within a part are values ranked, so a key with most
-    of the rows is spread over its parts.
+    Equal values are counted before the shuffle.  A key's values are cut into about ``PIECES`` parts of
+    like numbers of values, however they are spread, whose exact counts tell which part holds a place;
+    only within a part are values ranked, so a key with most of the rows is spread over its parts.
     """
     counted = rows.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
-    span = counted.groupBy(*by).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_n").alias("n"))
-    part = F.when(F.col("_hi") > F.col("_lo"), F.least(F.lit(PIECES - 1), F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * PIECES))).otherwise(0).cast("int")
-    placed = counted.join(span, by).withColumn("_part", part)
+    placed = parted(counted, by)
     parts = placed.groupBy(*by, "_part").agg(F.sum("_n").alias("_m"))
     start = F.coalesce(F.sum("_m").over(Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = placed.join(parts.select(*by, "_part", start.alias("_start")), [*by, "_part"])
@@ -91,7 +110,7 @@ def filter_logs(logs: DataFrame, category: str | None = None, min_level: str = "
     kept = last_n(logs, [], seq, held).where(level_rank(F.col("level")) >= LOG_LEVELS.index(min_level))
     if category is not None:
         kept = kept.where(F.col("category") == category)
-    return last_n(kept.withColumn("message", redact(F.col("message"))), [], seq, limit)
+    return ranked(kept.withColumn("message", redact(F.col("message"))), [], seq, limit)
 
 
 def log_event(payload: Column, tag: Column, timestamp_ms: Column) -> Column:

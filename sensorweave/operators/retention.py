@@ -18,12 +18,36 @@ def ring_retained(rows: DataFrame, by: list[str], seq: str, size: str, capacity:
     return newest.withColumn("_held", held).where((F.col("_rank") == 1) | (F.col("_held") <= max_bytes)).drop("_rank", "_held")
 
 
-def last_n(rows: DataFrame, by: list[str], seq: str, n: int) -> DataFrame:
-    """The last ``n`` rows of each key in order of arrival."""
+def ranked(rows: DataFrame, by: list[str], seq: str, n: int) -> DataFrame:
+    """The last ``n`` rows of each key by their rank; without a key all rows are ranked in one task."""
     order = Window.partitionBy(*by).orderBy(F.col(seq).desc())
     return rows.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= n).drop("_rank")
 
 
+def newest_bound(rows: DataFrame, seq: str, n: int):
+    """The ``n``-th largest value of ``seq``, or None if fewer rows have one.
+
+    Only that column is read.  Partitions are put into groups, which keep their ``n`` largest values apart,
+    so that the last task gets ``n`` numbers of a group and not of every partition.
+    """
+    groups = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    narrow = rows.select(F.col(seq).alias("_v")).where(F.col("_v").isNotNull()).withColumn("_g", F.spark_partition_id() % groups)
+    top = ranked(narrow, ["_g"], "_v", n).orderBy(F.col("_v").desc()).limit(n).agg(F.count("*").alias("n"), F.min("_v").alias("least")).first()
+    return top["least"] if top["n"] == n else None
+
+
+def last_n(rows: DataFrame, by: list[str], seq: str, n: int) -> DataFrame:
+    """The last ``n`` rows of each key in order of arrival.
+
+    Without a key the bound of these rows is found first; the rows from it on, which scans can skip to,
+    are about ``n`` and go to one task.
+    """
+    bound = newest_bound(rows, seq, n) if not by else None
+    if bound is not None:
+        rows = rows.where(F.col(seq) >= F.lit(bound).cast(rows.schema[seq].dataType))
+    return ranked(rows, by, seq, n)
+
+
 def latest(rows: DataFrame, by: list[str], seq: str) -> DataFrame:
     """The last row of each key, by one aggregation."""
     others = [c for c in rows.columns if c not in by]

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sensorweave.operators import pieces
+
 
 def bracket(probes: DataFrame, samples: DataFrame, by: list[str], ts: str = "ts", values: str = "values", bucket: int | None = None) -> DataFrame:
     """Each probe with ``lo`` and ``hi``: structs (ts, v) of the last sample at or before it and the first one at or after it.
@@ -94,3 +96,23 @@ def trailing_window(samples: DataFrame, by: list[str], length: int, ts: str = "t
     """The rows of each key not older than its newest time less ``length``; the newest times are aggregated first."""
     newest = samples.groupBy(*by).agg(F.max(ts).alias("_newest"))
     return samples.join(newest, by).where(F.col(ts) >= F.col("_newest") - length).drop("_newest")
+
+
+def retained_window(samples: DataFrame, by: list[str], length: int, arrival: str, ts: str = "ts") -> DataFrame:
+    """What a sensor's window holds after all arrivals: each drops what is older than its own time by more than ``length``.
+
+    So a row stays unless one that arrives later is newer by more than ``length``; a late row, which
+    drops little, may stay although it is older than the window.  Of rows of one time the last arrival
+    stays.  Later arrivals' newest times are found within pieces of a key and carried back from the pieces after.
+    """
+    last = samples.groupBy(*by, ts).agg(F.max(arrival).alias("_last"))
+    rows = pieces.cut(samples, by, [arrival])
+    after = pieces.carried(rows, by, {"_m": F.max(ts)}, {"_after": F.max("_m")}, backwards=True)
+    own = F.max(ts).over(pieces.within(by, F.col(arrival).desc()).rowsBetween(Window.unboundedPreceding, -1))
+    rows = pieces.join_carried(rows.withColumn("_own", own), after, by)
+    newer = F.greatest("_own", "_after")
+    kept = rows.where(newer.isNull() | (F.col(ts) >= newer - length)).drop("_own", "_after", pieces.PIECE)
+    same = F.col(arrival) == F.col("_last")
+    for c in (*by, ts):
+        same = same & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
+    return kept.join(last.withColumnsRenamed({c: f"_k_{c}" for c in (*by, ts)}), same, "left_semi")

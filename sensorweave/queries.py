@@ -90,7 +90,7 @@ def imu_interpolate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {POINTS_SQL} SELECT event_id, user_id, ts, coalesce(t0, t1) AS matched_ts FROM {asof_sql('click', True)} b")
 def imu_floor_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
     probes, samples = points(spark, sf_dir, "click")
-    return temporal.floor_else_ceiling(probes, samples, ["user_id"]).select("event_id", "user_id", "ts", "matched_ts")
+    return temporal.floor_else_ceiling(probes, samples, ["user_id"], bucket=DAY_US).select("event_id", "user_id", "ts", "matched_ts")
 
 
 @query(f"""WITH {POINTS_SQL}, m AS (SELECT user_id, coalesce(ts > lag(ts) OVER (PARTITION BY user_id ORDER BY event_id), TRUE) AS rise, abs(ts - coalesce(t0, t1)) AS off FROM {asof_sql('click', True)} b)
@@ -99,7 +99,7 @@ def imu_floor_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
            bool_and(rise) AND count(off) > 0 AND CAST(coalesce(trunc(avg(off)), 0) AS BIGINT) < 36000000000 AS is_verified FROM m GROUP BY user_id""")
 def clock_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     probes, samples = points(spark, sf_dir, "click")
-    return temporal.clock_report(temporal.floor_else_ceiling(probes, samples, ["user_id"]), ["user_id"], "event_id", gap=3_600_000_000, mean_limit=36_000_000_000)
+    return temporal.clock_report(temporal.floor_else_ceiling(probes, samples, ["user_id"], bucket=DAY_US), ["user_id"], "event_id", gap=3_600_000_000, mean_limit=36_000_000_000)
 
 
 @query(f"""WITH {POINTS_SQL}, g AS (SELECT event_id, {VALUE_SQL.format(x='')} AS gyro, coalesce(t0 <> t1, FALSE) AS i FROM {asof_sql('click', True)} b),
@@ -107,7 +107,7 @@ def clock_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT event_id, round(CAST(gyro AS DOUBLE), 4) AS gyro, round(CAST(accel AS DOUBLE), 4) AS accel, g.i OR a.i AS is_interpolated FROM g JOIN a USING (event_id)""")
 def dual_sensor_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
     probes, gyro = points(spark, sf_dir, "click")
-    found = temporal.align_two(probes, gyro, points(spark, sf_dir, "view")[1], ["user_id"])
+    found = temporal.align_two(probes, gyro, points(spark, sf_dir, "view")[1], ["user_id"], bucket=DAY_US)
     return found.select("event_id", rounded(found["gyro"][0]).alias("gyro"), rounded(found["accel"][0]).alias("accel"), "is_interpolated")
 
 
@@ -116,6 +116,16 @@ def trailing_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return temporal.trailing_window(events(spark, sf_dir).select("event_id", "event_type", "us"), ["event_type"], 5 * DAY_US, "us")
 
 
+@query("""WITH e AS (SELECT event_id, event_type, epoch_us(ts) AS us, max(epoch_us(ts)) OVER (PARTITION BY event_type ORDER BY event_id * 7919 % 10007, event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS newer,
+        row_number() OVER (PARTITION BY event_type, ts ORDER BY event_id * 7919 % 10007 DESC, event_id DESC) AS nth FROM events)
+    SELECT event_id, event_type, us FROM e WHERE nth = 1 AND (newer IS NULL OR us >= newer - 432000000000)""")
+def sensor_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events that arrive far out of order: what each type's window of five days holds in the end."""
+    arrival = F.col("event_id") * 7919 % 10007 * 1_000_000_000_000 + F.col("event_id")
+    rows = events(spark, sf_dir).select("event_id", "event_type", "us", arrival.alias("arrival"))
+    return temporal.retained_window(rows, ["event_type"], 5 * DAY_US, "arrival", "us").select("event_id", "event_type", "us")
+
+
 # -- pairing -------------------------------------------------------------------------------------
 
 
