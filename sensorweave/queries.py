@@ -19,7 +19,10 @@ from sensorweave.operators import metrics as M
 from sensorweave.operators import pairing, ranking, retention, temporal
 from sensorweave.plans import rules as R
 from sensorweave.sources import catalogs as C
+from sensorweave.session import scratch
 from sensorweave.sources import readers, sinks
+from sensorweave.sources.stores import KeyedStore
+from sensorweave.streaming import logs
 from sensorweave.streaming import streams as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,6 +50,11 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").withColumn("us", F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)")).drop("ts")
 
 
+def arriving(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table as a stream of its files; a pattern, as a table may be one file, which a stream's path may not."""
+    return spark.readStream.schema(table(spark, sf_dir, name).schema).parquet(f"{sf_dir}/{name[:-1]}[{name[-1]}].parquet")
+
+
 def points(spark: SparkSession, sf_dir: str, kind: str) -> tuple[DataFrame, DataFrame]:
     """Probes (purchases) and samples of one kind, with their value as an array of one float."""
     rows = events(spark, sf_dir)
@@ -213,6 +221,22 @@ def delete_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retention.delete_by_id(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), gone, "c_custkey")
 
 
+@query("""WITH a AS (SELECT c_custkey AS k, 0 AS seq, c_mktsegment AS v, 0 AS gone FROM customer UNION ALL SELECT o_custkey, o_orderkey + 1, o_orderpriority, 0 FROM orders UNION ALL SELECT o_custkey, o_orderkey + 1, NULL, 1 FROM orders WHERE o_orderstatus = 'P'),
+    l AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY k ORDER BY seq DESC, gone DESC) = 1)
+    SELECT k, v FROM l WHERE gone = 0""")
+def stored_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers stored in folders, written over by their orders, taken away by pending ones, compacted twice."""
+    base = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_mktsegment").alias("v"), F.lit(0).alias("seq"))
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderpriority").alias("v"), (F.col("o_orderkey") + 1).alias("seq"), "o_orderstatus")
+    store = KeyedStore(spark, scratch(spark, "stored-by-id"), base.select("k", "v").schema, ["k"], 16)
+    store.put(base, "seq")
+    store.compact()
+    store.put(orders, "seq")
+    store.delete(orders.where("o_orderstatus = 'P'"), "seq")
+    store.compact()
+    return store.read()
+
+
 @query("SELECT event_id, epoch_us(ts) AS us FROM events WHERE event_type = 'signup' ORDER BY ts DESC")
 def newest_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retention.newest_first(events(spark, sf_dir).where("event_type = 'signup'").select("event_id", "us"), "us", "event_id")
@@ -269,6 +293,17 @@ def telemetry_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", F.col("event")["tag"].alias("tag"), F.col("event")["value"].cast("double").alias("value"))
 
 
+@query("SELECT event_id, 'METRIC' AS tag, event_type AS name, value FROM events QUALIFY row_number() OVER (ORDER BY ts DESC) <= 500")
+def telemetry_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a stream of metrics, appended batch by batch to a log that holds the last 500."""
+    us = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)")
+    rows = arriving(spark, sf_dir, "events").withColumn("us", us)
+    event = M.log_metric(F.col("event_type"), F.col("value"), F.floor(F.col("us") / 1000))
+    log = logs.RollingLog(spark, scratch(spark, "telemetry"), M.EVENTS_HELD, "us")
+    log.follow(rows.select("event_id", "us", event.alias("event")), scratch(spark, "telemetry-checkpoint"), available_now=True).awaitTermination()
+    return log.read().select("event_id", *[F.col("event")[k].alias(k) for k in ("tag", "name")], F.col("event")["value"].cast("double").alias("value"))
+
+
 @query("""SELECT event_id, 'ERROR_' || event_type AS tag, 'user ' || user_id AS error_msg, CASE WHEN user_id % 2 = 0 THEN 'Failure' END AS throwable, CASE WHEN user_id % 2 = 0 THEN substr(repeat(props, 20), 1, 500) END AS stacktrace,
     CAST(epoch_us(ts) // 1000 AS VARCHAR) AS timestamp_ms FROM events WHERE event_type = 'error'""")
 def error_log(spark: SparkSession, sf_dir: str) -> DataFrame:
