@@ -22,7 +22,7 @@ from sensorweave.sources import catalogs as C
 from sensorweave.session import scratch
 from sensorweave.sources import readers, sinks
 from sensorweave.sources.stores import KeyedStore
-from sensorweave.streaming import logs
+from sensorweave.streaming import logs, stateful
 from sensorweave.streaming import streams as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,6 +95,23 @@ def imu_interpolate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("event_id", "ts", rounded(found["values"][0]).alias("value"), "is_interpolated")
 
 
+WAIT_US = 12 * 3_600_000_000
+
+
+@query(f"""WITH {POINTS_SQL}, b AS (SELECT event_id, user_id, ts, t0, v0, CASE WHEN t1 <= ts + {WAIT_US} THEN t1 END AS t1, CASE WHEN t1 <= ts + {WAIT_US} THEN v1 END AS v1 FROM {asof_sql('click', True)} x)
+    SELECT event_id, user_id, ts, round(CAST({VALUE_SQL.format(x='b.')} AS DOUBLE), 3) AS value, coalesce(t0 <> t1, FALSE) AS is_interpolated FROM b
+    WHERE (coalesce(t1, ts + {WAIT_US}) + 999) // 1000 <= (SELECT max(epoch_us(ts)) // 1000 FROM events WHERE event_type IN ('click', 'purchase'))""")
+def imu_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's purchases aligned with their clicks as both stream in; those whose next click can still come are left out."""
+    rows = arriving(spark, sf_dir, "events").withColumn("ts", F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)"))
+    probes = rows.where("event_type = 'purchase'").select("event_id", "user_id", "ts")
+    samples = rows.where("event_type = 'click'").select("user_id", "ts", F.array(F.col("value").cast("float")).alias("values"))
+    found = stateful.align_stream(probes, samples, ["user_id"], "ts", "values", WAIT_US)
+    out = scratch(spark, "imu-stream")
+    found.writeStream.format("parquet").option("path", out).option("checkpointLocation", scratch(spark, "imu-stream-checkpoint")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(found.schema).parquet(out).select("event_id", "user_id", "ts", rounded(F.col("values")[0], 3).alias("value"), "is_interpolated")
+
+
 @query(f"WITH {POINTS_SQL} SELECT event_id, user_id, ts, coalesce(t0, t1) AS matched_ts FROM {asof_sql('click', True)} b")
 def imu_floor_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
     probes, samples = points(spark, sf_dir, "click")
