@@ -559,56 +559,94 @@ def distinct_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sizes(spark, sf_dir).select("p_brand", "width", "height").distinct().groupBy("p_brand").agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH r AS (SELECT model_id, CASE WHEN NOT classical AND size <= 0 THEN 1 ELSE 0 END + CASE WHEN mem <= 0 THEN 1 ELSE 0 END + CASE WHEN latency <= 0 THEN 1 ELSE 0 END + CASE WHEN NOT classical AND fb IS NULL THEN 1 ELSE 0 END AS n FROM {_MODELS_SQL})
-    SELECT model_id, n AS issue_count, n = 0 AS is_valid FROM r""")
+@query("""WITH m AS (SELECT p_partkey, CASE WHEN p_size % 7 = 0 THEN ' ' ELSE p_brand END AS id, CASE WHEN p_size % 5 = 0 THEN '' ELSE p_name END AS license, p_size % 3 = 0 AS classical, p_size - 10 AS size, p_size % 4 AS backends, CAST(floor(p_retailprice) AS BIGINT) % 6 AS mem, p_size - 25 AS latency,
+        CASE WHEN p_size % 2 = 0 THEN p_type END AS fb FROM part),
+    i AS (SELECT p_partkey, list_filter([CASE WHEN trim(id) = '' THEN 'modelId cannot be blank' END, CASE WHEN trim(license) = '' THEN 'license cannot be blank' END, CASE WHEN NOT classical AND size <= 0 THEN 'Neural model size must be greater than 0 bytes' END,
+        CASE WHEN backends = 0 THEN 'supportedBackends cannot be empty' END, CASE WHEN mem <= 0 THEN 'memoryRequirement must be positive' END, CASE WHEN latency <= 0 THEN 'latencyExpectation must be positive' END,
+        CASE WHEN NOT classical AND fb IS NULL THEN 'Neural models should specify a fallbackModelId for reliability' END], lambda x: x IS NOT NULL) AS issues FROM m)
+    SELECT p_partkey, array_to_string(issues, '; ') AS issues, len(issues) = 0 AS is_valid FROM i""")
 def manifest_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.manifest_issues(C.models(spark)).select("model_id", F.size("issues").alias("issue_count"), "is_valid")
+    """Parts as manifests."""
+    size = F.col("p_size")
+    manifests = table(spark, sf_dir, "part").select(
+        "p_partkey", F.when(size % 7 == 0, " ").otherwise(F.col("p_brand")).alias("model_id"), F.when(size % 5 == 0, "").otherwise(F.col("p_name")).alias("license"), (size % 3 == 0).alias("is_classical_fallback"), (size - 10).cast("bigint").alias("file_size_bytes"),
+        F.slice(F.array(*[F.lit(b) for b in (C.NPU, C.GPU, C.CPU)]), F.lit(1), (size % 4).cast("int")).alias("supported_backends"), (F.floor("p_retailprice") % 6).alias("memory_requirement_bytes"), (size - 25).alias("expected_latency_ms"), F.lit("RAW").alias("input_format"), F.lit("RGB").alias("output_format"), F.when(size % 2 == 0, F.col("p_type")).alias("fallback_model_id"),
+    )
+    return R.manifest_issues(manifests).select("p_partkey", F.array_join("issues", "; ").alias("issues"), "is_valid")
+
+
+_ASKED_SQL = "[" + ", ".join(f"'{m}'" for m in _MODEL_IDS) + "]"
 
 
-@query(f"SELECT q.model_id, CASE WHEN m.model_id IS NULL THEN '{C.CLASSICAL}' WHEN fb IS NULL AND classical THEN NULL ELSE coalesce(fb, '{C.CLASSICAL}') END AS fallback FROM (VALUES {', '.join(f'({m!r})' for m in _MODEL_IDS)}) q(model_id) LEFT JOIN {_MODELS_SQL} ON m.model_id = q.model_id")
+def asked_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as requests for a model, known or not, on a device."""
+    key = F.col("o_orderkey")
+    return table(spark, sf_dir, "orders").select(key.alias("request_id"), pick(_MODEL_IDS, key % len(_MODEL_IDS)).alias("model_id"), pick(_PROFILES, key % len(_PROFILES)).alias("profile_id"))
+
+
+@query(f"""SELECT o_orderkey AS request_id, q.model_id, CASE WHEN m.model_id IS NULL THEN '{C.CLASSICAL}' WHEN fb IS NULL AND classical THEN NULL ELSE coalesce(fb, '{C.CLASSICAL}') END AS fallback
+    FROM (SELECT o_orderkey, {_ASKED_SQL}[o_orderkey % {len(_MODEL_IDS)} + 1] AS model_id FROM orders) q LEFT JOIN {_MODELS_SQL} ON m.model_id = q.model_id""")
 def model_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.model_fallbacks(spark.createDataFrame([(m,) for m in _MODEL_IDS], "model_id string"), C.models(spark))
+    return R.model_fallbacks(asked_models(spark, sf_dir).select("request_id", "model_id"), C.models(spark)).select("request_id", "model_id", "fallback")
 
 
-@query(f"SELECT profile_id, model_id, CASE WHEN has_npu AND npu THEN '{C.NPU}' WHEN has_gpu AND gpu THEN '{C.GPU}' ELSE '{C.CPU}' END AS backend FROM {_USABLE_SQL}, {_MODELS_SQL}")
+@query(f"""SELECT o_orderkey AS request_id, q.profile_id, q.model_id, CASE WHEN has_npu AND npu THEN '{C.NPU}' WHEN has_gpu AND gpu THEN '{C.GPU}' ELSE '{C.CPU}' END AS backend
+    FROM (SELECT o_orderkey, {_ASKED_SQL}[o_orderkey % {len(_MODEL_IDS)} + 1] AS model_id, {_PROFILES}[o_orderkey % {len(_PROFILES)} + 1] AS profile_id FROM orders) q
+    LEFT JOIN {_USABLE_SQL} ON u.profile_id = q.profile_id LEFT JOIN {_MODELS_SQL} ON m.model_id = q.model_id""")
 def backend_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = spark.createDataFrame([(p, m[0]) for p in _PROFILES for m in C.MODELS], "profile_id string, model_id string")
-    return R.with_backend(pairs, C.models(spark), C.backends(spark))
+    return R.with_backend(asked_models(spark, sf_dir), C.models(spark), C.backends(spark)).select("request_id", "profile_id", "model_id", "backend")
 
 
-_CAMERA_SQL = "(VALUES " + ", ".join(f"('{c[0]}', '{c[1]}', '{c[2]}', {c[5] or [c[1]]})" for c in C.CAMERAS) + ") k(profile_id, camera_id, facing, ids)"
+@query("""WITH c AS (SELECT o_custkey AS device_id, o_orderkey AS camera_id, ['BACK_WIDE', 'FRONT', 'EXTERNAL'][o_orderkey % 3 + 1] AS facing, CASE o_orderkey % 4 WHEN 1 THEN [o_orderkey, o_orderkey + 1, o_orderkey - 1] WHEN 2 THEN [o_orderkey + 32] ELSE [o_orderkey] END AS ids FROM orders),
+    x AS (SELECT device_id, camera_id AS logical_id, unnest(ids) AS physical_id FROM c)
+    SELECT x.device_id, logical_id, physical_id, c.facing FROM x JOIN c ON c.device_id = x.device_id AND c.camera_id = x.physical_id""")
+def lens_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as devices, orders as their cameras, some of them logical ones over others that may not be there."""
+    key = F.col("o_orderkey")
+    physical = F.when(key % 4 == 1, F.array(key, key + 1, key - 1)).when(key % 4 == 2, F.array(key + 32)).otherwise(F.array().cast("array<bigint>"))
+    cameras = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("device_id"), key.alias("camera_id"), pick(["BACK_WIDE", "FRONT", "EXTERNAL"], key % 3).alias("facing"), physical.alias("physical_ids"))
+    return R.lens_map(cameras, ["device_id"]).select("device_id", "logical_id", "physical_id", "facing")
 
 
-@query(f"WITH c AS (SELECT * FROM {_CAMERA_SQL}), x AS (SELECT profile_id, camera_id AS logical_id, unnest(ids) AS physical_id FROM c) SELECT x.profile_id, logical_id, physical_id, c.facing FROM x JOIN c ON c.profile_id = x.profile_id AND c.camera_id = x.physical_id")
-def lens_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.lens_map(C.cameras(spark), ["profile_id"]).select("profile_id", "logical_id", "physical_id", "facing")
+_FORMATS = ["PRIVATE", "YUV_420_888", "JPEG", "RAW_SENSOR", "RAW10"]
 
 
-def format_sizes(spark: SparkSession) -> DataFrame:
-    """Of each camera its active size and half of it in every format."""
-    rows = C.cameras(spark).select("profile_id", "camera_id", F.explode(F.array_union("formats", F.array(F.lit("PRIVATE")))).alias("format"), "active")
-    return rows.select("profile_id", "camera_id", "format", F.posexplode(F.array(F.lit(1), F.lit(2), F.lit(4))).alias("input_pos", "by"), "active").select("profile_id", "camera_id", "format", "input_pos", F.expr("cast(active.w div by as int)").alias("width"), F.expr("cast(active.h div by as int)").alias("height"))
+def listed_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as the sizes that a device (container) lists for a format; by its size, a device lacks some."""
+    rows = table(spark, sf_dir, "part").where(F.pmod(F.length("p_type") + F.col("p_partkey") % 5, F.lit(4)) != 0)
+    return rows.select(F.col("p_type").alias("device"), pick(_FORMATS, F.col("p_partkey") % 5).alias("format"), F.col("p_partkey").alias("input_pos"), (F.col("p_size") * 60).alias("width"), (F.floor("p_retailprice") % 1500 + 100).cast("int").alias("height"))
 
 
-@query()
-def session_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.session_plans(C.cameras(spark), ["profile_id", "camera_id"], format_sizes(spark))
+_PLANS_SQL = f"""s AS (SELECT p_type AS device, {_FORMATS}[p_partkey % 5 + 1] AS format, p_partkey AS pos, p_size * 60 AS w, CAST(floor(p_retailprice) AS INTEGER) % 1500 + 100 AS h FROM part WHERE (length(p_type) + p_partkey % 5) % 4 <> 0),
+    o AS (SELECT *, w * h AS area, abs(CAST(w AS FLOAT) / CAST(h AS FLOAT) - CAST({16 / 9} AS FLOAT)) AS off FROM s),
+    best AS (SELECT device, format, coalesce(first([w, h] ORDER BY off, pos) FILTER (w <= 1920 AND h <= 1080), first([w, h] ORDER BY pos)) AS preview,
+        coalesce(first([w, h] ORDER BY area DESC, pos) FILTER (w <= 1280), first([w, h] ORDER BY area, pos)) AS analysis, first([w, h] ORDER BY area DESC, pos) AS largest FROM o GROUP BY ALL),
+    u AS (SELECT * FROM (VALUES {", ".join(f"('{u}', {i}, '{x[0]}', '{x[1]}', '{x[2]}')" for u, xs in R.SESSION_STREAMS.items() for i, x in enumerate(xs))}) u(use_case, pos, role, format, sized)),
+    d AS (SELECT p_type AS device, bool_or(p_partkey % 5 = 3 AND (length(p_type) + 3) % 4 <> 0) AS has_raw FROM part GROUP BY ALL),
+    plans AS (SELECT d.device, use_case, pos, role, CASE WHEN format = 'RAW_SENSOR' AND NOT has_raw THEN 'RAW10' ELSE format END AS format, sized, count(*) OVER (PARTITION BY d.device, use_case) <= 3 AS is_supported FROM d, u)"""
 
 
-_STREAMS_SQL = "(VALUES " + ", ".join(f"('{u}', '{s[1]}')" for u, ss in R.SESSION_STREAMS.items() for s in ss) + ") s(use_case, format)"
-_LISTED_SQL = "(VALUES " + ", ".join(f"('{c[0]}', '{c[1]}', {c[3] + ['PRIVATE']})" for c in C.CAMERAS) + ") k(profile_id, camera_id, formats)"
+@query(f"""WITH {_PLANS_SQL}, x AS (SELECT p.*, CASE sized WHEN 'preview' THEN coalesce(preview, [1920, 1080]) WHEN 'analysis' THEN coalesce(analysis, [640, 480]) ELSE coalesce(largest, [4000, 3000]) END AS z FROM plans p LEFT JOIN best b ON b.device = p.device AND b.format = p.format)
+    SELECT device, use_case, pos, role, format, z[1] AS width, z[2] AS height, is_supported FROM x""")
+def session_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers as devices whose parts are the sizes that they list."""
+    devices = table(spark, sf_dir, "part").select(F.col("p_type").alias("device"))
+    return R.session_plans(devices, ["device"], listed_sizes(spark, sf_dir)).select("device", "use_case", "pos", "role", "format", "width", "height", "is_supported")
 
 
-@query(f"SELECT profile_id, camera_id, use_case, CASE WHEN bool_and(list_contains(formats, CASE WHEN format = 'RAW_SENSOR' AND NOT list_contains(formats, 'RAW_SENSOR') THEN 'RAW10' ELSE format END)) THEN 'SUPPORTED' ELSE 'FAILED' END AS state FROM {_STREAMS_SQL}, {_LISTED_SQL} GROUP BY ALL")
+@query(f"""WITH {_PLANS_SQL} SELECT p.device, use_case, CASE WHEN bool_and(is_supported) AND bool_and(b.format IS NOT NULL) THEN 'SUPPORTED' ELSE 'FAILED' END AS state
+    FROM plans p LEFT JOIN best b ON b.device = p.device AND b.format = p.format GROUP BY ALL""")
 def stream_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keys = ["profile_id", "camera_id"]
-    return R.stream_matrix(R.session_plans(C.cameras(spark), keys, format_sizes(spark)), format_sizes(spark), keys)
+    devices, listed = table(spark, sf_dir, "part").select(F.col("p_type").alias("device")), listed_sizes(spark, sf_dir)
+    return R.stream_matrix(R.session_plans(devices, ["device"], listed), listed, ["device"])
 
 
-@query("SELECT * FROM (VALUES (TRUE, 0, 'PASS'), (FALSE, 3110400, 'PARTIAL')) v(hardware_buffer, per_frame_bytes, status)")
+@query("""SELECT l_orderkey AS pipeline_id, coalesce(sum(l_partkey) FILTER (l_returnflag <> 'N'), 0) AS per_frame_bytes, CASE WHEN coalesce(sum(l_partkey) FILTER (l_returnflag <> 'N'), 0) = 0 THEN 'PASS' ELSE 'PARTIAL' END AS status FROM lineitem GROUP BY l_orderkey""")
 def copy_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    both = R.buffer_copies(spark).withColumn("hardware_buffer", F.lit(True)).unionByName(R.buffer_copies(spark, hardware_buffer=False).withColumn("hardware_buffer", F.lit(False)))
-    return R.copy_audit(both, ["hardware_buffer"])
+    """Orders as pipelines, their items as copies, those returned or accepted for each frame."""
+    often = F.when(F.col("l_returnflag") != "N", "Per Frame (30 FPS)").otherwise("Per Still Capture")
+    copies = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("pipeline_id"), F.col("l_partkey").alias("bytes_moved"), often.alias("frequency"))
+    return R.copy_audit(copies, ["pipeline_id"])
 
 
 @query("""WITH RECURSIVE a AS (SELECT l_suppkey AS ledger, l_orderkey * 10 + l_linenumber AS seq, (CASE WHEN l_returnflag = 'R' THEN -1 ELSE 1 END) * CAST(l_quantity AS BIGINT) AS x FROM lineitem),
@@ -625,14 +663,22 @@ def memory_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- catalogs, sinks and labels ------------------------------------------------------------------
 
 
-@query(f"SELECT scene_id, category, base AS baseline_psnr_min FROM {SCENES_SQL} WHERE category IN ('TEXT', 'SKIN')")
+@query(f"SELECT event_id, scene_id, category, base AS baseline_psnr_min FROM events JOIN {SCENES_SQL} ON s.i = event_id % {len(C.SCENES)} WHERE category IN ('TEXT', 'SKIN')")
 def scenes_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.scenes(spark).where(F.col("category").isin("TEXT", "SKIN")).select("scene_id", "category", "baseline_psnr_min")
+    """Events as shots of the scenes; those of two categories."""
+    shots = events(spark, sf_dir).select("event_id", pick([x[0] for x in C.SCENES], F.col("event_id") % len(C.SCENES)).alias("scene_id"))
+    return shots.join(F.broadcast(C.scenes(spark).where(F.col("category").isin("TEXT", "SKIN"))), "scene_id").select("event_id", "scene_id", "category", "baseline_psnr_min")
+
+
+_ERRORS_SQL = "(VALUES " + ", ".join(f"({i}, '{a}', '{b}', {c})" for i, (a, b, c) in enumerate(C.ERRORS)) + ") e(i, family, code, is_recoverable)"
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}', {c})" for a, b, c in C.ERRORS) + ") e(family, code, is_recoverable)")
+@query(f"SELECT family, count(*) AS n, count(*) FILTER (is_recoverable) AS n_recoverable, count(DISTINCT code) AS n_codes FROM events JOIN {_ERRORS_SQL} ON e.i = event_id % {len(C.ERRORS)} WHERE event_type = 'error' GROUP BY family")
 def error_taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.errors(spark)
+    """Error events by the family of their code."""
+    met = events(spark, sf_dir).where("event_type = 'error'").select(pick([x[1] for x in C.ERRORS], F.col("event_id") % len(C.ERRORS)).alias("code"))
+    known = met.join(F.broadcast(C.errors(spark)), "code")
+    return known.groupBy("family").agg(F.count("*").alias("n"), F.count_if("is_recoverable").alias("n_recoverable"), F.count_distinct("code").alias("n_codes"))
 
 
 def version_places(parts: DataFrame) -> DataFrame:
@@ -651,10 +697,19 @@ def version_order_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return version_places(table(spark, sf_dir, "part"))
 
 
-@query(f"SELECT profile_id, total_ram_bytes, os_version_sdk, profile_version, verified FROM (VALUES {', '.join(f'({p[0]!r}, {p[4]}, {p[5]}, 1, {p[11]})' for p in C.PROFILES)}) v(profile_id, total_ram_bytes, os_version_sdk, profile_version, verified)")
+@query("""SELECT 'c' || c_custkey AS profile_id, CASE WHEN c_nationkey = 0 THEN CAST(8589934592 AS BIGINT) ELSE c_custkey * 1024 END AS total_ram_bytes, CASE WHEN c_custkey % 3 = 0 THEN 34 ELSE c_nationkey END AS os_version_sdk, 1 AS profile_version, c_custkey % 2 = 0 AS verified FROM customer""")
 def profile_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    data = sinks.to_key_values(C.device_profiles(spark), C.cameras(spark)).select("data")
-    return data.select(*sinks.from_key_values(F.col("data"))).select("profile_id", "total_ram_bytes", "os_version_sdk", "profile_version", "verified")
+    """Customers as device profiles, written as text and read back; some values are lost on the way."""
+    fields = C.device_profiles(spark).schema
+    key = F.col("c_custkey")
+    given = {"profile_id": F.concat(F.lit("c"), key.cast("string")), "manufacturer": F.col("c_mktsegment"), "device_model": F.col("c_name"), "soc_family": F.col("c_mktsegment"), "total_ram_bytes": key * 1024, "os_version_sdk": F.col("c_nationkey"), "verified": key % 2 == 0}
+    profiles = table(spark, sf_dir, "customer").select(*[given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in fields], (F.col("c_nationkey") == 0).alias("_no_ram"), (key % 3 == 0).alias("_bad_sdk"))
+    cameras = table(spark, sf_dir, "orders").select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("profile_id"))
+    lost = profiles.select("profile_id", "_no_ram", "_bad_sdk")
+    stored = sinks.to_key_values(profiles.drop("_no_ram", "_bad_sdk"), cameras).join(lost, "profile_id")
+    kept = F.map_filter("data", lambda k, v: ~((k == "totalRamBytes") & F.col("_no_ram")))
+    changed = F.transform_values(kept, lambda k, v: F.when((k == "osVersionSdk") & F.col("_bad_sdk"), F.lit("unreadable")).otherwise(v))
+    return stored.select(changed.alias("data")).select(*sinks.from_key_values(F.col("data"))).select("profile_id", "total_ram_bytes", "os_version_sdk", "profile_version", "verified")
 
 
 @query("""SELECT 'c' || c_custkey || '_' || x.n AS name, x.c AS content FROM customer, LATERAL (VALUES ('ORIGINAL.jpg', c_name), ('MASTER.jpg', c_mktsegment), ('META.json', '{"media_id": "c' || c_custkey || '", "capture": {"n": ' || c_nationkey || '}, "processing": {}}')) x(n, c)""")

@@ -113,7 +113,7 @@ def to_key_values(profiles: DataFrame, cameras: DataFrame) -> DataFrame:
     counts = cameras.groupBy("profile_id").agg(F.count("*").alias("_n"))
     values = [F.lit("1"), F.col("profile_id"), F.col("manufacturer"), F.col("device_model"), F.col("soc_family"), F.col("total_ram_bytes").cast("string"), F.col("os_version_sdk").cast("string"), F.coalesce("_n", F.lit(0)).cast("string"), F.col("verified").cast("string")]
     pairs = [x for k, v in zip(KEYS, values, strict=True) for x in (F.lit(k), v)]
-    return profiles.join(F.broadcast(counts), "profile_id", "left").select("profile_id", F.create_map(*pairs).alias("data"))
+    return profiles.join(counts, "profile_id", "left").select("profile_id", F.create_map(*pairs).alias("data"))
 
 
 def from_key_values(data: Column) -> list[Column]:
