@@ -70,6 +70,11 @@ def with_quality(frames: DataFrame, plane: str, step: int = 4) -> DataFrame:
     df = frames.withColumn("_s", picked).withColumn("n", F.size("_s").cast("bigint"))
     df = df.withColumn("_sum", F.aggregate("_s", zero, lambda a, v: a + v)).withColumn("_sq", F.aggregate("_s", zero, lambda a, v: a + v * v))
     df = df.withColumn("clipped", F.aggregate("_s", zero, lambda a, v: a + F.when((v <= 2) | (v >= 253), 1).otherwise(0)))
+    return quality_scores(df.drop("_s"))
+
+
+def quality_scores(df: DataFrame) -> DataFrame:
+    """Variance, scores and is_acceptable from n, clipped and the whole sums ``_sum`` and ``_sq``."""
     variance = (F.col("n") * F.col("_sq") - F.col("_sum") * F.col("_sum")).cast("double") / (F.col("n") * F.col("n")).cast("double")
     df = df.withColumn("variance", F.when(F.col("n") > 0, variance).otherwise(0.0))
     sd, empty = F.sqrt("variance"), F.col("n") == 0
@@ -78,7 +83,7 @@ def with_quality(frames: DataFrame, plane: str, step: int = 4) -> DataFrame:
     df = df.withColumn("sharp_score", F.when(empty, _f(0)).otherwise(clamp((sd / 64.0).cast("float"), _f(0.1), _f(1))))
     df = df.withColumn("artifact_risk", F.when(empty, _f(1)).when(F.col("clipped") > F.col("n") * 0.5, _f(0.8)).otherwise(_f(0.1)))
     df = df.withColumn("overall", F.when(empty, _f(0)).otherwise(clamp(F.col("noise_score") * _f(0.3) + F.col("range_score") * _f(0.3) + F.col("sharp_score") * _f(0.4), _f(0), _f(1))))
-    return df.withColumn("is_acceptable", ~empty & (F.col("overall") >= _f(0.35))).drop("_s", "_sum", "_sq")
+    return df.withColumn("is_acceptable", ~empty & (F.col("overall") >= _f(0.35))).drop("_sum", "_sq")
 
 
 def tile_averages(frames: DataFrame, key: list[str], plane: str, width: Column, tile: int = TILE) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sensorweave.functions import bands
 from sensorweave.functions import labels as L
 from sensorweave.functions import planes as P
 from sensorweave.operators import metrics as M
@@ -382,6 +383,35 @@ def guard_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.guard_decisions(both, ["vec_id"], "plane", "recon", F.lit(EDGE), F.lit(400), TILE, 2).select("vec_id", "n_high", "n_far", "action", "hallucination")
 
 
+_HEX = "strpos('0123456789ABCDEF', substr(h, CAST({at} AS BIGINT), 1)) - 1"
+#: Pages as frames: four in a burst, 64 wide, their text as bytes; tiles of 8, every fourth place compared.
+_BYTES_SQL = f"""f AS (SELECT page_id, page_id // 4 AS burst, hex(encode(coalesce(html, ''))) AS h FROM pages),
+    v AS (SELECT page_id, burst, i, 16 * ({_HEX.format(at='2 * i + 1')}) + ({_HEX.format(at='2 * i + 2')}) AS v FROM (SELECT *, unnest(range(length(h) // 2)) AS i FROM f))"""
+
+
+@query(f"""WITH {_BYTES_SQL}, b AS (SELECT burst, count(*) AS frames, max(page_id) AS last FROM f GROUP BY burst),
+    o AS (SELECT v.burst, i, v, i // 64 // 8 AS ty, i % 64 // 8 AS tx FROM v JOIN b ON b.burst = v.burst AND v.page_id = b.last),
+    r AS (SELECT v.burst, i, sum(v) // any_value(frames) AS r FROM v JOIN b ON b.burst = v.burst GROUP BY v.burst, i),
+    t AS (SELECT burst, ty, tx, sum(v) // count(*) AS avg FROM o GROUP BY ALL),
+    c AS (SELECT *, least(greatest(CAST(CASE WHEN avg > 245 THEN 0.2 WHEN avg < 12 THEN 0.3 WHEN avg BETWEEN 40 AND 215 THEN 0.95 ELSE 0.7 END AS FLOAT) - CAST(4 AS FLOAT) / CAST(64 AS FLOAT), CAST(0.05 AS FLOAT)), CAST(1 AS FLOAT)) AS conf FROM t),
+    m AS (SELECT burst, round(sum(CAST(conf AS DOUBLE)) / count(*), 4) AS confidence_mean FROM c GROUP BY burst),
+    g AS (SELECT o.burst, count(*) AS n_high, count(*) FILTER (abs(v - r) > 45) AS n_far FROM o JOIN r ON r.burst = o.burst AND r.i = o.i JOIN c ON c.burst = o.burst AND c.ty = o.ty AND c.tx = o.tx WHERE conf >= 0.75 AND o.i // 64 % 4 = 0 AND o.i % 64 % 4 = 0 GROUP BY o.burst),
+    a AS (SELECT b.burst, frames, coalesce(n_high, 0) AS n_high, coalesce(n_far, 0) AS n_far, coalesce(confidence_mean, 0.5) AS confidence_mean, CASE WHEN n_high > 0 THEN CAST(n_far AS FLOAT) / CAST(n_high AS FLOAT) ELSE 0 END AS ratio FROM b LEFT JOIN m ON m.burst = b.burst LEFT JOIN g ON g.burst = b.burst)
+    SELECT burst, frames, n_high, n_far, CAST(confidence_mean AS DOUBLE) AS confidence_mean, CASE WHEN ratio > CAST(0.2 AS FLOAT) THEN 'REVERT_TO_ORIGINAL' WHEN ratio > CAST(0.05 AS FLOAT) THEN 'BLEND_WITH_ORIGINAL' ELSE 'KEEP_RECONSTRUCTED' END AS action FROM a""")
+def burst_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fusion, tile confidence and the guard's decision over the bytes of pages."""
+    frames = table(spark, sf_dir, "pages").select("page_id", F.expr("page_id div 4").alias("burst"), F.encode("html", "utf-8").alias("plane"))
+    found = bands.burst_guard(frames, ["burst"], "page_id", "plane", F.lit(64), F.lit(400), 8, 4)
+    return found.select("burst", "frames", "n_high", "n_far", rounded(F.col("confidence_mean")).alias("confidence_mean"), "action")
+
+
+@query(f"""WITH {_BYTES_SQL}, s AS (SELECT page_id, CAST(count(*) AS BIGINT) AS n, CAST(sum(v) AS BIGINT) AS sum, CAST(sum(v * v) AS BIGINT) AS sq, count(*) FILTER (v <= 2 OR v >= 253) AS clipped FROM v WHERE i % 4 = 0 GROUP BY page_id)
+    SELECT f.page_id, coalesce(n, 0) AS n, coalesce(clipped, 0) AS clipped, round(CASE WHEN n > 0 THEN CAST(n * sq - sum * sum AS DOUBLE) / CAST(n * n AS DOUBLE) ELSE 0 END, 4) AS variance FROM f LEFT JOIN s ON s.page_id = f.page_id""")
+def binary_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frames = table(spark, sf_dir, "pages").select("page_id", F.encode("html", "utf-8").alias("plane"))
+    return bands.with_binary_quality(frames, "plane").select("page_id", "n", "clipped", F.round("variance", 4).alias("variance"))
+
+
 @query(f"""WITH {PLANE_SQL}, l AS (SELECT vec_id, label, lag(vec_id) OVER (PARTITION BY label ORDER BY vec_id) AS before FROM embeddings),
     d AS (SELECT l.vec_id, CAST(sum(abs(a.v - b.v)) AS FLOAT) / CAST(count(*) AS FLOAT) AS diff FROM l JOIN planes a ON a.vec_id = l.vec_id JOIN planes b ON b.vec_id = l.before AND b.idx = a.idx WHERE a.idx % 16 = 0 GROUP BY l.vec_id)
     SELECT l.vec_id, round(CAST(coalesce(d.diff * CAST(0.1 AS FLOAT), 0) AS DOUBLE), 4) AS delta, coalesce(d.diff < 2, TRUE) AS is_tripod FROM l LEFT JOIN d USING (vec_id)""")
