@@ -95,3 +95,24 @@ OP13 = f"""
     coded AS (SELECT row_id, string_agg(printf('%02x', CAST(best AS BIGINT) % 256), '' ORDER BY p) AS code, CAST(sum(CAST(best AS BIGINT) // 256) AS BIGINT) AS error FROM near4 GROUP BY row_id),
     told AS (SELECT sha256(string_agg(CAST(CAST(v AS BIGINT) AS VARCHAR), ',' ORDER BY p, e, j)) AS codebooks_sha256 FROM (SELECT p, e, unnest(c) AS v, generate_subscripts(c, 1) AS j FROM book4))
     SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM kept JOIN coded USING (row_id), told"""
+
+
+def _places(words: str) -> str:
+    """Where these words stand one after another in ``w``, from 0."""
+    parts = words.split()
+    return f"list_filter(range(0, len(w) - {len(parts) - 1}), lambda i: list_slice(w, i + 1, i + {len(parts)}) = {parts})"
+
+
+LICENSE_BASE = f"""
+    WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UP}', '{LO}'), '{W}') AS w FROM documents),
+    p AS (SELECT doc_id, len(w) AS n_words, {_places('under the mit license')} AS m, {_places('apache license version 2')} AS a, {_places('cc by nc')} AS c FROM d)
+    SELECT doc_id, n_words, len(m) + len(a) + len(c) AS n_base, list_min(list_concat(m, a, c)) AS first_word, list_max(list_concat(m, a, c)) AS last_word,
+        array_to_string(list_filter([CASE WHEN len(a) > 0 THEN 'apache-2' END, CASE WHEN len(c) > 0 THEN 'cc-by-nc' END, CASE WHEN len(m) > 0 THEN 'mit' END], lambda x: x IS NOT NULL), ',') AS base_labels FROM p"""
+URL_RULES = f"""
+    WITH p AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), '{UP}', '{LO}') AS host, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages)
+    SELECT page_id, host, path, CASE WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/en/1') THEN 'example.org/en/1' WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/es/') THEN 'example.org/es/'
+        WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/fr/') THEN 'com/fr/' WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/de/') THEN 'com/de/' WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/') THEN 'org/' END AS rule FROM p"""
+EDITED = """
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER (ORDER BY doc_id NULLS FIRST, text) AS i FROM documents),
+    n AS (SELECT d.doc_id, d.text, length(d.text) AS n, f.text AS following FROM d JOIN d f ON f.i = CASE WHEN d.i = (SELECT max(i) FROM d) THEN 1 ELSE d.i + 1 END)
+    SELECT doc_id, n AS n_chars, sha256(left(text, n - n // 4) || left(following, n // 4)) AS edited_sha256 FROM n"""

@@ -73,6 +73,21 @@ def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.product_codes(table(spark, sf_dir, "embeddings"))
 
 
+def license_base_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What ``op2_licenses`` returns of the fixed phrases alone, which SQL can express."""
+    return op2_licenses(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+def url_fixed_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What ``op5_url_rules`` returns of the fixed rules alone."""
+    return op5_url_rules(spark, sf_dir).select("page_id", "host", "path", "rule")
+
+
+def edited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What ``op8_fingerprints`` returns of the texts themselves."""
+    return op8_fingerprints(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_licenses": op2_licenses,
@@ -87,6 +102,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op11_token_counts": op11_token_counts,
     "op12_conversation_repair": op12_conversation_repair,
     "op13_vector_codes": op13_vector_codes,
+    "license_base_labels": license_base_labels,
+    "url_fixed_rules": url_fixed_rules,
+    "edited_texts": edited_texts,
 }
 ORACLES: dict[str, str] = {
     "op4_near_dups": oracles.OP4,
@@ -94,4 +112,7 @@ ORACLES: dict[str, str] = {
     "op9_warc": oracles.OP9,
     "op12_conversation_repair": oracles.OP12,
     "op13_vector_codes": oracles.OP13,
+    "license_base_labels": oracles.LICENSE_BASE,
+    "url_fixed_rules": oracles.URL_RULES,
+    "edited_texts": oracles.EDITED,
 }

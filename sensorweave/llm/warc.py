@@ -146,39 +146,80 @@ class _Source:
             offset += max(1, len(piece) - 16)
         return self.size
 
-    def member(self, offset: int) -> tuple[bytes, int]:
-        """The content of the gzip member at ``offset`` and its end; its checksum holds."""
-        unpacker, out, at = zlib.decompressobj(31), [], offset
+    def member(self, offset: int) -> tuple[bytes, int, str]:
+        """The content of the gzip member at ``offset``, its end, and what is wrong with it.
+
+        Of a member that is cut off or damaged it is the content up to there, in small steps.
+        """
+        for step in (PIECE, 256):
+            unpacker, out, at = zlib.decompressobj(31), [], offset
+            try:
+                while not unpacker.eof:
+                    piece = self.at(at, step)
+                    if not piece:
+                        return b"".join(out), self.size, "member is cut off"
+                    out.append(unpacker.decompress(piece))
+                    if at == offset and out[0] and not b"WARC/"[: len(out[0])] == out[0][:5]:
+                        raise Damaged("member is no record")
+                    at += len(piece)
+                return b"".join(out), at - len(unpacker.unused_data), ""
+            except zlib.error as error:
+                wrong = f"member: {error}"
+        return b"".join(out), at, wrong
+
+
+def records_within(data: bytes, offset: int, proven: bool) -> tuple[list[Record], str]:
+    """The records in the content of a member, and why bytes between them are lost.
+
+    After a failed check it goes on at the next version line.  With ``proven`` only records whose own
+    digest holds count, as those of a damaged member.
+    """
+    found, at, reason = [], 0, ""
+    while at < len(data):
         try:
-            while not unpacker.eof:
-                piece = self.at(at)
-                if not piece:
-                    raise Damaged("member is cut off")
-                out.append(unpacker.decompress(piece))
-                if at == offset and out[0] and not b"WARC/"[: len(out[0])] == out[0][:5]:
-                    raise Damaged("member is no record")
-                at += len(piece)
-        except zlib.error as error:
-            raise Damaged(f"member: {error}") from None
-        return b"".join(out), at - len(unpacker.unused_data)
+            record, n = parse_record(data[at:] if at else data, offset)
+            if proven and not record.headers.get("warc-block-digest", "").startswith("sha256:"):
+                raise Damaged("record of a damaged member has no digest")
+            found.append(record)
+            at += n
+        except Damaged as error:
+            reason = reason or f"{error}, at {at} of the member's content"
+            later = _LINE.search(data, at + 1)
+            at = later.start() if later else len(data)
+    return found, reason
 
 
+_LINE = re.compile(rb"WARC/1\.[01]\r\n")
 _BEGIN = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n")
 
 
 def read_archive(handle, size: int) -> Iterator[Record | Gap]:
-    """All records that pass their checks, and the gaps between them, in order of their place."""
+    """All records that pass their checks, and the gaps between them, in order of their place.
+
+    Of a member with several records those that pass stay, and the gap names the member's bytes; of a
+    member that is damaged or cut off, those that were complete and prove themselves by their digest.
+    """
     source, at, lost, reason = _Source(handle, size), 0, None, ""
     while at < size:
         try:
             found: list[Record] = []
             if source.at(at, 3) == _MAGIC:
-                data, end = source.member(at)
-                used = 0
-                while used < len(data):
-                    record, n = parse_record(data[used:] if used else data, at)
-                    found.append(record)
-                    used += n
+                data, end, wrong = source.member(at)
+                found, reason_within = records_within(data, at, proven=bool(wrong))
+                if wrong or (reason_within and not found):
+                    if found and lost is not None:
+                        yield Gap(lost, at, reason)
+                        lost = None
+                    yield from found
+                    raise Damaged(wrong or reason_within)
+                if reason_within:  # the member stands, but not all that is in it
+                    if lost is not None:
+                        yield Gap(lost, at, reason)
+                        lost = None
+                    yield from found
+                    yield Gap(at, end, reason_within)
+                    at = end
+                    continue
             else:
                 n, data = PIECE, source.at(at, 16)
                 if not _VERSION.match(data):

@@ -149,6 +149,31 @@ def test_salvage():
         assert damaged([b"no archive"], lambda d, p: None) == ([], 10)
 
 
+def test_salvage_inside_members():
+    records = [W.build_record(i, f"http://a/{i}", bytes(range(256)) * 20, W._hex(bytes(range(256)) * 20), None) for i in range(5)]
+
+    def read(data):
+        found = list(W.read_archive(io.BytesIO(data), len(data)))
+        return [x.headers["warc-page-id"] for x in found if isinstance(x, W.Record)], [(x.start, x.end) for x in found if isinstance(x, W.Gap)]
+
+    bad = bytearray(records[2])
+    bad[-20] ^= 0xFF
+    held = W.compress_member(b"".join([*records[:2], bytes(bad), *records[3:]]))
+    after = W.compress_member(records[0])
+    assert read(held + after) == (["0", "1", "3", "4", "0"], [(0, len(held))])
+    no_line = W.compress_member(b"".join([*records[:2], b"zzzz" + records[2][4:], *records[3:]]))
+    assert read(no_line) == (["0", "1", "3", "4"], [(0, len(no_line))])
+    rng = np.random.default_rng(1)
+    noise = [W.build_record(i, "u", x, W._hex(x), None) for i, x in enumerate(rng.integers(0, 256, (5, 9000)).astype(np.uint8).tobytes()[k * 9000 : k * 9000 + 9000] for k in range(5))]
+    whole = W.compress_member(b"".join(noise))
+    cut = whole[: len(whole) * 7 // 10]
+    assert read(cut) == (["0", "1", "2"], [(0, len(cut))])
+    broken = bytearray(whole)
+    broken[len(whole) * 9 // 10] ^= 0xFF
+    ids, gaps = read(bytes(broken) + after)
+    assert ids[:3] == ["0", "1", "2"] and ids[-1] == "0" and gaps[0][0] == 0
+
+
 def test_large_ids_among_nulls_lose_no_row(spark):
     import random
 

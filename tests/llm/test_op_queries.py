@@ -19,6 +19,9 @@ COLUMNS = {
     "op11_token_counts": "doc_id n_bytes n_tokens over_limit",
     "op12_conversation_repair": "conv_id gaps blank duplicate truncated illegal cost audit repaired_sha256",
     "op13_vector_codes": "vec_id code error label_error codebooks_sha256",
+    "license_base_labels": "doc_id n_words n_base first_word last_word base_labels",
+    "url_fixed_rules": "page_id host path rule",
+    "edited_texts": "doc_id n_chars edited_sha256",
 }
 
 
