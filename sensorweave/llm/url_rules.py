@@ -1,7 +1,7 @@
 """URL filters: fixed host-and-path rules, then association rules mined from labelled URLs.
 
 URLs become sets of tokens (host labels and their parts, suffixes of the host, path parts, query
-keys).  FP-growth mines token sets that occur with a blocking label; rules of enough support and
+keys).  FP-growth mines sets of up to three tokens that occur with a blocking label; rules of enough support and
 confidence are kept, and a rule that contains another kept rule is redundant.  Each rule is filed under
 its rarest token (an inverted index), so a URL meets only rules whose rarest token it holds, and then
 has to hold the others.
@@ -10,11 +10,13 @@ DataFrame operations and Spark's own FP-growth only.  Equal URLs get equal verdi
 are made once per distinct URL.
 
 Defined results: a null URL, or one without ``://``, has empty host and path, fits no rule and is
-allowed; without labelled URLs of both kinds nothing is mined.
+allowed; without labelled URLs of both kinds nothing is mined; repeated rows count each and are judged
+alike; an empty table gives no rows; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.ml.fpm import FPGrowth
@@ -28,7 +30,8 @@ BLOCKED = "verdict=block"
 ALLOWED = "verdict=allow"
 MIN_SUPPORT = 0.002
 MIN_CONFIDENCE = 0.9
-MAX_TOKENS = 3
+#: Items of a row from which on it is mined as its pairs and triples.
+LONG = 10
 
 
 @dataclass(frozen=True)
@@ -87,24 +90,57 @@ def tokens(url: str = "url") -> Column:
     return F.when(F.col("host") == "", F.array().cast("array<string>")).otherwise(F.array_distinct(found))
 
 
-def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, max_tokens: int = MAX_TOKENS, tables: Tables | None = None) -> DataFrame:
-    """Blocking rules (antecedent, token, confidence, support) from rows of ``tokens`` and ``verdict``.
+def _up_to(items: Column, size: int) -> Column:
+    """Baskets in which FP-growth meets each set of ``size`` items of the row once: the row itself, or all such sets of a long row."""
+    pairs = F.flatten(F.transform(items, lambda x, i: F.transform(F.slice(items, i + 2, F.size(items)), lambda y: F.array(x, y))))
+    sets = pairs
+    if size == 3:
+        sets = F.flatten(F.transform(items, lambda x, i: F.flatten(F.transform(F.slice(items, i + 2, F.size(items)), lambda y, j: F.transform(F.slice(items, i + j + 3, F.size(items)), lambda z: F.array(x, y, z))))))
+    return F.when(F.size(items) <= LONG, F.array(items)).otherwise(sets)
 
-    ``token`` is the rarest of the antecedent, under which the rule is filed.
+
+def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, tables: Tables | None = None) -> DataFrame:
+    """Blocking rules (antecedent, token, confidence, support) of up to three tokens from rows of ``tokens`` and ``verdict``.
+
+    ``token`` is the rarest of the antecedent, under which the rule is filed.  Rules of one token are
+    counted first.  Their tokens, and those too rare among blocked rows, cannot be in another rule that
+    says something new, so FP-growth gets the others; tokens that stand in the same rows (two sums over
+    the rows' hashes tell) are one item to it, as one of them says what all do.  Rows of more than ``LONG`` items are
+    given as their pairs and triples, so no row costs more than the cube of its length.
     """
     tables = tables or Tables(labelled.sparkSession, "url-rules")
-    baskets = labelled.where(F.size("tokens") > 0).select(F.concat("tokens", F.array(F.when(F.col("verdict") == "block", BLOCKED).otherwise(ALLOWED))).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(tables.add(baskets))
-    rules = model.associationRules.where((F.element_at("consequent", 1) == BLOCKED) & (F.size("antecedent") <= max_tokens) & ~F.array_contains("antecedent", ALLOWED)).select(F.array_sort("antecedent").alias("antecedent"), "confidence", "support")
-    rules = tables.add(rules)
-    # a rule whose tokens include those of a shorter kept rule says nothing more: look up its proper parts
-    part = rules.where(F.size("antecedent") > 1).select("antecedent", F.explode("antecedent").alias("left_out"))
-    parts = part.select("antecedent", F.explode(F.array_distinct(F.concat(F.array(F.array_remove("antecedent", F.col("left_out"))), F.transform("antecedent", lambda x: F.array(x))))).alias("part"))
-    redundant = parts.join(rules.select(F.col("antecedent").alias("part")), "part", "left_semi").select("antecedent").distinct()
-    kept = rules.join(redundant, "antecedent", "left_anti")
-    single = model.freqItemsets.where(F.size("items") == 1).select(F.element_at("items", 1).alias("token"), "freq")
-    filed = kept.select("*", F.explode("antecedent").alias("token")).join(single, "token")
-    return filed.groupBy("antecedent").agg(F.min_by("token", F.struct("freq", "token")).alias("token"), F.first("confidence").alias("confidence"), F.first("support").alias("support"))
+    rows = tables.add(labelled.where(F.size("tokens") > 0).select(F.monotonically_increasing_id().alias("row"), "tokens", (F.col("verdict") == "block").alias("blocked")))
+    n = rows.count()
+    least = math.ceil(min_support * n)
+    mark = [F.sum(F.xxhash64("row", F.lit(seed)).cast("decimal(20,0)")).alias(f"h{seed}") for seed in (1, 2)]
+    counted = tables.add(rows.select("row", "blocked", F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"), F.count_if("blocked").alias("hits"), *mark).where(F.col("hits") >= max(least, 1)))
+    confidence = F.col("hits") / F.col("n")
+    single = counted.where(confidence >= min_confidence).select(F.array("token").alias("antecedent"), "token", confidence.alias("confidence"), (F.col("hits") / n).alias("support"))
+    alike = tables.add(counted.where(confidence < min_confidence).groupBy("n", "hits", "h1", "h2").agg(F.min("token").alias("item"), F.collect_list("token").alias("tokens")).select("item", "tokens"))
+    # of blocked and allowed rows alike, as sets of items; rows of fewer than two items make no further rule
+    items = small_side(alike.select(F.col("item").alias("token"), F.col("item")))
+    short = rows.select("row", "blocked", F.explode("tokens").alias("token")).join(items, "token").groupBy("row", "blocked").agg(F.array_sort(F.collect_list("item")).alias("items")).where(F.size("items") > 1)
+    verdict = F.when(F.col("blocked"), BLOCKED).otherwise(ALLOWED)
+    tagged = [short.select(verdict.alias("verdict"), F.explode(_up_to(F.col("items"), k)).alias("set"), F.lit(f"{k}|").alias("tag")) for k in (2, 3)]
+    baskets = tables.add(tagged[0].unionByName(tagged[1]).select(F.concat(F.transform("set", lambda x: F.concat("tag", x)), F.array("verdict")).alias("items")))
+    of = baskets.count()
+    if not of:
+        return single
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(least - 0.5, 0.5) / of), minConfidence=min_confidence).fit(baskets)
+    size = F.size("antecedent")
+    found = model.associationRules.where((F.element_at("consequent", 1) == BLOCKED) & (size > 1) & ~F.array_contains("antecedent", ALLOWED) & F.forall("antecedent", lambda x: F.startswith(x, F.concat(size.cast("string"), F.lit("|")))))
+    rules = tables.add(found.select(F.array_sort(F.transform("antecedent", lambda x: F.substring(x, 3, 1_000_000))).alias("antecedent"), "confidence", (F.col("support") * of / n).alias("support")))
+    # a rule of three whose pairs hold a rule says nothing more
+    part = rules.where(size == 3).select("antecedent", F.explode("antecedent").alias("left_out")).select("antecedent", F.array_remove("antecedent", F.col("left_out")).alias("part"))
+    redundant = part.join(rules.select(F.col("antecedent").alias("part")), "part", "left_semi").select("antecedent").distinct()
+    kept = rules.join(redundant, "antecedent", "left_anti").select("antecedent", "confidence", "support", F.posexplode("antecedent").alias("at", "item"))
+    # each item stands for the tokens alike: a rule for each choice of them
+    chosen = kept.join(alike, "item").groupBy("antecedent", "confidence", "support").agg(F.array_sort(F.collect_list(F.struct("at", "tokens"))).alias("parts"))
+    every = F.aggregate("parts", F.array(F.array().cast("array<string>")), lambda acc, p: F.flatten(F.transform(acc, lambda s: F.transform(p["tokens"], lambda t: F.array_append(s, t)))))
+    spelled = chosen.select("confidence", "support", F.explode(every).alias("antecedent")).withColumn("antecedent", F.array_sort("antecedent"))
+    filed = spelled.select("*", F.explode("antecedent").alias("token")).join(counted.select("token", "n"), "token")
+    filed = filed.groupBy("antecedent").agg(F.min_by("token", F.struct("n", "token")).alias("token"), F.first("confidence").alias("confidence"), F.first("support").alias("support"))
+    return single.unionByName(filed)
 
 
 def judge(pages: DataFrame, key: str = "page_id", url: str = "url", rules: tuple[UrlRule, ...] = RULES) -> DataFrame:
