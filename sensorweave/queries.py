@@ -2,7 +2,7 @@
 
 Each query applies an operator to the driver's tables as an analog of sensor and frame data: events
 stand for samples, logs and frames, embeddings for small image planes, orders and parts for keys and
-sizes.  Catalog queries use the fixed tables alone.
+sizes.  Fixed catalogs are only looked up in.
 """
 
 from __future__ import annotations
