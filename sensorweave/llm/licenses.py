@@ -9,7 +9,9 @@ The rules come from lists of license families, versions and ways of naming them.
 without a shuffle: rules are applied inside a row, whatever the number of its detections.
 
 Defined results: a null, empty or wordless text has no detection (null first_word and last_word, empty
-labels, score 0); texts of any length are scanned whole; repeated rows are scanned each.
+labels, score 0); texts of any length are scanned whole; repeated rows are scanned each; of like
+detections (equal label, place, priority and weight) one is kept; other columns, whatever their names,
+are left out by ``scan``, while ``detections`` keeps them but for ``n_words`` and ``found``, which it sets.
 """
 
 from __future__ import annotations
@@ -38,6 +40,90 @@ _BASE_KEYWORDS = {"mit": "license", "apache-2": "apache", "cc-by-nc": "cc"}
 
 _LATER = {"": "", " or later": "-or-later", " or any later version": "-or-later", " only": "-only"}
 
+#: Tails of short names: "gpl 2 or later".
+_TAILS = {"-or-later": "or (?:any )?(?:later|newer|greater|above)(?: versions?)?", "-only": "only"}
+
+#: Words by which a line or sentence says that what follows is a license.
+_FIELD = "(?:licen[cs]ed?|licen[cs]es|licen[cs]ing) (?:(?:is|type|name|under|by|the|a|terms|of) ){0,4}"
+#: A name that no version follows.
+_UNVERSIONED = "(?! (?:version |v ?)?[0-9])"
+_RELEASED = "(?:released|distributed|available|published|provided|licen[cs]ed) under (?:the )?(?:terms of )?(?:the )?"
+
+#: Addresses at which licenses are published: label, keyword, pattern.
+ADDRESSES = [
+    ("mit", "opensource", "opensource org licenses? (?:alphabetical )?mit"),
+    ("isc", "opensource", "opensource org licenses? isc"),
+    ("zlib", "opensource", "opensource org licenses? zlib"),
+    ("bsd-2-clause", "opensource", "opensource org licenses? bsd 2 clause"),
+    ("bsd-3-clause", "opensource", "opensource org licenses? bsd 3 clause"),
+    ("bsd", "opensource", "opensource org licenses? bsd"),
+    ("0bsd", "opensource", "opensource org licenses? 0bsd"),
+    ("apache-2", "opensource", "opensource org licenses? apache 2 0"),
+    ("gpl-2", "opensource", "opensource org licenses? gpl 2 0"),
+    ("gpl-3", "opensource", "opensource org licenses? gpl 3 0"),
+    ("lgpl-2-1", "opensource", "opensource org licenses? lgpl 2 1"),
+    ("lgpl-3", "opensource", "opensource org licenses? lgpl 3 0"),
+    ("agpl-3", "opensource", "opensource org licenses? agpl 3 0"),
+    ("mpl-2", "opensource", "opensource org licenses? mpl 2 0"),
+    ("epl-1", "opensource", "opensource org licenses? epl 1 0"),
+    ("epl-2", "opensource", "opensource org licenses? epl 2 0"),
+    ("cddl-1", "opensource", "opensource org licenses? cddl 1 0"),
+    ("artistic-2", "opensource", "opensource org licenses? artistic 2 0"),
+    ("ms-pl", "opensource", "opensource org licenses? ms pl"),
+    ("unlicense", "opensource", "opensource org licenses? unlicense"),
+    ("postgresql", "opensource", "opensource org licenses? postgresql"),
+    ("ncsa", "opensource", "opensource org licenses? ncsa"),
+    ("apache-2", "apache", "apache org licenses license 2 0"),
+    ("apache-1-1", "apache", "apache org licenses license 1 1"),
+    ("apache-1", "apache", "apache org licenses license 1 0"),
+    ("mpl-2", "mozilla", "mozilla org (?:en us )?mpl 2 0"),
+    ("mpl-1-1", "mozilla", "mozilla org mpl mpl 1 1"),
+    ("epl-1", "eclipse", "eclipse org legal epl v10"),
+    ("epl-2", "eclipse", "eclipse org legal epl (?:2 0|v20)"),
+    ("unlicense", "unlicense", "unlicense org"),
+    ("bsl-1", "boost", "boost org license 1 0"),
+    ("wtfpl", "wtfpl", "wtfpl net"),
+    ("ofl", "sil", "scripts sil org ofl"),
+    ("odbl-1", "opendatacommons", "opendatacommons org licenses odbl(?: 1 0)?"),
+    ("cc0-1-0", "creativecommons", "creativecommons org publicdomain zero 1 0"),
+    ("cc-pddc", "creativecommons", "creativecommons org (?:publicdomain mark 1 0|licenses publicdomain)"),
+    ("gpl", "gnu", "gnu org (?:copyleft|licenses) gpl"),
+    ("lgpl", "gnu", "gnu org (?:copyleft|licenses) (?:lgpl|lesser)"),
+    ("agpl", "gnu", "gnu org licenses agpl"),
+    ("gfdl", "gnu", "gnu org (?:copyleft|licenses) fdl"),
+]
+
+#: Short forms in use: label, keyword, pattern.
+SHORT = [
+    ("apache-2", "apache", "apache (?:licen[cs]e )?2 0(?! (?:server|httpd|web|module|handler|config))"),
+    ("apache-2", "apache", "apache (?:licen[cs]e )?(?:version |v ?)2(?: 0)?(?! (?:server|httpd|web|module|handler|config))"),
+    ("apache-2", "apache", "(?:under|licen[cs]ed?) (?:the )?apache 2(?: 0)?"),
+    ("apache-2", "apache", "apache 2 licen[cs]ed?"),
+    ("apache-2", "apachev2", "apachev2"),
+    ("apache-2", "apache2", "(?:under|licen[cs]ed?) (?:the )?apache2"),
+    ("apache-2", "asl", "asl 2 0"),
+    ("mit", "mit", "mit licen[cs]ed"),
+    ("mit", "mit", "mit or apache"),
+    ("mit", "mit", "apache 2 0 or mit"),
+    ("mit", "mit", "mit x11 licen[cs]e"),
+    ("mit", "expat", "licen[cs]e expat"),
+    ("isc", "isc", "isc licen[cs]ed"),
+    ("bsd", "bsd", "bsd licen[cs]ed"),
+    ("bsd", "bsd", "bsd style licen[cs]e"),
+    ("bsd-3-clause", "bsd", "(?:new|modified|revised) bsd licen[cs]e"),
+    ("bsd-2-clause", "bsd", "simplified bsd licen[cs]e"),
+    ("bsd-4-clause", "bsd", "(?:original|old) bsd licen[cs]e"),
+    ("gpl", "gpl", "gpl licen[cs]ed?"),
+    ("lgpl", "lgpl", "lgpl licen[cs]ed?"),
+    ("agpl", "agpl", "agpl licen[cs]ed?"),
+    ("gpl", "copyleft", "gnu copyleft"),
+    ("unlicense", "unlicense", "licen[cs]ed? (?:under )?(?:the )?unlicense"),
+    ("cc0-1-0", "cc0", "cc0 1 0 universal"),
+    ("cc0", "creative", "creative commons zero"),
+    ("cc-pddc", "domain", "(?:placed|released) (?:in|into) the public domain"),
+    ("proprietary", "proprietary", "licen[cs]e proprietary"),
+    ("proprietary", "unlicensed", "licen[cs]e unlicensed"),
+]
 
 #: Sentences by which the texts and notices of licenses are known: label, keyword, pattern.
 TEXTS = [
@@ -87,6 +173,29 @@ def _versioned(names: dict[str, list[str]], versions: list[str], forms: list[str
     return out
 
 
+def _short(name: str, version: str) -> str:
+    """Short forms of a name and version.  A whole number alone is a version only where words about licenses stand by it."""
+    if not version.endswith(".0"):
+        return f"{name} (?:version |v ?)?{version.replace('.', ' ')}"
+    n = version[:-2]
+    return f"(?:{name} (?:version |v ?){n}(?: 0)?|{name} {n} 0|(?:under|licen[cs]ed?|gnu) (?:the )?(?:gnu )?{name} {n}|{name} {n} (?:licen[cs]ed?|compatible))"
+
+
+def _notices(label: str, spoken: str, version: str) -> list[Rule]:
+    """The notice by which the free licenses are put on a program, with and without later versions."""
+    said = version.replace(".", " ") if not version.endswith(".0") else f"{version[:-2]}(?: 0)?"
+    program = "(?:this (?:[^ ]+ ){1,3}?is free software you can redistribute it and or modify it )?"
+    named = f"{program}under the terms of (?:version {said} of the {spoken}|the {spoken}(?: as published by the free software foundation)? (?:either )?version {said})(?: as published by the free software foundation)?(?: either)?(?: of the licen[cs]e)?"
+    return [Rule(f"{label}-or-later", "gnu", f"{named} or (?:at your option )?(?:any )?later(?: version)?", 50, 1.0), Rule(label, "gnu", named, 45, 1.0), Rule(f"{label}-only", "gnu", f"{named} only", 50, 1.0)]
+
+
+def _identifier(label: str) -> str:
+    """The words of a label as an identifier says them: a lone whole version may have a zero after it."""
+    said = label.split("-")
+    numbers = [x for x in said if x.isdigit()]
+    return " ".join(f"{x}(?: 0)?" if x.isdigit() and len(numbers) == 1 else x for x in said)
+
+
 def build_rules() -> list[Rule]:
     """All rules, the most specific ones first."""
     found: list[Rule] = [Rule(label, _BASE_KEYWORDS[label], phrase, 0, 0.9, True) for phrase, label in BASE.items()]
@@ -99,15 +208,22 @@ def build_rules() -> list[Rule]:
         for name in names:
             found.append(Rule(family, "gnu", name, 10, 0.8))
         for version in gnu_versions[family]:
-            short = version.removesuffix(".0").replace(".", " ")
-            found += [Rule(f"{family}-{short.replace(' ', '-')}", f"{family}v{short.split()[0]}", f"{family}v{short}", 30, 0.9), Rule(f"{family}-{short.replace(' ', '-')}", family, f"{family} (?:version |v ?)?{short}", 30, 0.9)]
+            label, joined = f"{family}-{version.removesuffix('.0').replace('.', '-')}", f"{family}v{version.split('.')[0]}"
+            rest = "(?: 0)?" if version.endswith(".0") else f" {version.split('.')[1]}"
+            whole = f"{family} (?:version |v ?)?{version.split('.')[0]}{rest}"
+            found += [Rule(label, joined, f"{joined}{rest}", 30, 0.9), Rule(label, family, _short(family, version), 30, 0.9)]
+            found += [Rule(label + tail, keyword, f"{pattern} {said}", 40, 1.0) for tail, said in _TAILS.items() for keyword, pattern in ((joined, f"{joined}{rest}"), (family, whole))]
+            found.append(Rule(label, "gnu", f"gnu org licenses (?:old licenses )?{'fdl' if family == 'gfdl' else family} {version.replace('.', ' ')}", 30, 0.9))
+            if family != "gfdl":
+                found += [rule for name in names if name.endswith("license") for rule in _notices(label, name, version)]
     parts = {"by": "attribution", "sa": "share ?alike", "nc": "non ?commercial", "nd": "no ?deriv(?:ative)?s?"}
     for kind in (["by"], ["by", "sa"], ["by", "nc"], ["by", "nd"], ["by", "nc", "sa"], ["by", "nc", "nd"]):
         label, long = "cc-" + "-".join(kind), " ".join(parts[k] for k in kind)
         for version in ("1.0", "2.0", "2.5", "3.0", "4.0"):
             said = version.replace(".", " ")
             found.append(Rule(f"{label}-{version.replace('.', '-')}", "cc", f"cc {' '.join(kind)} {said}", 30 + len(kind), 1.0))
-            found.append(Rule(f"{label}-{version.replace('.', '-')}", "creative", f"creative commons {long} {said}", 30 + len(kind), 1.0))
+            found.append(Rule(f"{label}-{version.replace('.', '-')}", "creative", f"creative commons {long} (?:(?:international|generic|unported|licen[cs]e) )?{said}", 30 + len(kind), 1.0))
+            found.append(Rule(f"{label}-{version.replace('.', '-')}", "creativecommons", f"creativecommons org licenses? {' '.join(kind)} {said}", 30 + len(kind), 1.0))
         found += [Rule(label, "cc", f"cc {' '.join(kind)}", 10 + len(kind), 0.8), Rule(label, "creative", f"creative commons {long}", 10 + len(kind), 0.8)]
     found += [Rule("cc0-1-0", "cc0", "cc0(?: 1 0)?", 20, 0.9), Rule("cc-pddc", "public", "dedicated to the public domain", 20, 0.7)]
     plain = {"apache": (["apache software license", "apache license"], ["1.0", "1.1", "2.0"]), "mpl": (["mozilla public license"], ["1.0", "1.1", "2.0"]), "epl": (["eclipse public license"], ["1.0", "2.0"]), "cddl": (["common development and distribution license"], ["1.0", "1.1"]),
@@ -121,10 +237,12 @@ def build_rules() -> list[Rule]:
             found.append(Rule(family, keyword, name, 10, 0.8))
     for family in ("mpl", "epl", "cddl", "eupl", "osl", "afl", "cpl", "lppl", "odbl", "ofl"):  # acronyms in use
         for version in plain[family][1]:
-            said = version.removesuffix(".0").replace(".", " ")
-            found.append(Rule(f"{family}-{said.replace(' ', '-')}", family, f"{family} (?:version |v ?)?{said}(?: 0)?" if version.endswith(".0") else f"{family} (?:version |v ?)?{said}", 30, 0.9))
-        found += [Rule(family, family, f"(?:under|by) (?:the )?(?:terms of the )?{family}", 10, 0.8), Rule(family, family, f"{family} licen[cs]ed?", 10, 0.8)]
+            found.append(Rule(f"{family}-{version.removesuffix('.0').replace('.', '-')}", family, _short(family, version), 30, 0.9))
+        found += [Rule(family, family, f"(?:under|by) (?:the )?(?:terms of the )?{family}{_UNVERSIONED}", 10, 0.8), Rule(family, family, f"{family} licen[cs]ed?", 10, 0.8)]
     found += [Rule(label, keyword, pattern, 40, 0.9) for label, keyword, pattern in TEXTS]
+    found += [Rule(label, keyword, pattern, 15 if label.isalpha() else 30, 0.9) for label, keyword, pattern in ADDRESSES + SHORT]
+    for family in ("mit", "isc", "bsd", "zlib", "apache", "gpl", "lgpl", "agpl", "gfdl", "mpl", "epl", "cddl", "eupl", "wtfpl", "unlicense", "ncsa", "x11", "cc0"):
+        found += [Rule(family, family, f"{said}{family}{_UNVERSIONED}", 10, 0.7) for said in (_FIELD, _RELEASED)]
     for count, word in (("0", "zero"), ("1", "one"), ("2", "two"), ("3", "three"), ("4", "four")):
         found += [Rule(f"bsd-{count}-clause", "bsd", f"bsd {count} clause", 30, 1.0), Rule(f"bsd-{count}-clause", "bsd", f"{count} clause bsd(?: licen[cs]e)?", 30, 1.0), Rule(f"bsd-{count}-clause", "bsd", f"{word} clause bsd(?: licen[cs]e)?", 30, 1.0)]
     found += [Rule("bsd", "bsd", "bsd licen[cs]e", 10, 0.8), Rule("bsd-2-clause", "freebsd", "freebsd licen[cs]e", 30, 0.9), Rule("bsd-3-clause", "redistribution", "redistribution and use in source and binary forms", 10, 0.7)]
@@ -139,14 +257,20 @@ def build_rules() -> list[Rule]:
     for label, spoken in (("all-rights-reserved", "all rights reserved"), ("proprietary", "proprietary and confidential")):
         found.append(Rule(label, spoken.split()[-1], spoken, 5, 0.5))
     spdx = sorted({r.label for r in found if not r.base})
-    found += [Rule(label, "spdx", f"spdx licen[cs]e identifier {label.replace('-', ' ')}", 60, 1.0) for label in spdx]
+    found += [Rule(label, "spdx", f"spdx licen[cs]e identifier {_identifier(label)}", 60, 1.0) for label in spdx]
     return sorted(dict.fromkeys(found), key=lambda r: (-r.priority, r.label, r.pattern, r.keyword))
 
 
-def _array(rules: list[Rule]) -> Column:
-    """The rules as a constant array of structs."""
-    quoted = [f"named_struct('label','{r.label}','keyword','{r.keyword}','pattern','(?<= )(?:{r.pattern})(?= )','priority',{r.priority},'weight',{r.weight}D,'base',{str(r.base).lower()})" for r in rules]
-    return F.expr(f"array({','.join(quoted)})")
+def _by_keyword(rules: list[Rule]) -> Column:
+    """The rules as a constant map from a keyword to its rules."""
+
+    def quoted(r: Rule) -> str:
+        return f"named_struct('label','{r.label}','keyword','{r.keyword}','pattern','(?<= )(?:{r.pattern})(?= )','priority',{r.priority},'weight',{r.weight}D,'base',{str(r.base).lower()})"
+
+    groups: dict[str, list[Rule]] = {}
+    for r in rules:
+        groups.setdefault(r.keyword, []).append(r)
+    return F.expr("map(" + ",".join(f"'{k}',array({','.join(map(quoted, held))})" for k, held in groups.items()) + ")")
 
 
 def _spaces(text: Column) -> Column:
@@ -177,7 +301,7 @@ def detections(df: DataFrame, text: str = "text", rules: list[Rule] | None = Non
     none = F.array().cast("array<struct<label:string,a:int,b:int,priority:int,weight:double,base:boolean>>")
     df = df.withColumn("_words", words(text)).withColumn("_keys", F.array_intersect("_words", keywords))
     df = df.withColumn("_joined", F.when(F.size("_keys") > 0, F.concat(F.lit(" "), F.array_join("_words", " "), F.lit(" "))))
-    due = F.filter(_array(rules), lambda r: F.array_contains("_keys", r["keyword"]))
+    due = F.flatten(F.transform("_keys", lambda k: F.element_at(_by_keyword(rules), k)))
     df = df.withColumn("_all", F.when(F.size("_keys") > 0, F.array_distinct(F.flatten(F.transform(due, lambda r: _places(r, F.col("_joined")))))).otherwise(none))
 
     def suppressed(x: Column) -> Column:

@@ -42,14 +42,20 @@ def test_base_phrases_against_brute_force(spark):
     assert licenses.scan(empty(spark)).count() == 0
 
 
-@pytest.mark.parametrize(
-    ("text", "labels"),
-    [("GNU General Public License, version 3 or later", "gpl-3-or-later"), ("under the GNU Lesser General Public License v2.1", "lgpl-2-1"), ("CC BY-NC-SA 4.0", "cc-by-nc,cc-by-nc-sa-4-0"), ("SPDX-License-Identifier: MIT", "mit"), ("3-clause BSD license", "bsd-3-clause"), ("PHP License version 3.01", "php-3-01"), ("PHP License version 3.0", "php-3"), ("GPL v2", "gpl-2"), ("GPLv3", "gpl-3"), ("EUPL v1.2", "eupl-1-2"), ("licensed under the EUPL", "eupl"),
-     ("You may not use this file except in compliance with the License.", "apache-2"), ("Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software", "bsd-3-clause"), ("nothing of the kind", "")],
-)
-def test_rules_and_suppression(spark, text, labels):
-    row = licenses.scan(spark.createDataFrame([(1, text)], "doc_id int, text string")).first()
-    assert row["labels"] == labels
+LABELLED = [
+    ("GNU General Public License, version 3 or later", "gpl-3-or-later"), ("under the GNU Lesser General Public License v2.1", "lgpl-2-1"), ("CC BY-NC-SA 4.0", "cc-by-nc,cc-by-nc-sa-4-0"), ("SPDX-License-Identifier: MIT", "mit"), ("3-clause BSD license", "bsd-3-clause"), ("PHP License version 3.01", "php-3-01"), ("PHP License version 3.0", "php-3"), ("GPL v2", "gpl-2"), ("GPLv3", "gpl-3"), ("EUPL v1.2", "eupl-1-2"), ("licensed under the EUPL", "eupl"),
+    ("You may not use this file except in compliance with the License.", "apache-2"), ("Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software", "bsd-3-clause"), ("nothing of the kind", ""),
+    ("License: MIT", "mit"), ("Apache-2.0", "apache-2"), ("Apache 2.0 license", "apache-2"), ("licensed under Apache 2.0", "apache-2"), ("https://opensource.org/licenses/MIT", "mit"), ("http://www.apache.org/licenses/LICENSE-2.0", "apache-2"), ("https://creativecommons.org/licenses/by-sa/4.0/", "cc-by-sa-4-0"),
+    ("GPL-2.0-or-later", "gpl-2-or-later"), ("SPDX-License-Identifier: GPL-2.0-or-later", "gpl-2-or-later"), ("SPDX-License-Identifier: LGPL-2.1-only", "lgpl-2-1-only"), ("SPDX-License-Identifier: MIT OR Apache-2.0", "apache-2,mit"), ("gpl 1 reason to go", ""), ("mpl 2 go", ""), ("the Apache 2.0 server", ""), ("licensed under GPL 2", "gpl-2"), ("GPLv2 only", "gpl-2-only"), ("https://www.gnu.org/licenses/gpl-3.0.html", "gpl-3"),
+    ("This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.", "gpl-2-or-later"),
+    ("This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.", "lgpl-2-1-or-later"),
+    ("under the terms of version 2 of the GNU General Public License", "gpl-2"), ("released under the MIT", "mit"), ("MIT people met", "")
+]
+
+
+def test_rules_and_suppression(spark):
+    found = licenses.scan(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(LABELLED)], "doc_id int, text string")).collect()
+    assert [(LABELLED[r["doc_id"]][0], r["labels"]) for r in found] == LABELLED
     assert len(licenses.build_rules()) > 300
 
 
@@ -123,7 +129,10 @@ def brute(docs, items):
     return out
 
 
-def test_decontamination_against_brute_force(spark):
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_decontamination_against_brute_force(spark, monkeypatch, broadcast):
+    if not broadcast:
+        monkeypatch.setattr(decontaminate, "small_side", lambda df: df)
     rng = random.Random(2)
     vocabulary = [f"w{i}" for i in range(40)] + ["Ñandú", "été"]
     some = lambda n: [rng.choice(vocabulary) for _ in range(n)]
