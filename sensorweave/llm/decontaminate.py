@@ -30,6 +30,8 @@ WINDOW = 13
 #: k-grams of six words, eight in a window: together a window of thirteen words.
 GRAM = 6
 GRAMS = WINDOW - GRAM + 1
+#: Tasks that copies of one text are dealt to where the texts with hits are too many for a broadcast.
+SALTS = 16
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -95,19 +97,26 @@ def _sequences(length: int) -> Column:
     return F.transform(found, lambda h, i: F.struct(F.lit(length).alias("length"), i.alias("start"), h.alias("print")))
 
 
-def _short_hits(docs: DataFrame, short: DataFrame) -> DataFrame:
-    """(doc, start, length, span) of the short windows (length, span) that stand in ``docs``."""
+def _short_hits(tables: Tables, docs: DataFrame, short: DataFrame) -> DataFrame:
+    """(doc, start, length, span) of the short windows (length, span) that stand in ``docs``.
+
+    Hashes alone are looked up; the words of a text are compared in a second pass over the texts with a like hash.
+    """
     lengths = [r["length"] for r in short.select("length").distinct().orderBy("length").collect()]  # at most WINDOW - 1
     if not lengths:
         return docs.select("doc", F.lit(0).alias("start"), F.lit(0).alias("length"), F.lit("").alias("span")).where("false")
     hashed = short.select("span", F.transform(F.split("span", " "), lambda w: F.xxhash64(w)).alias("_1"))
     asked = hashed.select("span", F.explode(F.concat(*[F.slice(_sequences(n), 1, 1) for n in lengths])).alias("x")).where(F.col("x.length") == F.size(F.split("span", " "))).select("span", "x.length", "x.print")
-    own = docs.select("doc", words("text").alias("words")).withColumn("_1", F.transform("words", lambda w: F.xxhash64(w)))
-    places = own.select("doc", "words", F.explode(F.concat(*[_sequences(n) for n in lengths])).alias("x")).select("doc", "words", "x.*")
-    return places.join(small_side(asked), ["length", "print"]).where(_span(F.col("start"), F.col("length")) == F.col("span")).select("doc", "start", "length", "span").distinct()
+    own = docs.select("doc", F.transform(words("text"), lambda w: F.xxhash64(w)).alias("_1"))
+    places = own.select("doc", F.explode(F.concat(*[_sequences(n) for n in lengths])).alias("x")).select("doc", "x.*")
+    alike = tables.add(places.join(small_side(asked), ["length", "print"]).select("doc", "start", "length", "span").distinct())
+    asked_of = alike.groupBy("doc").agg(F.collect_list(F.struct("start", "length", "span")).alias("at"))
+    texts = docs.join(small_side(asked_of), "doc").select("doc", words("text").alias("words"), "at")
+    equal = F.filter("at", lambda x: F.array_join(F.slice("words", x["start"] + 1, x["length"]), " ") == x["span"])
+    return texts.select("doc", F.inline(equal)).distinct()
 
 
-def find_hits(documents: DataFrame, windows: DataFrame, prints: DataFrame) -> DataFrame:
+def find_hits(tables: Tables, documents: DataFrame, windows: DataFrame, prints: DataFrame) -> DataFrame:
     """(doc, start, length, span) of every occurrence of ``windows`` (length, span) in documents (doc, text).
 
     ``prints`` (doc, print) holds the documents' fingerprints that are those of an item.
@@ -116,23 +125,36 @@ def find_hits(documents: DataFrame, windows: DataFrame, prints: DataFrame) -> Da
     again = winnowed(documents.join(small_side(found), "doc").select("doc", words("text").alias("words"), "prints"))
     # a place of ``kept`` is the start of a window; where its smallest hash is an item's, the window may be one
     starts = F.filter(F.transform("kept", lambda h, i: F.when(F.array_contains("prints", h), i)), lambda i: i.isNotNull())
-    places = again.select("doc", "words", F.explode(starts).alias("start"), F.lit(WINDOW).alias("length")).select("doc", "start", "length", _span(F.col("start"), F.col("length")).alias("span"))
+    places = again.select("doc", F.explode(F.transform(starts, lambda i: F.struct(i.alias("start"), _span(i, F.lit(WINDOW)).alias("span")))).alias("x"))
+    places = places.select("doc", "x.start", F.lit(WINDOW).alias("length"), "x.span")
     long = places.join(small_side(windows.where(F.col("length") == WINDOW)), ["length", "span"]).select("doc", "start", "length", "span").distinct()
-    return long.unionByName(_short_hits(documents, windows.where(F.col("length") < WINDOW)))
+    return long.unionByName(_short_hits(tables, documents, windows.where(F.col("length") < WINDOW)))
+
+
+def _with_totals(rows: DataFrame, totals: DataFrame) -> DataFrame:
+    """Each row with the totals of its text.  Where they are too many to be sent to all, copies of a text are dealt to ``SALTS`` tasks."""
+    small = small_side(totals)
+    if small is not totals:
+        return rows.join(small, "doc", "left")
+    dealt = totals.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")).join(dealt, ["doc", "salt"], "left").drop("salt")
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", share: int = 20) -> DataFrame:
-    """Per row of ``documents``: n_words, n_hit, n_items, items_sha256, contaminated (n_hit > 0 and share * n_hit >= n_words)."""
+    """Per row of ``documents``: n_words, n_hit, n_items, items_sha256, contaminated (n_hit > 0 and share * n_hit >= n_words).
+
+    Of the documents' fingerprints only those of an item are stored; the words are counted in the last pass.
+    """
     tables = Tables(documents.sparkSession, "decontaminate")
     items = tables.add(benchmark.select(F.col(item).cast("string").alias("item"), words(item_text).alias("words")).where("size(words) > 0"))
     spans = tables.add(_windows(items))
     windows = tables.add(spans.select("length", "span").distinct())
     asked = tables.add(winnowed(items).select(F.explode(F.array_distinct("kept")).alias("print")).distinct())
 
-    docs = documents.select(F.col(key).alias("key"), F.col(text).alias("text"), F.md5(F.coalesce(text, F.lit(""))).alias("doc"))
-    rows = tables.add(winnowed(docs.select("key", "doc", words("text").alias("words"))).select("key", "doc", F.size("words").cast("long").alias("n_words"), F.array_distinct("kept").alias("prints")))
-    prints = tables.add(rows.select("doc", F.explode("prints").alias("print")).join(small_side(asked), "print").distinct())
-    hits = tables.add(find_hits(docs.select("doc", "text"), windows, prints))
+    docs = documents.select(F.col(key).alias("key"), F.col(text).alias("text"), F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256).alias("doc"))
+    kept = winnowed(docs.select("doc", words("text").alias("words"))).select("doc", F.explode(F.array_distinct("kept")).alias("print"))
+    prints = tables.add(kept.join(small_side(asked), "print").select("doc", "print").distinct())
+    hits = tables.add(find_hits(tables, docs.select("doc", "text"), windows, prints))
 
     # hit words: intervals in order of their start; each adds what lies beyond those before it
     intervals = hits.groupBy("doc", "start").agg(F.max("length").alias("length")).groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("start", "length"))).alias("at"))
@@ -145,8 +167,9 @@ def contamination(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id
     pairs = hits.select("doc", "span").distinct().join(small_side(spans), "span").where("item is not null").select("doc", "item").distinct()
     n_items = pairs.groupBy("doc").agg(F.count("*").alias("n_items"), F.sha2(F.array_join(F.array_sort(F.collect_list("item")), ",").cast("binary"), 256).alias("items_sha256"))
     totals = tables.add(n_hit.join(n_items, "doc", "left"))
-    tables.keep_only(rows, totals)
-    found = rows.select("key", "doc", "n_words").join(small_side(totals), "doc", "left").select(
+    tables.keep_only(totals)
+    rows = docs.select("key", "doc", F.size(words("text")).cast("long").alias("n_words"))
+    found = _with_totals(rows, totals).select(
         F.col("key").alias(key),
         "n_words",
         F.coalesce("n_hit", F.lit(0)).alias("n_hit"),
