@@ -420,6 +420,17 @@ def motion_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("vec_id", rounded(F.col("delta")).alias("delta"), "is_tripod")
 
 
+@query(f"""WITH {PLANE_SQL}, l AS (SELECT vec_id, label, lag(vec_id) OVER (PARTITION BY label ORDER BY vec_id) AS before FROM embeddings),
+    d AS (SELECT l.vec_id, CAST(sum(abs(a.v - b.v)) AS FLOAT) / CAST(count(*) AS FLOAT) AS diff FROM l JOIN planes a ON a.vec_id = l.vec_id JOIN planes b ON b.vec_id = l.before AND b.idx = a.idx WHERE a.idx % 16 = 0 GROUP BY l.vec_id),
+    g AS (SELECT vec_id, CAST(vec_id % 3 + vec_id % 5 AS DOUBLE) / 50 AS turn FROM embeddings)
+    SELECT l.vec_id, round(turn, 4) AS angular_velocity, CASE WHEN d.diff IS NULL THEN turn < 0.05 ELSE turn < 0.03 AND d.diff < 2 END AS is_tripod FROM l JOIN g USING (vec_id) LEFT JOIN d USING (vec_id)""")
+def motion_gyro(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Motion with a gyroscope that turns about two axes."""
+    turn = F.array(*[(x / F.lit(50)).cast("float") for x in (F.col("vec_id") % 3, F.lit(0), F.col("vec_id") % 5)])
+    found = P.motion_vectors(planes(spark, sf_dir), ["label"], "vec_id", "plane", turn)
+    return found.select("vec_id", rounded(F.col("angular_velocity")).alias("angular_velocity"), "is_tripod")
+
+
 @query(f"""WITH {PLANE_SQL}, f AS (SELECT label, idx, sum(v) // count(*) AS r FROM planes GROUP BY ALL)
     SELECT vec_id, idx, CAST(trunc(CAST(r AS FLOAT) * CAST(0.65 AS FLOAT) + CAST(v AS FLOAT) * (CAST(1 AS FLOAT) - CAST(0.65 AS FLOAT))) AS BIGINT) AS blended FROM planes JOIN f USING (label, idx)""")
 def guard_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -769,6 +780,17 @@ def camera_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("camera_id", "hardware_level", F.col("formats")[0].alias("format"), F.col("iso_range.lo").alias("iso_lo"), F.col("iso_range.hi").alias("iso_hi"), "sensor_orientation", F.round("focus_distance", 6).alias("focus_distance"), F.col("ae_modes")[0].alias("ae_mode"), "has_raw")
 
 
+@query(f"""SELECT CAST(c_custkey AS VARCHAR) AS camera_id, CASE c_nationkey {_LEVELS_SQL} ELSE 'UNKNOWN_' || c_nationkey END AS hardware_level, 30 + c_nationkey IN (32, 37) AS has_raw, c_nationkey % 2 = 1 AS stabilised FROM customer WHERE c_custkey % 10 > 0""")
+def camera_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as cameras in files of JSON lines, a tenth of them cut off: each whole line is a camera."""
+    code = F.col("c_nationkey")
+    line = F.to_json(F.struct(F.col("c_custkey").cast("string").alias("camera_id"), code.alias("level"), F.array(F.lit(30) + code).alias("formats"), F.array(code % 2).alias("ois")))
+    path = scratch(spark, "camera-files")
+    table(spark, sf_dir, "customer").select(F.when(F.col("c_custkey") % 10 == 0, F.substring(line, 1, 12)).otherwise(line).alias("value")).write.text(path)
+    found = readers.camera_records(readers.camera_scan(spark, path), [])
+    return found.select("camera_id", "hardware_level", "has_raw", F.array_contains("ois_modes", "ON").alias("stabilised"))
+
+
 _BUNDLE_SQL = """WITH o AS (SELECT o_custkey AS d, CAST(o_orderkey AS VARCHAR) AS id, o_orderkey % 3 AS lv, o_orderkey % 4 AS fo, o_orderkey % 5 AS wl, left(o_orderpriority, 1) AS pr FROM orders),
     c AS (SELECT d, CAST(count(*) AS VARCHAR) AS n,
         string_agg('{"cameraId":"' || id || '","hardwareLevel":"' || CASE lv WHEN 0 THEN 'LIMITED' WHEN 1 THEN 'FULL' ELSE 'LEGACY' END || '","lensFacing":"' || CASE lv WHEN 0 THEN 'FRONT' ELSE 'BACK_WIDE' END
