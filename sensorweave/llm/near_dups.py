@@ -180,39 +180,43 @@ def _texts_of(tables: Tables, needed: DataFrame, documents: DataFrame, key: str,
     return tables.add(_texts(documents, key, text).join(small_side(needed), ["id", "th"]).groupBy("digest").agg(F.first("text").alias("text")))
 
 
-def _confirmed(tables: Tables, pairs: DataFrame, documents: DataFrame, key: str, text: str, words: int, similarity: float) -> DataFrame:
-    """(a, b) as first keys, of the pairs whose full shingle sets reach the similarity.
+def _by_hub(tables: Tables, pairs: DataFrame, documents: DataFrame, key: str, text: str) -> DataFrame:
+    """(kind, id, digest, text): each hub (``a``, kind 0) followed by partners of it (``b``, kind 1).
 
     A hub's partners are dealt to parts of about ``PART``; each part gets the hub's text once and then
     its partners' texts in a stream, so neither a task nor a batch follows the size of a group.
     """
-    percent = int(round(similarity * 100))
     texts = _texts_of(tables, pairs.select(F.explode(F.array(*[F.struct(F.col(x).alias("digest"), F.col(f"id{x}").alias("id"), F.col(f"th{x}").alias("th")) for x in "ab"])).alias("x")).select("x.*"), documents, key, text)
     parts = tables.add(pairs.groupBy("a").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")))
     dealt = tables.add(pairs.join(parts, "a").select("a", "b", "ida", "idb", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part")))
-    hubs = dealt.select("a", "part", "ida").distinct().join(texts.withColumnRenamed("digest", "a"), "a").select("a", "part", F.lit(0).alias("kind"), F.col("ida").alias("id"), "text")
-    others = dealt.join(texts.withColumnRenamed("digest", "b"), "b").select("a", "part", F.lit(1).alias("kind"), F.col("idb").alias("id"), "text")
-    both = hubs.unionByName(others).repartition("a", "part").sortWithinPartitions("a", "part", "kind")
+    hubs = dealt.select("a", "part", "ida").distinct().join(texts.withColumnRenamed("digest", "a"), "a").select("a", "part", F.lit(0).alias("kind"), F.col("ida").alias("id"), F.col("a").alias("digest"), "text")
+    others = dealt.join(texts.withColumnRenamed("digest", "b"), "b").select("a", "part", F.lit(1).alias("kind"), F.col("idb").alias("id"), F.col("b").alias("digest"), "text")
+    return hubs.unionByName(others).repartition("a", "part").sortWithinPartitions("a", "part", "kind").select("kind", "id", "digest", "text")
+
+
+def _confirmed(tables: Tables, pairs: DataFrame, documents: DataFrame, key: str, text: str, words: int, similarity: float) -> DataFrame:
+    """(a, b, hub, partner, differ) of the pairs whose full shingle sets reach the similarity: first keys, digests, and how many shingles only one of them has."""
+    percent = int(round(similarity * 100))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hub, hub_id = np.zeros(0, np.uint64), None
+        hub, hub_id, hub_digest = np.zeros(0, np.uint64), None, None
         for whole in batches:
             texts = whole.column("text").to_pylist()
             for i, j in chunks(texts):
                 batch = whole.slice(i, j - i)
-                ids, linked = batch.column("id").to_pylist(), []
-                for kind, key_of, own in zip(batch.column("kind").to_pylist(), ids, shingle_sets(texts[i:j], words), strict=True):
+                linked = []
+                for kind, key_of, digest, own in zip(*(batch.column(c).to_pylist() for c in ("kind", "id", "digest")), shingle_sets(texts[i:j], words), strict=True):
                     if kind == 0:
-                        hub, hub_id = own, key_of
+                        hub, hub_id, hub_digest = own, key_of, digest
                     else:
                         common = len(np.intersect1d(hub, own, assume_unique=True))
                         if common and 100 * common >= percent * (len(hub) + len(own) - common):
-                            linked.append((hub_id, key_of))
-                a, b = zip(*linked, strict=True) if linked else ((), ())
-                yield pa.RecordBatch.from_arrays([pa.array(a, batch.schema.field("id").type), pa.array(b, batch.schema.field("id").type)], names=["a", "b"])
+                            linked.append((hub_id, key_of, hub_digest, digest, len(hub) + len(own) - 2 * common))
+                id_type = batch.schema.field("id").type
+                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*linked, strict=True) if linked else [()] * 5, (id_type, id_type, pa.binary(), pa.binary(), pa.int64()), strict=True)], names=["a", "b", "hub", "partner", "differ"])
 
     id_type = pairs.schema["ida"].dataType.simpleString()
-    return tables.add(both.select("kind", "id", "text").mapInArrow(compare, f"a {id_type}, b {id_type}"))
+    return tables.add(_by_hub(tables, pairs, documents, key, text).mapInArrow(compare, f"a {id_type}, b {id_type}, hub binary, partner binary, differ long"))
 
 
 def _relabelled(tables: Tables, labels: DataFrame | None, links: DataFrame) -> DataFrame:
@@ -238,45 +242,97 @@ def _placed(classes: DataFrame, labels: DataFrame) -> DataFrame:
     return joined.select("digest", "first_id", "th", F.coalesce("component", "first_id").alias("component"))
 
 
-def _mixed(tables: Tables, index: DataFrame, placed: DataFrame) -> DataFrame:
-    """(digest, first_id, th, component) of the classes that meet other components in MEET buckets or more."""
-    member = tables.add(index.join(placed.select("digest", F.xxhash64("component").alias("of")), "digest").select("bucket", "digest", "of"))
-    mixed = tables.add(member.groupBy("bucket").agg(F.min("of").alias("lo"), F.max("of").alias("hi")).where("lo != hi").select("bucket"))
-    found = member.join(mixed, "bucket").groupBy("digest").agg(F.count("*").alias("_n")).where(F.col("_n") >= MEET).select("digest")
-    return tables.add(placed.join(found, "digest"))
+def _mixed(tables: Tables, index: DataFrame, hubs: DataFrame, ranks: DataFrame, placed: DataFrame) -> DataFrame:
+    """(a, b, ida, idb, tha, thb) of hubs and the members of their buckets that meet members of other components there.
+
+    A member of less than MEET buckets with several components is left out, as is a bucket whose
+    members but the hub are of one component.
+    """
+    member = tables.add(index.join(placed.select("digest", F.xxhash64("component").alias("of")), "digest").join(hubs, "bucket").select("bucket", "digest", "of", "hub", (F.col("rank") != F.col("hub")).alias("other")))
+    of = F.when(F.col("other"), F.col("of"))
+    mixed = tables.add(member.groupBy("bucket").agg(F.min("of").alias("lo"), F.max("of").alias("hi"), F.coalesce(F.min(of) != F.max(of), F.lit(False)).alias("open")).where("lo != hi").select("bucket", "open"))
+    member = member.join(mixed, "bucket")
+    often = member.groupBy("digest").agg(F.count("*").alias("_n")).where(F.col("_n") >= MEET).select("digest")
+    found = member.where("open and other").select("hub", "digest").distinct().join(often, "digest")
+    left, right = (placed.select(F.col("digest").alias(x), F.col("first_id").alias(f"id{x}"), F.col("th").alias(f"th{x}")) for x in "ab")
+    found = found.join(ranks.select(F.col("rank").alias("hub"), F.col("digest").alias("a")), "hub").withColumnRenamed("digest", "b")
+    return tables.add(found.join(left, "a").join(right, "b").select(PAIR))
+
+
+def _around_pivots(tables: Tables, mixed: DataFrame, links: DataFrame, placed: DataFrame) -> DataFrame:
+    """``mixed`` with each hub replaced by its pivot: the nearest class that is linked with it, if any.
+
+    All members of a group of slightly different copies differ from their hub by its own differences;
+    the one nearest to it has the fewest of its own, so it is linked with more of the others.
+    """
+    nearest = links.groupBy(F.col("hub").alias("a")).agg(F.min(F.struct("differ", "partner")).alias("x")).select("a", F.col("x.partner").alias("p"))
+    pivots = placed.select(F.col("digest").alias("p"), F.col("first_id").alias("idp"), F.col("th").alias("thp")).join(nearest, "p")
+    found = mixed.join(pivots, "a", "left").select(F.coalesce("p", "a").alias("a"), "b", F.coalesce("idp", "ida").alias("ida"), "idb", F.coalesce("thp", "tha").alias("tha"), "thb")
+    return tables.add(found.where("a != b").distinct())
+
+
+def _open(tables: Tables, mixed: DataFrame, placed: DataFrame) -> DataFrame:
+    """``mixed`` with ``of``, a hash of the member's component, without pivots whose members are all of one component."""
+    found = tables.add(mixed.join(placed.select(F.col("digest").alias("b"), F.xxhash64("component").alias("of")), "b").select(*PAIR, "of"))
+    several = found.groupBy("a").agg(F.min("of").alias("lo"), F.max("of").alias("hi")).where("lo != hi").select("a")
+    return tables.add(found.join(several, "a"))
 
 
-def _across(tables: Tables, member: DataFrame, documents: DataFrame, key: str, text: str, words: int, similarity: float) -> DataFrame:
-    """Pairs (a, b) of members of different components with a common shingle among their first ones, each pair once.
+def _across(tables: Tables, mixed: DataFrame, documents: DataFrame, key: str, text: str, words: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) as first keys, and pairs (a, b) of digests, each once, that hold all further links of a pivot's members.
 
-    The order of shingles is that of their counts among the members.  A shingle of a single member
-    makes no pair, so it is only counted in a member's places.
+    The shingles that more than half of a pivot's members have are its centre.  Let D(x) be the shingles that
+    only one of x and the centre has.  If D(x) and D(y) together are no more than the shingles in which x and
+    y may differ, x and y are linked; then the member with the least D for its size is linked with both.
+    Otherwise x and y are linked exactly if D(x) and D(y) have ``shared`` shingles in common, one at least, so
+    one is among the first of D(x) and of D(y) in any common order: here that of their counts.  A shingle in the D of
+    a single member makes no pair, so it is only counted in a member's places.
     """
     percent = int(round(similarity * 100))
-    texts = _texts_of(tables, member.select("digest", F.col("first_id").alias("id"), "th"), documents, key, text)
 
-    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for a, b in chunks(texts):
-                sets = shingle_sets(texts[a:b], words)
-                sizes = np.array([len(s) for s in sets])
-                owner = pa.array(np.repeat(np.arange(a, b), sizes))
-                flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-                yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), pa.array(np.repeat(sizes, sizes).astype(np.int32)), batch.column("digest").take(owner)], names=["shingle", "n", "digest"])
-
-    held = tables.add(texts.select("digest", "text").mapInArrow(shingles, "shingle long, n int, digest binary"))
-    counts = tables.add(held.groupBy("shingle").agg(F.count("*").alias("times")).where("times > 1"))
-    counted = held.join(counts, "shingle")
-    single = F.col("n") - F.count("*").over(Window.partitionBy("digest"))
-    place = single + F.row_number().over(Window.partitionBy("digest").orderBy("times", "shingle")) - 1
-    firsts = counted.withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100))
-    posts = tables.add(firsts.join(member.select("digest", F.xxhash64("component").alias("of")), "digest").select("shingle", "place", "n", "digest", "of"))
-    left, right = (posts.select("shingle", *[F.col(c).alias(f"{c}_{x}") for c in ("place", "n", "digest", "of")]) for x in "ab")
-    overlap = F.ceil((F.col("n_a") + F.col("n_b")) * percent / F.lit(100 + percent))
-    near = (F.col("of_a") < F.col("of_b")) & (F.col("place_a") <= F.col("n_a") - overlap) & (F.col("place_b") <= F.col("n_b") - overlap)
-    joined = left.join(right, (left["shingle"] == right["shingle"]) & near)
-    return joined.select(F.least("digest_a", "digest_b").alias("a"), F.greatest("digest_a", "digest_b").alias("b")).distinct()
+    def differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pivot, group = np.zeros(0, np.uint64), b""
+        for whole in batches:
+            texts = whole.column("text").to_pylist()
+            for i, j in chunks(texts):
+                kinds, digests = (whole.column(c).slice(i, j - i) for c in ("kind", "digest"))
+                found, groups, owner, sizes = [], [], [], []
+                for at, (kind, digest, own) in enumerate(zip(kinds.to_pylist(), digests.to_pylist(), shingle_sets(texts[i:j], words), strict=True)):
+                    if kind == 0:
+                        pivot, group = own, digest
+                        continue
+                    found.append(np.setxor1d(pivot, own, assume_unique=True))
+                    groups += [group] * len(found[-1])
+                    owner.append(np.full(len(found[-1]), at))
+                    sizes.append(np.full(len(found[-1]), len(own)))
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(groups, pa.binary()), digests.take(pa.array(np.concatenate(owner))), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(found).view(np.int64))], names=["pivot", "digest", "n", "shingle"])
+
+    held = tables.add(_by_hub(tables, mixed, documents, key, text).select("kind", "digest", "text").mapInArrow(differences, "pivot binary, digest binary, n long, shingle long"))
+    member = tables.add(mixed.join(held.groupBy(F.col("pivot").alias("a"), F.col("digest").alias("b"), "n").agg(F.count("*").alias("d")), ["a", "b"]).select(F.col("a").alias("pivot"), F.col("b").alias("digest"), "idb", "of", "n", "d"))
+    counts = held.groupBy("pivot", "shingle").agg(F.count("*").alias("times")).where("times > 1")
+    counts = tables.add(counts.join(small_side(member.groupBy("pivot").agg(F.count("*").alias("members"))), "pivot").withColumn("turned", F.col("times") * 2 > F.col("members")))
+    counted = tables.add(held.select("pivot", "digest", "shingle").join(counts, ["pivot", "shingle"]))
+    # shingles of most members' differences belong to the centre, or not to it, against the pivot
+    turned = tables.add(counts.where("turned").select("pivot", "shingle", (F.col("members") - F.col("times")).alias("times")))
+    lacking = member.select("pivot", "digest").join(small_side(turned), "pivot").join(counted.where("turned").select("pivot", "shingle", "digest"), ["pivot", "shingle", "digest"], "left_anti")
+    member = member.join(turned.groupBy("pivot").agg(F.count("*").alias("all")), "pivot", "left").join(counted.where("turned").groupBy("pivot", "digest").agg(F.count("*").alias("own")), ["pivot", "digest"], "left")
+    member = tables.add(member.select("pivot", "digest", "idb", "of", "n", (F.col("d") + F.coalesce("all", F.lit(0)) - 2 * F.coalesce("own", F.lit(0))).alias("d")))
+    excess = (100 + percent) * F.col("d") - (100 - percent) * F.col("n")  # two members of a sum of 0 at most are linked
+    least = tables.add(member.groupBy("pivot").agg(F.min(F.struct(excess.alias("e"), "digest", "idb")).alias("x")).select("pivot", "x.e", F.col("x.idb").alias("a")))
+    links = tables.add(member.join(small_side(least), "pivot").where((excess + F.col("e") <= 0) & (F.col("a") != F.col("idb"))).select("a", F.col("idb").alias("b")))
+
+    rows = counted.where("not turned").select("pivot", "digest", "shingle", "times").unionByName(lacking.where("times > 1").select("pivot", "digest", "shingle", "times"))
+    one = Window.partitionBy("pivot", "digest")
+    rows = rows.withColumn("several", F.count("*").over(one)).withColumn("nth", F.row_number().over(one.orderBy("times", "shingle")))
+    rows = rows.join(member, ["pivot", "digest"]).withColumn("place", F.col("d") - F.col("several") + F.col("nth") - 1)
+    posts = tables.add(rows.where(F.col("place") <= F.least(F.col("d") - 1, F.floor(F.col("n") * (100 - percent) / percent))).select("pivot", "shingle", "place", "n", "d", "digest", "of"))
+    left, right = (posts.select("pivot", "shingle", *[F.col(c).alias(f"{c}_{x}") for c in posts.columns[2:]]) for x in "ab")
+    both = F.col("n_a") + F.col("n_b")
+    shared = F.ceil(both * percent / F.lit(100 + percent)) + (F.col("d_a") + F.col("d_b") - both) / 2
+    near = (F.col("of_a") < F.col("of_b")) & (shared > 0) & (F.col("place_a") <= F.col("d_a") - shared) & (F.col("place_b") <= F.col("d_b") - shared)
+    joined = left.join(right, (left["pivot"] == right["pivot"]) & (left["shingle"] == right["shingle"]) & near)
+    return links, joined.select(F.least("digest_a", "digest_b").alias("a"), F.greatest("digest_a", "digest_b").alias("b")).distinct()
 
 
 def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -305,17 +361,26 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text
     stars = tables.add(_near_signatures(stars, classes, values, similarity))
 
     best = tables.add(stars.groupBy("b").agg(F.min(F.struct("far", "a", "ida", "idb", "tha", "thb")).alias("x")).select("x.a", "b", "x.ida", "x.idb", "x.tha", "x.thb"))
-    labels = _relabelled(tables, None, _confirmed(tables, best, documents, key, text, words, similarity))
+    links = _confirmed(tables, best, documents, key, text, words, similarity)
+    labels = _relabelled(tables, None, links)
 
     of_a, of_b = (labels.select(F.col("node").alias(f"id{x}"), F.col("component").alias(f"of_{x}")) for x in "ab")
     apart = F.coalesce("of_a", "ida") != F.coalesce("of_b", "idb")  # classes that are not in one component yet
     rest = stars.join(best.select("a", "b"), ["a", "b"], "left_anti").join(of_a, "ida", "left").join(of_b, "idb", "left").where(apart).select(PAIR)
-    member = _mixed(tables, index, tables.add(_placed(classes, labels)))
-    across = _across(tables, member, documents, key, text, words, similarity)
-    across = across.join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    rest = tables.add(rest.unionByName(_near_signatures(across, classes, values, similarity).select(PAIR)))
+    placed = tables.add(_placed(classes, labels))
+    mixed = _around_pivots(tables, _mixed(tables, index, hubs, ranks, placed), links, placed)
+    of_a, of_b = (placed.select(F.col("digest").alias(x), F.col("component").alias(f"of_{x}")) for x in "ab")
+    pivots = mixed.join(of_a, "a").join(of_b, "b").where("of_a != of_b").select("a", "b").join(stars.select("a", "b"), ["a", "b"], "left_anti")
+    rest = tables.add(rest.unionByName(_near_signatures(pivots, classes, values, similarity).select(PAIR)))
     labels = _relabelled(tables, labels, _confirmed(tables, rest, documents, key, text, words, similarity))
 
+    mixed = _open(tables, mixed, _placed(classes, labels))
+    links, across = _across(tables, mixed, documents, key, text, words, similarity)
+    across = across.join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    across = tables.add(_near_signatures(across, classes, values, similarity).select(PAIR))
+    links = links.unionByName(_confirmed(tables, across, documents, key, text, words, similarity).select("a", "b"))
+    labels = _relabelled(tables, labels, links)
+
     placed = tables.add(_placed(classes, labels).select("digest", F.col("component").alias("component_id")))
     tables.keep_only(rows, placed)
     by_row = rows.where("digest is not null").join(placed, "digest", "left").select("id", "n", F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))

@@ -93,3 +93,19 @@ def test_components(spark, monkeypatch):
         monkeypatch.undo()
         want = components(range(n), links)
         assert found == {k: want[k] for k in found} and set(found) == {x for a, b in links if a != b for x in (a, b)}
+
+
+def test_slightly_changed_copies_are_not_paired_with_each_other(spark, monkeypatch):
+    rng, pairs = random.Random(4), []
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for key in range(240):  # each with 2 to 9 words of its own, so that those with many are linked with none
+        words = list(base)
+        for at in rng.sample(range(150), rng.choice([2, 2, 3, 4, 5, 7, 9])):
+            words[at] = f"e{rng.randrange(10**9)}"
+        rows.append((key, " ".join(words), "en", "s", 0))
+    near = N._near_signatures
+    monkeypatch.setattr(N, "_near_signatures", lambda found, *a: pairs.append(found.count()) or near(found, *a))
+    found = {r["doc_id"]: r["component_id"] for r in N.near_duplicates(spark.createDataFrame(rows, SCHEMA), words=3, similarity=0.85).collect()}
+    assert found == brute([r[:2] for r in rows], 3, 85)[1]
+    assert len(set(found.values())) > 60 and pairs[-1] < 5 * len(rows)
