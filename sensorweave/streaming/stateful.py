@@ -11,7 +11,7 @@ from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -34,20 +34,22 @@ class _Align(StatefulProcessor):
     """
 
     def __init__(self, wait: int, columns: list[str]):
-        self.wait, self.columns = wait, columns
+        self.wait, self.row = wait, Row(*columns)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.samples = handle.getValueState("samples", "ts array<bigint>, v array<array<float>>")
-        self.probes = handle.getValueState("probes", "ts array<bigint>, id array<string>")
-
-    def _load(self) -> tuple[list, list, list]:
-        ts, values = map(list, self.samples.get()) if self.samples.exists() else ([], [])
-        probes = list(zip(*self.probes.get(), strict=True)) if self.probes.exists() else []
-        return ts, values, probes
-
-    def _settle(self, key: tuple, ts: list, values: list, probes: list, watermark_ms: int) -> pd.DataFrame:
-        """Rows of the probes that are settled; what is still needed goes back to the state."""
+        self.held = handle.getValueState("held", "ts array<bigint>, v array<array<float>>, probe array<bigint>, id array<string>, timer bigint")
+
+    def _load(self) -> tuple[list, list, list, int | None]:
+        """Samples, waiting probes and the timer that is set; each call of a state or timer is a message to the JVM."""
+        found = self.held.get()
+        if found is None:
+            return [], [], [], None
+        ts, values, probes, ids, timer = found
+        return list(ts), list(values), list(zip(probes, ids, strict=True)), timer
+
+    def _settle(self, key: tuple, ts: list, values: list, probes: list, timer: int | None, watermark_ms: int) -> Iterator[Row]:
+        """Rows of the probes that are settled, if any; what is still needed goes back to the state."""
         out, waiting, due = [], [], []
         for at, row in probes:
             low, high = bisect_right(ts, at) - 1, bisect_left(ts, at)
@@ -64,33 +66,34 @@ class _Align(StatefulProcessor):
             else:
                 share, between = (at - t0) / (found - t0), True
                 mixed = [a + (b - a) * share for a, b in zip(v0, v1)]
-            out.append((*key, at, row, mixed, between))
+            out.append(self.row(*key, at, row, mixed, between))
         # a probe that comes later is newer than the watermark
         oldest = min([1000 * watermark_ms, *(at for at, _ in waiting)])
         first = max(bisect_right(ts, oldest) - 1, 0)
-        self.samples.update((ts[first:], values[first:]))
-        self.probes.update(([at for at, _ in waiting], [row for _, row in waiting]))
-        for old in list(self.handle.listTimers()):
-            self.handle.deleteTimer(old)
-        if due:
-            self.handle.registerTimer(min(due) - 1)  # it goes off once the watermark has passed it
-        return pd.DataFrame(out, columns=self.columns)
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        ts, values, probes = self._load()
+        due = min(due) - 1 if due else None  # it goes off once the watermark has passed it
+        self.held.update((ts[first:], values[first:], [at for at, _ in waiting], [row for _, row in waiting], due))
+        if timer != due:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            if due is not None:
+                self.handle.registerTimer(due)
+        yield from out
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        ts, values, probes, timer = self._load()
         held = dict(zip(ts, values, strict=True))
-        for batch in rows:
-            for at, probe, row, given in batch[["align_at", "align_probe", "align_row", "align_values"]].itertuples(index=False):
-                if probe:
-                    probes.append((int(at), row))
-                elif given is not None:
-                    new = [float(x) for x in given]
-                    held[int(at)] = max(new, list(held[int(at)])) if int(at) in held else new
+        for r in rows:
+            if r.align_probe:
+                probes.append((r.align_at, r.align_row))
+            elif r.align_values is not None:
+                new = list(r.align_values)
+                held[r.align_at] = max(new, list(held[r.align_at])) if r.align_at in held else new
         ts = sorted(held)
-        yield self._settle(key, ts, [list(held[t]) for t in ts], sorted(probes), timerValues.getCurrentWatermarkInMs())
+        yield from self._settle(key, ts, [list(held[t]) for t in ts], sorted(probes), timer, timerValues.getCurrentWatermarkInMs())
 
-    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield self._settle(key, *self._load(), timerValues.getCurrentWatermarkInMs())
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        ts, values, probes, _ = self._load()  # Spark takes the timer away that went off
+        yield from self._settle(key, ts, values, probes, None, timerValues.getCurrentWatermarkInMs())
 
     def close(self) -> None:
         pass
@@ -114,7 +117,7 @@ def align_stream(probes: DataFrame, samples: DataFrame, by: list[str], ts: str,
     given = samples.select(*by, F.col(ts).alias("align_at"), F.lit(False).alias("align_probe"), F.lit(None).cast("string").alias("align_row"), F.col(values).cast("array<float>").alias("align_values"), when.alias("align_when"))
     rows = asked.unionByName(given).withWatermark("align_when", delay)
     out = T.StructType([*(rows.schema[c] for c in by), T.StructField(ts, T.LongType()), T.StructField("align_row", T.StringType()), T.StructField(values, T.ArrayType(T.FloatType())), T.StructField("is_interpolated", T.BooleanType())])
-    found = rows.groupBy(*by).transformWithStateInPandas(_Align(wait, out.names), out, "Append", "EventTime")
+    found = rows.groupBy(*by).transformWithState(_Align(wait, out.names), out, "Append", "EventTime")
     parsed = F.from_json("align_row", T.StructType(fields or [T.StructField("none", T.IntegerType())]))
     return found.withColumn("align_row", parsed).select(*by, ts, *[F.col(f"align_row.{c}").alias(c) for c in extra], values, "is_interpolated")
 

@@ -2,8 +2,10 @@
 
 import random
 import time
+from types import SimpleNamespace
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from sensorweave.operators import temporal
@@ -99,3 +101,34 @@ def test_buffers_and_drain(spark, tmp_path):
     q.stop()
     for k in rows:
         assert sorted((r["outcome"], r["side"], r["timestamp_ns"]) for r in found if r["stream"] == k) == want[k]
+
+
+class Calls:
+    """A key's state and timers; each call of them is a message to the JVM."""
+
+    def __init__(self):
+        self.made, self.value = 0, None
+
+    def __getattr__(self, name):
+        def call(*args):
+            self.made += 1
+            if name == "get":
+                return self.value
+            if name == "update":
+                self.value = args[0]
+            return self.value is not None if name == "exists" else []
+
+        return call
+
+    def getValueState(self, *_):
+        return self
+
+
+def test_a_key_needs_few_messages():
+    calls, align = Calls(), stateful._Align(1000, ["k", "ts", "align_row", "v", "is_interpolated"])
+    align.init(calls)
+    at = SimpleNamespace(getCurrentWatermarkInMs=lambda: 0)
+    rows = [Row(align_at=5000, align_probe=True, align_row="{}", align_values=None), Row(align_at=4000, align_probe=False, align_row=None, align_values=[1.0])]
+    assert list(align.handleInputRows(("a",), iter(rows), at)) == [] and calls.made <= 3
+    calls.made, at.getCurrentWatermarkInMs = 0, lambda: 6
+    assert [tuple(r) for r in align.handleExpiredTimer(("a",), at, None)] == [("a", 5000, "{}", [1.0], False)] and calls.made <= 2
