@@ -11,12 +11,13 @@ is missed with a chance of less than ``MISS`` (pairs above it far less).
 
 Buckets never give all their pairs.  First each member is paired with the bucket's hub, the member
 that meets most others; pairs are confirmed on full shingle sets, and confirmed ones give components.
-Then the members of buckets that still hold several components are paired across components (with the
-hubs that were not their nearest, and with each other) where they have one of their rarest shingles in common: two sets of the similarity share one among the first
-``n - overlap + 1`` of each in any common order, so nothing is lost, and as all shingles of these members
-are counted and the frequent ones stand last, documents that only share a passage or a template do not
-meet.  Pairs whose signatures are too far apart go, the others are confirmed.  After that, any two
-classes that meet often enough are in one component or were ruled out or compared.
+Then the members of buckets that still hold several components are compared with their pivot, the class
+nearest to the hub among those linked with it.  Members that are apart after that are paired across
+components by what tells them from the centre of the pivot's members: two sets of the similarity that are
+not both near the centre share one of the first of these differences in any common order, so nothing is
+lost, and frequent ones stand last, so copies that only share their template do not meet.  Pairs whose signatures are
+too far apart go, the others are confirmed.  After that, any two classes that meet often enough are in
+one component or were ruled out or compared.
 
 Defined results: a text without a word, or null, has an empty set and is linked with nothing; one with
 fewer words than a shingle has its whole word sequence as its shingle; rows with a null key get no
